@@ -1,15 +1,15 @@
 """The alert log."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.functions.timewin import as_timestamp, since
+from driftwatch.operators.numbering import number_rows
 from driftwatch.operators.series import of_service
 from driftwatch.schemas import SERVICE
 
 ACTIVE = "active"
 _IDENTITY = SERVICE + ["feature", "scheduled_at", "_zone", "_kind"]
-_BUCKETS = 256
 
 
 def _with_identity(alerts: DataFrame) -> DataFrame:
@@ -18,26 +18,6 @@ def _with_identity(alerts: DataFrame) -> DataFrame:
     )
 
 
-def number_rows(df: DataFrame, key: list[str], start: int) -> DataFrame:
-    """Adds ``id``: ``start + 1`` onwards without gaps, given out per hash bucket.
-
-    Only the counts of the buckets, of which there is a fixed number, meet in one task.
-    """
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(_BUCKETS)))
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset")
-    )
-    in_bucket = Window.partitionBy("_bucket").orderBy(*key)
-    # Broadcast is safe: the offsets have one row per bucket, _BUCKETS at most.
-    return (
-        bucketed.join(F.broadcast(offsets), "_bucket")
-        .withColumn("id", (F.lit(start) + F.col("_offset") + F.row_number().over(in_bucket)).cast("bigint"))
-        .drop("_bucket", "_offset")
-    )
-
-
 def new_alerts(existing: DataFrame, raised: DataFrame, created_at, start: int | None = None) -> DataFrame:
     """Alert rows to append for what a run raised.
 
@@ -60,7 +40,7 @@ def new_alerts(existing: DataFrame, raised: DataFrame, created_at, start: int |
     fresh = _with_identity(rows).join(known, _IDENTITY, "left_anti")
     if start is None:
         start = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    return number_rows(fresh, _IDENTITY, start).select(*existing.columns)
+    return number_rows(fresh, _IDENTITY, "id", start).select(*existing.columns)
 
 
 def insert_alert(existing: DataFrame, service: dict, feature: str, alert: dict, created_at) -> DataFrame:

@@ -30,9 +30,11 @@ def _rank(code: Column, value: Column) -> Column:
 
 def zone_blocks(classified: DataFrame, group: list[str], slot_seconds: int = SLOT_SECONDS) -> DataFrame:
     """Samples of one series, instant and zone counted together, before the first shuffle."""
+    # Joins on these keys would add the same filter to some branches only, and branches that differ
+    # cannot share the shuffle of the blocks.
+    present = with_slot(classified, slot_seconds).dropna(subset=group + ["slot"])
     return (
-        with_slot(classified, slot_seconds)
-        .withColumn("rank", _rank(F.col("code"), F.col("value")))
+        present.withColumn("rank", _rank(F.col("code"), F.col("value")))
         .groupBy(*group, "slot", "created_at", "rank")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -69,23 +71,26 @@ def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
         *group, "slot", "created_at", "rank", code.alias("code"), taken.alias("n")
     ).where(F.col("n") > 0)
 
-    same = F.coalesce(F.col("code") == F.col("previous"), F.lit(False))
-    flips = F.coalesce(
-        (F.col("code") == -F.col("previous")) & (F.col("code") != 0), F.lit(False)
-    )
+    previous = F.lag("code").over(ordered)
+    same = F.coalesce(F.col("code") == previous, F.lit(False))
+    flips = F.coalesce((F.col("code") == -previous) & (F.col("code") != 0), F.lit(False))
     # A block of several samples ends the alternation it joins with its first sample; its last
     # sample may start another one.
-    starts = (
-        clipped.withColumn("previous", F.lag("code").over(ordered))
-        .withColumn("new_run", F.when(same, 0).otherwise(1))
-        .withColumn("new_chain", F.when(flips, 0).otherwise(1))
-        .withColumn("splits", F.when(F.col("n") > 1, 1).otherwise(0))
+    starts = clipped.withColumns(
+        {
+            "new_run": F.when(same, 0).otherwise(1),
+            "new_chain": F.when(flips, 0).otherwise(1),
+            "splits": F.when(F.col("n") > 1, 1).otherwise(0),
+        }
     )
-    placed = (
-        starts.withColumn("run", F.sum("new_run").over(so_far))
-        .withColumn("runs", F.sum("new_run").over(whole))
-        .withColumn("last_chain", F.sum(F.col("new_chain") + F.col("splits")).over(so_far))
-        .withColumn("chains", F.sum(F.col("new_chain") + F.col("splits")).over(whole))
+    new_chains = F.col("new_chain") + F.col("splits")
+    placed = starts.withColumns(
+        {
+            "run": F.sum("new_run").over(so_far),
+            "runs": F.sum("new_run").over(whole),
+            "last_chain": F.sum(new_chains).over(so_far),
+            "chains": F.sum(new_chains).over(whole),
+        }
     )
 
     def member(kind: str, number: Column, of: Column, opens: Column, size: Column) -> Column:
@@ -127,29 +132,37 @@ def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
     part = F.when(F.col("number") == 1, 0).when(F.col("number") == F.col("of"), 2).otherwise(1)
     turned = (F.col("kind") == ALTERNATING) & (F.col("length") % 2 == 0)
     last_code = F.when(turned, -F.col("first_code")).otherwise(F.col("first_code"))
+    border = part != 1
     per_slot = (
-        in_slot.withColumn("part", part)
-        .withColumn("zone", F.abs("first_code"))
-        .withColumn("last_code", F.when(F.col("part") != 1, last_code))
-        .withColumn("first_code", F.when(F.col("part") != 1, F.col("first_code")))
+        in_slot.select(
+            *group,
+            "kind",
+            "slot",
+            part.alias("part"),
+            F.abs("first_code").alias("zone"),
+            F.when(border, F.col("first_code")).alias("first_code"),
+            F.when(border, last_code).alias("last_code"),
+            "length",
+        )
         .where((F.col("part") != 1) | F.col("zone").between(1, 4))
         .groupBy(*group, "kind", "slot", "part", "zone", "first_code", "last_code")
         .agg(F.max("length").alias("length"))
     )
 
     across = Window.partitionBy(*group, "kind").orderBy(F.desc("slot"), "part")
-    expected = F.when(F.col("kind") == CONSECUTIVE, F.col("previous_code")).otherwise(
-        F.when(F.col("previous_code") != 0, -F.col("previous_code"))
+    previous_code = F.lag("last_code").over(across)
+    expected = F.when(F.col("kind") == CONSECUTIVE, previous_code).otherwise(
+        F.when(previous_code != 0, -previous_code)
     )
     continues = F.coalesce(
-        (F.col("slot") != F.col("previous_slot")) & (F.col("first_code") == expected), F.lit(False)
+        (F.col("slot") != F.lag("slot").over(across)) & (F.col("first_code") == expected),
+        F.lit(False),
     )
     joined = (
-        per_slot.withColumn("previous_code", F.lag("last_code").over(across))
-        .withColumn("previous_slot", F.lag("slot").over(across))
+        per_slot.withColumn("new_run", F.when(continues, 0).otherwise(1))
         .withColumn(
             "run",
-            F.sum(F.when(continues, 0).otherwise(1)).over(
+            F.sum("new_run").over(
                 across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
             ),
         )
@@ -166,11 +179,15 @@ def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
 def longest_runs(
     classified: DataFrame,
     service: list[str],
+    group: list[str] | None = None,
     truncate: bool = True,
     slot_seconds: int = SLOT_SECONDS,
 ) -> DataFrame:
-    """Longest run per (series, kind, zone); ``truncate`` first cuts a service's series to equal length."""
-    group = service + ["feature"]
+    """Longest run per (series, kind, zone); ``truncate`` first cuts a service's series to equal length.
+
+    ``group`` names the columns of a series, by default the service and its feature.
+    """
+    group = group or service + ["feature"]
     blocks = zone_blocks(classified, group, slot_seconds)
     if truncate:
         blocks = cut_to_shortest(blocks, service, group)

@@ -2,13 +2,15 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions.timewin import as_timestamp
 from driftwatch.operators import alerts as alert_log
 from driftwatch.operators import profiles as profile_ops
 from driftwatch.operators.joins import BROADCAST_BYTES, dimension_join
+from driftwatch.operators.numbering import number_rows
 from driftwatch.operators.slots import SLOT_SECONDS
 from driftwatch.operators.spc import classify, longest_runs, raise_alerts
 from driftwatch.schemas import SERIES, SERVICE
@@ -22,6 +24,19 @@ class CheckResult(NamedTuple):
     errors: DataFrame
 
 
+def numbered_limits(settings: DataFrame) -> DataFrame:
+    """Limits of all monitored series with a ``series_id`` and a ``service_id``.
+
+    Samples then travel through the shuffles with two numbers in place of four texts. The limits are
+    read once per branch of a check, hence kept.
+    """
+    numbered = number_rows(profile_ops.monitored_limits(settings), SERIES, "series_id")
+    of_profile = Window.partitionBy(*SERVICE)
+    return numbered.withColumn("service_id", F.min("series_id").over(of_profile)).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+
+
 def monitored_samples(
     drift: DataFrame, limits: DataFrame, limit_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -39,16 +54,25 @@ def monitored_samples(
     )
 
 
-def spc_alerts(
+def spc_runs(
     drift: DataFrame,
-    settings: DataFrame,
+    limits: DataFrame,
     slot_seconds: int = SLOT_SECONDS,
     limit_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
+    """Longest runs of every monitored series, under the names of its profile and feature."""
+    samples = classify(monitored_samples(drift, limits, limit_bytes))
+    runs = longest_runs(
+        samples, ["service_id"], ["service_id", "series_id"], slot_seconds=slot_seconds
+    )
+    return runs.join(limits.select(*SERIES, "series_id"), "series_id").select(
+        *SERIES, "kind", "zone", "longest"
+    )
+
+
+def spc_alerts(drift: DataFrame, settings: DataFrame, **options) -> DataFrame:
     """Alerts of control-chart profiles: zones, runs, rule."""
-    limits = profile_ops.monitored_limits(settings)
-    samples = monitored_samples(drift, limits, limit_bytes)
-    runs = longest_runs(classify(samples), SERVICE, slot_seconds=slot_seconds)
+    runs = spc_runs(drift, numbered_limits(settings), **options)
     return raise_alerts(runs, profile_ops.rules(settings), SERVICE)
 
 

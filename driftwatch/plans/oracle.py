@@ -26,7 +26,7 @@ _NOW = "TIMESTAMP '2024-01-30'"
 _CHECK = "TIMESTAMP '2024-01-31 00:00:30'"
 _SINCE = "TIMESTAMP '2024-01-28'"
 _BASELINE = "TIMESTAMP '2024-01-08'"
-_LINEITEM_BASELINE = "TIMESTAMP '1994-01-01'"
+_LINEITEM_BASELINE = "TIMESTAMP '1996-01-01'"
 
 
 def _bin(width_us: int) -> str:

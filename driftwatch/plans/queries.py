@@ -301,7 +301,7 @@ def set_profile_status(spark, sf_dir):
 def _samples(spark, sf_dir):
     settings = profile_ops.profile_settings(views.service_profiles(spark, sf_dir))
     return drift_check.monitored_samples(
-        views.drift(spark, sf_dir), profile_ops.monitored_limits(settings)
+        views.drift(spark, sf_dir), drift_check.numbered_limits(settings)
     )
 
 
@@ -314,7 +314,8 @@ def spc_zones(spark, sf_dir):
 
 
 def _runs(spark, sf_dir, kind):
-    found = spc.longest_runs(spc.classify(_samples(spark, sf_dir)), SERVICE)
+    settings = profile_ops.profile_settings(views.service_profiles(spark, sf_dir))
+    found = drift_check.spc_runs(views.drift(spark, sf_dir), drift_check.numbered_limits(settings))
     return found.where(F.col("kind") == kind).select(*SERIES, "zone", "longest")
 
 
@@ -336,10 +337,9 @@ def spc_alerts(spark, sf_dir):
 def lineitem_spc_runs(spark, sf_dir):
     """Runs over instants shared by many samples, series cut to equal length."""
     settings = profile_ops.profile_settings(views.lineitem_profiles(spark, sf_dir))
-    samples = drift_check.monitored_samples(
-        views.lineitem_drift(spark, sf_dir), profile_ops.monitored_limits(settings)
+    return drift_check.spc_runs(
+        views.lineitem_drift(spark, sf_dir), drift_check.numbered_limits(settings)
     )
-    return spc.longest_runs(spc.classify(samples), SERVICE)
 
 
 def _due_run(spark, sf_dir):

@@ -164,9 +164,9 @@ def service_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lineitem_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return baseline_profiles(
         lineitem_drift(spark, sf_dir),
-        _utc(1994, 1, 1),
-        previous_run=_utc(1994, 1, 1),
-        next_run=_utc(1998, 1, 1),
+        _utc(1996, 1, 1),
+        previous_run=_utc(1996, 1, 1),
+        next_run=_utc(2001, 1, 1),
     )
 
 
