@@ -3,7 +3,6 @@
 Functions work on all services at once; ``service`` narrows them to one.
 """
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +16,7 @@ from driftwatch.operators.slots import (
     with_slot,
 )
 from driftwatch.schemas import SERIES, SERVICE
+from driftwatch.session import pin
 
 
 def of_service(df: DataFrame, service: dict | None) -> DataFrame:
@@ -105,7 +105,7 @@ def truncated_values(
     group = service + ["feature"]
     slotted = with_slot(values.select(*group, "created_at", "value"), slot_seconds)
     offsets = slot_offsets(slotted, group)
-    cuts = (
+    cuts = pin(
         offsets.join(shortest_series(offsets, service), service)
         .where(F.col("newer") < F.col("keep"))
         .groupBy(*group)
@@ -113,7 +113,6 @@ def truncated_values(
             F.min("slot").alias("cut_slot"),
             (F.max("keep") - F.max("newer")).alias("room"),
         )
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
     placed = dimension_join(slotted, cuts, group, spread_by=["created_at", "value"])
     kept = placed.where(F.col("slot") > F.col("cut_slot")).select(*group, "created_at", "value")

@@ -4,6 +4,9 @@ A rule is eight integers, read as (consecutive, alternating) pairs for zones 1 t
 exact: a sample in zone 3 does not also count for zones 1 and 2.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ from driftwatch.operators.slots import SLOT_SECONDS, shortest_series, slot_offse
 CONSECUTIVE = "Consecutive"
 ALTERNATING = "Alternating"
 
+# Numbers stand for the kinds while runs are being grouped.
+_CONSECUTIVE, _ALTERNATING = 0, 1
+
 
 def classify(samples: DataFrame) -> DataFrame:
     """Adds ``code`` to samples that carry their limits."""
@@ -32,9 +38,11 @@ def zone_blocks(classified: DataFrame, group: list[str], slot_seconds: int = SLO
     """Samples of one series, instant and zone counted together, before the first shuffle."""
     # Joins on these keys would add the same filter to some branches only, and branches that differ
     # cannot share the shuffle of the blocks.
-    present = with_slot(classified, slot_seconds).dropna(subset=group + ["slot"])
+    present = reduce(and_, [F.col(c).isNotNull() for c in group + ["slot"]])
     return (
-        present.withColumn("rank", _rank(F.col("code"), F.col("value")))
+        with_slot(classified, slot_seconds)
+        .where(present)
+        .withColumn("rank", _rank(F.col("code"), F.col("value")))
         .groupBy(*group, "slot", "created_at", "rank")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -93,7 +101,7 @@ def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
         }
     )
 
-    def member(kind: str, number: Column, of: Column, opens: Column, size: Column) -> Column:
+    def member(kind: int, number: Column, of: Column, opens: Column, size: Column) -> Column:
         return F.struct(
             F.lit(kind).alias("kind"),
             number.alias("number"),
@@ -105,9 +113,9 @@ def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
     one = F.lit(1).cast("bigint")
     chains = F.col("chains")
     members = F.array(
-        member(CONSECUTIVE, F.col("run"), F.col("runs"), F.col("new_run") == 1, F.col("n")),
+        member(_CONSECUTIVE, F.col("run"), F.col("runs"), F.col("new_run") == 1, F.col("n")),
         member(
-            ALTERNATING,
+            _ALTERNATING,
             F.col("last_chain") - F.col("splits"),
             chains,
             F.col("new_chain") == 1,
@@ -115,7 +123,7 @@ def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
         ),
         F.when(
             F.col("splits") == 1,
-            member(ALTERNATING, F.col("last_chain"), chains, F.lit(True), one),
+            member(_ALTERNATING, F.col("last_chain"), chains, F.lit(True), one),
         ),
     )
     in_slot = (
@@ -130,7 +138,7 @@ def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
 
     # Parts of a slot: 0 its first run, 1 everything inside, 2 its last run.
     part = F.when(F.col("number") == 1, 0).when(F.col("number") == F.col("of"), 2).otherwise(1)
-    turned = (F.col("kind") == ALTERNATING) & (F.col("length") % 2 == 0)
+    turned = (F.col("kind") == _ALTERNATING) & (F.col("length") % 2 == 0)
     last_code = F.when(turned, -F.col("first_code")).otherwise(F.col("first_code"))
     border = part != 1
     per_slot = (
@@ -151,7 +159,7 @@ def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
 
     across = Window.partitionBy(*group, "kind").orderBy(F.desc("slot"), "part")
     previous_code = F.lag("last_code").over(across)
-    expected = F.when(F.col("kind") == CONSECUTIVE, previous_code).otherwise(
+    expected = F.when(F.col("kind") == _CONSECUTIVE, previous_code).otherwise(
         F.when(previous_code != 0, -previous_code)
     )
     continues = F.coalesce(
@@ -169,10 +177,12 @@ def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
         .groupBy(*group, "kind", "run")
         .agg(F.max("zone").alias("zone"), F.sum("length").alias("length"))
     )
+    name = F.when(F.col("kind") == _CONSECUTIVE, CONSECUTIVE).otherwise(ALTERNATING)
     return (
         joined.where(F.col("zone").between(1, 4))
         .groupBy(*group, "kind", "zone")
         .agg(F.max("length").alias("longest"))
+        .withColumn("kind", name)
     )
 
 

@@ -2,7 +2,6 @@
 
 from typing import NamedTuple
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +13,7 @@ from driftwatch.operators.numbering import number_rows
 from driftwatch.operators.slots import SLOT_SECONDS
 from driftwatch.operators.spc import classify, longest_runs, raise_alerts
 from driftwatch.schemas import SERIES, SERVICE
+from driftwatch.session import pin
 
 DATA_KEY = [f"data_{c}" for c in SERVICE]
 
@@ -27,14 +27,12 @@ class CheckResult(NamedTuple):
 def numbered_limits(settings: DataFrame) -> DataFrame:
     """Limits of all monitored series with a ``series_id`` and a ``service_id``.
 
-    Samples then travel through the shuffles with two numbers in place of four texts. The limits are
-    read once per branch of a check, hence kept.
+    Samples then travel through the shuffles with two numbers in place of four texts. A check reads
+    the limits once per branch, hence they are pinned.
     """
     numbered = number_rows(profile_ops.monitored_limits(settings), SERIES, "series_id")
     of_profile = Window.partitionBy(*SERVICE)
-    return numbered.withColumn("service_id", F.min("series_id").over(of_profile)).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    return pin(numbered.withColumn("service_id", F.min("series_id").over(of_profile)))
 
 
 def monitored_samples(
@@ -97,7 +95,7 @@ def check_drift(drift: DataFrame, profiles: DataFrame, strict: bool = False, **o
 
     A feature without new values is left out and reported; with ``strict`` it fails its service.
     """
-    settings = profile_ops.profile_settings(profiles)
+    settings = pin(profile_ops.profile_settings(profiles))
     empty = empty_monitored(drift, settings)
     errors = profile_ops.profile_errors(settings).unionByName(
         empty.select(*SERVICE, F.concat(F.lit("no new values: "), "feature").alias("reason"))

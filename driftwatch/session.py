@@ -2,7 +2,7 @@
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
@@ -24,3 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="driftwatch-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def pin(df: DataFrame) -> DataFrame:
+    """Compute a small frame once and keep it in the shared folder, where it outlives executors.
+
+    Branches of one job that start from a pinned frame have equal plans, so they share shuffles.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
