@@ -10,6 +10,7 @@ from driftwatch.functions.cron import next_runs
 from driftwatch.functions.timewin import as_timestamp, now_or
 from driftwatch.operators.series import of_service
 from driftwatch.schemas import LIMIT_COLUMNS, PROFILE_DOCUMENT, SERVICE
+from driftwatch.session import pin
 
 SPC = "SPC"
 DEFAULT_CLIENT_VERSION = "0.1.0"
@@ -125,23 +126,32 @@ def insert_profiles(profiles: DataFrame, requests: DataFrame, now, arrival: str
     first by ``arrival`` counts.
     """
     now = as_timestamp(now)
-    parsed = parse_documents(requests).select(
+    keyed = parse_documents(requests).select(
         *[F.col(f"doc.config.{c}").alias(c) for c in SERVICE],
         "profile",
         "drift_type",
-        F.col("doc.config.alert_config.schedule").alias("schedule"),
-        _document_version().alias("client_version"),
         (F.col(arrival) if arrival else F.lit(0)).alias("_arrival"),
     )
-    content = F.struct("profile", "drift_type", "schedule", "client_version")
+    # Only the keys are read from every request; the rest comes from the documents that remain.
     first = (
-        parsed.dropna(subset=SERVICE)
+        keyed.dropna(subset=SERVICE)
         .groupBy(*SERVICE)
-        .agg(F.min_by(content, F.struct("_arrival", "profile")).alias("p"))
+        .agg(F.min_by(F.struct("profile", "drift_type"), F.struct("_arrival", "profile")).alias("p"))
         .select(*SERVICE, "p.*")
     )
     fresh = first.join(profiles.select(*SERVICE), SERVICE, "left_anti")
-    scheduled = fresh.join(next_runs(fresh, now), "schedule", "left")
+    # Pinned because the schedules are looked at apart: one row per new service, however many
+    # requests there were.
+    detailed = pin(
+        parse_documents(fresh).select(
+            *SERVICE,
+            "profile",
+            "drift_type",
+            F.col("doc.config.alert_config.schedule").alias("schedule"),
+            _document_version().alias("client_version"),
+        )
+    )
+    scheduled = detailed.join(next_runs(detailed, now), "schedule", "left")
     rows = scheduled.select(
         now.alias("created_at"),
         now.alias("updated_at"),

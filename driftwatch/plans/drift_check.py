@@ -90,13 +90,20 @@ def empty_monitored(drift: DataFrame, settings: DataFrame) -> DataFrame:
     )
 
 
-def check_drift(drift: DataFrame, profiles: DataFrame, strict: bool = False, **options) -> tuple[DataFrame, DataFrame]:
+def check_drift(
+    drift: DataFrame,
+    profiles: DataFrame,
+    strict: bool = False,
+    history: DataFrame | None = None,
+    **options,
+) -> tuple[DataFrame, DataFrame]:
     """Alerts and errors of the given profiles. One bad profile does not affect the others.
 
     A feature without new values is left out and reported; with ``strict`` it fails its service.
+    ``history`` tells which features ever had values, where ``drift`` holds recent ones only.
     """
     settings = pin(profile_ops.profile_settings(profiles))
-    empty = empty_monitored(drift, settings)
+    empty = empty_monitored(drift if history is None else history, settings)
     errors = profile_ops.profile_errors(settings).unionByName(
         empty.select(*SERVICE, F.concat(F.lit("no new values: "), "feature").alias("reason"))
     )
@@ -114,7 +121,6 @@ def run_due_checks(
     drift: DataFrame,
     alerts: DataFrame,
     now,
-    strict: bool = False,
     **options,
 ) -> CheckResult:
     """Check every due profile: alerts to append, the profile table afterwards, and errors.
@@ -124,7 +130,7 @@ def run_due_checks(
     """
     now = as_timestamp(now)
     due = profile_ops.due_profiles(profiles, now)
-    raised, errors = check_drift(drift, due, strict, **options)
+    raised, errors = check_drift(drift, due, **options)
     raised = raised.join(due.select(*SERVICE, F.col("next_run").alias("scheduled_at")), SERVICE)
     return CheckResult(
         alert_log.new_alerts(alerts, raised, now),

@@ -3,6 +3,7 @@
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftwatch.functions.timewin import window_minutes
 from driftwatch.operators import alerts as alert_log
@@ -86,13 +87,17 @@ class Monitor:
         now = now or utc_now()
         profiles = self._profiles()
         due = profile_ops.due_profiles(profiles, now)
-        oldest = due.agg({"previous_run": "min"}).first()[0]
-        drift = self.tables.read("drift")
-        # A strict check asks whether older values exist, so it reads them all.
-        if oldest is not None and not options.get("strict"):
-            drift = tbl.scan_since(drift, oldest.replace(tzinfo=dt.timezone.utc))
+        oldest = due.agg(F.min(F.unix_micros("previous_run"))).first()[0]
+        history = drift = self.tables.read("drift")
+        if oldest is not None:
+            drift = tbl.scan_since(drift, F.timestamp_micros(F.lit(oldest)))
         result = run_due_checks(
-            profiles, drift, self.tables.read("alerts").drop("event_date"), now, **options
+            profiles,
+            drift,
+            self.tables.read("alerts").drop("event_date"),
+            now,
+            history=history,
+            **options,
         )
         self.tables.append_alerts(pin(result.alerts))
         errors = pin(result.errors)

@@ -1,7 +1,5 @@
 """Date-partitioned Parquet tables under one root folder."""
 
-import datetime as dt
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,21 +79,19 @@ class Tables:
     def _newest(profiles: DataFrame) -> int:
         return profiles.agg(F.coalesce(F.max("snapshot"), F.lit(0)).alias("s")).first()["s"]
 
-    def read_days(self, name: str, first: dt.date, last: dt.date) -> DataFrame:
-        return self.read(name).where(F.col("event_date").between(F.lit(first), F.lit(last)))
-
     def write_batch(self, name: str, rows: DataFrame, batch: str) -> None:
         """Stores one ingest batch; storing it again replaces it, also after a crash half way.
 
-        Rows are sorted by day and service inside each task, so a task writes one file per day and
-        row-group statistics stay selective without another shuffle.
+        The rebalance brings the rows of a day together and lets adaptive execution merge small
+        parts and split large ones, so files come out evenly sized even where one day holds most
+        rows. Sorting by service keeps row-group statistics selective.
         """
         dated = rows.withColumn("ingest_batch", F.lit(batch))
         parts = ["ingest_batch"]
         if "created_at" in rows.columns:
             dated = with_event_date(dated)
             parts = ["event_date", "ingest_batch"]
-            dated = dated.sortWithinPartitions("event_date", "name", "repository", "version", "created_at")
+            dated = dated.hint("rebalance", F.col("event_date")).sortWithinPartitions("event_date", "name", "repository", "version", "created_at")
         (
             dated.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")

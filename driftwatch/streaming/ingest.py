@@ -18,6 +18,9 @@ from driftwatch.sources.tables import Tables
 # Late values are accepted as long as drift rows are kept.
 WATERMARK = "7 days"
 
+# Longest list of days used to prune the search for stored values.
+MAX_DAYS = 400
+
 
 def store_batch(tables: Tables, messages: DataFrame, batch: str) -> None:
     """Decode one batch of messages and store values, route metrics and rejects.
@@ -29,13 +32,12 @@ def store_batch(tables: Tables, messages: DataFrame, batch: str) -> None:
     records = parse_records(messages).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         values = spc_records(records)
-        days = values.agg(
-            F.min(F.to_date("created_at")).alias("first"), F.max(F.to_date("created_at")).alias("last")
-        ).first()
-        if days["first"] is not None:
-            stored = tables.read_days("drift", days["first"], days["last"]).where(
-                F.col("ingest_batch") != batch
-            )
+        days = values.select(F.to_date("created_at").alias("d")).distinct().limit(MAX_DAYS + 1).collect()
+        if days:
+            stored = tables.read("drift").where(F.col("ingest_batch") != batch)
+            # A batch normally touches few days. One that touches more is checked against all.
+            if len(days) <= MAX_DAYS:
+                stored = stored.where(F.col("event_date").isin([d["d"] for d in days]))
             tables.write_batch("drift", new_rows(stored, values), batch)
         tables.write_batch("observability", observability_records(records), batch)
         tables.write_batch("rejects", rejected_records(records), batch)
