@@ -79,8 +79,9 @@ def profile_errors(settings: DataFrame) -> DataFrame:
     return settings.where(F.col("error").isNotNull()).select(*SERVICE, F.col("error").alias("reason"))
 
 
-def monitored_limits(settings: DataFrame) -> DataFrame:
-    """One row per profile and monitored feature with its control limits."""
+def monitored_limits(settings: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One row per profile and monitored feature with its control limits and the columns to ``keep``."""
+    keep = keep or []
     monitored = (F.size("features_to_monitor") == 0) | F.array_contains(
         "features_to_monitor", F.col("feature")
     )
@@ -90,6 +91,7 @@ def monitored_limits(settings: DataFrame) -> DataFrame:
             *SERVICE,
             *[f"data_{c}" for c in SERVICE],
             "previous_run",
+            *keep,
             "features_to_monitor",
             F.explode("features").alias("feature", "limits"),
         )
@@ -99,6 +101,7 @@ def monitored_limits(settings: DataFrame) -> DataFrame:
             *[f"data_{c}" for c in SERVICE],
             "feature",
             "previous_run",
+            *keep,
             *[F.col(f"limits.{c}").alias(c) for c in LIMIT_COLUMNS],
         )
     )

@@ -2,14 +2,13 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.functions.timewin import as_timestamp
 from driftwatch.operators import alerts as alert_log
 from driftwatch.operators import profiles as profile_ops
 from driftwatch.operators.joins import BROADCAST_BYTES, dimension_join
-from driftwatch.operators.numbering import number_rows
 from driftwatch.operators.slots import SLOT_SECONDS
 from driftwatch.operators.spc import classify, longest_runs, raise_alerts
 from driftwatch.schemas import SERIES, SERVICE
@@ -27,12 +26,12 @@ class CheckResult(NamedTuple):
 def numbered_limits(settings: DataFrame) -> DataFrame:
     """Limits of all monitored series with a ``series_id`` and a ``service_id``.
 
-    Samples then travel through the shuffles with two numbers in place of four texts. A check reads
-    the limits once per branch, hence they are pinned.
+    Samples then travel through the shuffles with two numbers in place of four texts. The numbers
+    are arbitrary but unique, and fixed once the limits are pinned.
     """
-    numbered = number_rows(profile_ops.monitored_limits(settings), SERIES, "series_id")
-    of_profile = Window.partitionBy(*SERVICE)
-    return pin(numbered.withColumn("service_id", F.min("series_id").over(of_profile)))
+    services = settings.withColumn("service_id", F.monotonically_increasing_id())
+    limits = profile_ops.monitored_limits(services, keep=["service_id"])
+    return pin(limits.withColumn("series_id", F.monotonically_increasing_id()))
 
 
 def monitored_samples(

@@ -5,7 +5,6 @@ UTC timestamps and rounded means.
 """
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ from driftwatch.operators import series, spc
 from driftwatch.operators.dedupe import insert_ignore
 from driftwatch.plans import drift_check
 from driftwatch.schemas import LIMIT_COLUMNS, SERIES, SERVICE
-from driftwatch.session import shared_dir, use_utc
+from driftwatch.session import run_dir, use_utc
 from driftwatch.sources import messages as msg
 from driftwatch.sources import tables, views
 from driftwatch.streaming import ingest as streams
@@ -45,10 +44,6 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
-def _run_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(use_utc(spark))}/driftwatch-{uuid.uuid4().hex}"
-
-
 # Series
 
 
@@ -459,7 +454,7 @@ def retention_filter(spark, sf_dir):
 
 def partitioned_table(spark, sf_dir):
     """Values stored by day and read back for one window."""
-    store = tables.Tables(spark, _run_dir(spark))
+    store = tables.Tables(spark, run_dir(use_utc(spark)))
     store.write_batch("drift", views.drift(spark, sf_dir), "first-0")
     found = tables.scan_window(store.read("drift"), 5 * 1440, views.NOW)
     return plain(found.select("created_at", *SERIES, "value"))
@@ -470,7 +465,7 @@ def partitioned_table(spark, sf_dir):
 
 def stream_ingest(spark, sf_dir):
     """All messages arrive as files, twice; values are stored once."""
-    run = _run_dir(spark)
+    run = run_dir(use_utc(spark))
     views.messages(spark, sf_dir).select("value").write.text(f"{run}/messages")
     store = tables.Tables(spark, f"{run}/tables")
     for name in ("one", "two"):
@@ -482,7 +477,7 @@ def stream_ingest(spark, sf_dir):
 
 def stream_dedupe(spark, sf_dir):
     """Sign-ups without a value all pass; of the others repeats are dropped."""
-    run = _run_dir(spark)
+    run = run_dir(use_utc(spark))
     source = spark.readStream.schema(views.EVENTS).parquet(f"{sf_dir}/events.parquet*")
     repeated = source.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     deduped = streams.dedupe_stream(_null_keyed(views.to_drift(repeated)), "60 days")
@@ -499,7 +494,7 @@ def stream_dedupe(spark, sf_dir):
 
 
 def stream_binned(spark, sf_dir):
-    run = _run_dir(spark)
+    run = run_dir(use_utc(spark))
     source = spark.readStream.schema(views.EVENTS).parquet(f"{sf_dir}/events.parquet*")
     bins = streams.binned_stream(views.to_drift(source), 3_600_000_000, "60 days")
     streams.write_updates(bins, f"{run}/bins", f"{run}/checkpoint").awaitTermination()

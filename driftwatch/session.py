@@ -1,6 +1,7 @@
 """Session settings the library relies on."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +27,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Compute a small frame once and keep it in the shared folder, where it outlives executors.
+def run_dir(spark: SparkSession) -> str:
+    """A new folder in the shared folder."""
+    return f"{shared_dir(spark)}/driftwatch-{uuid.uuid4().hex}"
 
-    Branches of one job that start from a pinned frame have equal plans, so they share shuffles.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+
+def pin(df: DataFrame) -> DataFrame:
+    """Compute a small frame once and keep it as a table in the shared folder, where it outlives
+    executors. Branches of one job that start from a pinned frame have equal plans, so they share
+    shuffles; numbers given out while it is computed stay the same."""
+    path = run_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
