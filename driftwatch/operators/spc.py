@@ -16,9 +16,6 @@ from driftwatch.operators.slots import SLOT_SECONDS, shortest_series, slot_offse
 CONSECUTIVE = "Consecutive"
 ALTERNATING = "Alternating"
 
-# Numbers stand for the kinds while runs are being grouped.
-_CONSECUTIVE, _ALTERNATING = 0, 1
-
 
 def classify(samples: DataFrame) -> DataFrame:
     """Adds ``code`` to samples that carry their limits."""
@@ -60,129 +57,139 @@ def cut_to_shortest(blocks: DataFrame, service: list[str], group: list[str]) ->
     return blocks.join(room, group + ["slot"])
 
 
-def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
-    """Longest run per series, kind and zone, from blocks with ``room``.
+def _slot_runs(blocks: DataFrame, group: list[str]) -> DataFrame:
+    """One row per slot: its first and last code and, for runs and for alternations (chains), the
+    length of the first and the last one, whether they are the same, and the longest per zone.
 
-    Runs are first found inside each slot. What a slot hands on is its first run, its last run and,
-    per zone, the longest run strictly inside, so the second step, which joins runs across slot
-    borders, sees a few rows per slot however many samples the slot has.
+    A running sum numbers the samples of the slot, a running maximum holds where the current run
+    began, and their difference is the length so far.
     """
-    slot = Window.partitionBy(*group, "slot")
-    ordered = slot.orderBy(F.desc("created_at"), F.desc("rank"))
+    ordered = Window.partitionBy(*group, "slot").orderBy(F.desc("created_at"), F.desc("rank"))
     so_far = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    code = F.when(F.abs("rank") <= 4, F.col("rank"))
-    taken = F.least(F.col("n"), F.col("room") - F.coalesce(F.sum("n").over(before), F.lit(0)))
-    clipped = blocks.select(
-        *group, "slot", "created_at", "rank", code.alias("code"), taken.alias("n")
-    ).where(F.col("n") > 0)
 
+    begin = F.coalesce(F.sum("n").over(before), F.lit(0))
+    clipped = (
+        blocks.withColumn("begin", begin)
+        .select(
+            *group,
+            "slot",
+            "created_at",
+            "rank",
+            F.when(F.abs("rank") <= 4, F.col("rank")).alias("code"),
+            "begin",
+            F.least(F.col("begin") + F.col("n"), F.col("room")).alias("end"),
+        )
+        .where(F.col("begin") < F.col("end"))
+    )
+    # In a chain a block counts with its first sample, which may continue the alternation, and, if
+    # it has several, with its last, which may start another one.
+    several = F.col("end") - F.col("begin") > 1
     previous = F.lag("code").over(ordered)
-    same = F.coalesce(F.col("code") == previous, F.lit(False))
-    flips = F.coalesce((F.col("code") == -previous) & (F.col("code") != 0), F.lit(False))
-    # A block of several samples ends the alternation it joins with its first sample; its last
-    # sample may start another one.
-    starts = clipped.withColumns(
+    numbered = clipped.withColumns(
         {
-            "new_run": F.when(same, 0).otherwise(1),
-            "new_chain": F.when(flips, 0).otherwise(1),
-            "splits": F.when(F.col("n") > 1, 1).otherwise(0),
+            "same": F.coalesce(F.col("code") == previous, F.lit(False)),
+            "flips": F.coalesce((F.col("code") == -previous) & (F.col("code") != 0), F.lit(False)),
+            "is_first": F.lag("rank").over(ordered).isNull(),
+            "is_last": F.lead("rank").over(ordered).isNull(),
+            "several": several,
+            "last_at": F.sum(F.when(several, 2).otherwise(1)).over(so_far),
         }
     )
-    new_chains = F.col("new_chain") + F.col("splits")
-    placed = starts.withColumns(
+    first_at = F.col("last_at") - F.when(F.col("several"), 1).otherwise(0)
+    opened_before = F.max(
+        F.when(F.col("several"), F.col("last_at")).when(~F.col("flips"), first_at)
+    ).over(before)
+    measured = numbered.withColumns(
         {
-            "run": F.sum("new_run").over(so_far),
-            "runs": F.sum("new_run").over(whole),
-            "last_chain": F.sum(new_chains).over(so_far),
-            "chains": F.sum(new_chains).over(whole),
+            "run_start": F.max(F.when(~F.col("same"), F.col("begin"))).over(so_far),
+            "chain_start": F.when(F.col("flips"), opened_before).otherwise(first_at),
+            "first_at": first_at,
         }
     )
-
-    def member(kind: int, number: Column, of: Column, opens: Column, size: Column) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            number.alias("number"),
-            of.alias("of"),
-            opens.alias("opens"),
-            size.alias("size"),
-        )
-
-    one = F.lit(1).cast("bigint")
-    chains = F.col("chains")
-    members = F.array(
-        member(_CONSECUTIVE, F.col("run"), F.col("runs"), F.col("new_run") == 1, F.col("n")),
-        member(
-            _ALTERNATING,
-            F.col("last_chain") - F.col("splits"),
-            chains,
-            F.col("new_chain") == 1,
-            one,
-        ),
-        F.when(
-            F.col("splits") == 1,
-            member(_ALTERNATING, F.col("last_chain"), chains, F.lit(True), one),
-        ),
-    )
-    in_slot = (
-        placed.select(*group, "slot", "code", F.explode(members).alias("m"))
-        .where(F.col("m").isNotNull())
-        .groupBy(*group, "slot", "m.kind", "m.number", "m.of")
-        .agg(
-            F.max(F.when(F.col("m.opens"), F.col("code"))).alias("first_code"),
-            F.sum("m.size").alias("length"),
-        )
+    run = F.col("end") - F.col("run_start")
+    chain = F.col("first_at") - F.col("chain_start") + 1
+    last_chain = F.when(F.col("several"), 1).otherwise(chain)
+    one_chain = (F.col("chain_start") == 1) & ~F.col("several")
+
+    def longest(length: Column, kind: str) -> list[Column]:
+        return [
+            F.max(F.when(F.abs("code") == zone, length)).alias(f"{kind}_{zone}") for zone in ZONES
+        ]
+
+    return measured.groupBy(*group, "slot").agg(
+        F.max(F.when(F.col("is_first"), F.col("code"))).alias("first_code"),
+        F.max(F.when(F.col("is_last"), F.col("code"))).alias("last_code"),
+        F.max(F.when(F.col("run_start") == 0, run)).alias("run_first"),
+        F.max(F.when(F.col("is_last"), run)).alias("run_last"),
+        F.max(F.when(F.col("is_last"), F.col("run_start") == 0)).alias("run_whole"),
+        F.max(F.when(F.col("chain_start") == 1, chain)).alias("chain_first"),
+        F.max(F.when(F.col("is_last"), last_chain)).alias("chain_last"),
+        F.max(F.when(F.col("is_last"), one_chain)).alias("chain_whole"),
+        *longest(run, "run"),
+        *longest(chain, "chain"),
     )
 
-    # Parts of a slot: 0 its first run, 1 everything inside, 2 its last run.
-    part = F.when(F.col("number") == 1, 0).when(F.col("number") == F.col("of"), 2).otherwise(1)
-    turned = (F.col("kind") == _ALTERNATING) & (F.col("length") % 2 == 0)
-    last_code = F.when(turned, -F.col("first_code")).otherwise(F.col("first_code"))
-    border = part != 1
-    per_slot = (
-        in_slot.select(
-            *group,
-            "kind",
-            "slot",
-            part.alias("part"),
-            F.abs("first_code").alias("zone"),
-            F.when(border, F.col("first_code")).alias("first_code"),
-            F.when(border, last_code).alias("last_code"),
-            "length",
-        )
-        .where((F.col("part") != 1) | F.col("zone").between(1, 4))
-        .groupBy(*group, "kind", "slot", "part", "zone", "first_code", "last_code")
-        .agg(F.max("length").alias("length"))
-    )
 
-    across = Window.partitionBy(*group, "kind").orderBy(F.desc("slot"), "part")
-    previous_code = F.lag("last_code").over(across)
-    expected = F.when(F.col("kind") == _CONSECUTIVE, previous_code).otherwise(
-        F.when(previous_code != 0, -previous_code)
-    )
-    continues = F.coalesce(
-        (F.col("slot") != F.lag("slot").over(across)) & (F.col("first_code") == expected),
-        F.lit(False),
+def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
+    """Longest run per series, kind and zone, from blocks with ``room``.
+
+    Runs are first found inside each slot. A slot hands on one row, so the second step, which joins
+    runs across slot borders in the same way, sees one row per slot however many samples it has.
+    """
+    across = Window.partitionBy(*group).orderBy(F.desc("slot"))
+    so_far = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    kinds = {CONSECUTIVE: "run", ALTERNATING: "chain"}
+
+    previous = F.lag("last_code").over(across)
+    continues = {
+        "run": F.col("first_code") == previous,
+        "chain": (F.col("first_code") == -previous) & (previous != 0),
+    }
+    steps = {}
+    for kind, goes_on in continues.items():
+        own = F.col(f"{kind}_first")
+        weight = F.when(F.col(f"{kind}_whole"), own).otherwise(own + F.col(f"{kind}_last"))
+        steps[f"{kind}_goes_on"] = F.coalesce(goes_on, F.lit(False))
+        steps[f"{kind}_weight"] = weight
+        steps[f"{kind}_end"] = F.sum(weight).over(so_far)
+    numbered = _slot_runs(blocks, group).withColumns(steps)
+
+    totals = {}
+    for kind in continues:
+        whole, goes_on = F.col(f"{kind}_whole"), F.col(f"{kind}_goes_on")
+        begin = F.col(f"{kind}_end") - F.col(f"{kind}_weight")
+        opened_before = F.max(
+            F.when(~whole, F.col(f"{kind}_end") - F.col(f"{kind}_last")).when(~goes_on, begin)
+        ).over(before)
+        start = F.when(goes_on, opened_before).otherwise(begin)
+        totals[f"{kind}_total"] = begin + F.col(f"{kind}_first") - start
+    best = numbered.withColumns(totals).groupBy(*group).agg(
+        *[
+            F.greatest(
+                F.max(f"{kind}_{zone}"),
+                F.max(F.when(F.abs("first_code") == zone, F.col(f"{kind}_total"))),
+            ).alias(f"{kind}_{zone}")
+            for kind in continues
+            for zone in ZONES
+        ]
     )
-    joined = (
-        per_slot.withColumn("new_run", F.when(continues, 0).otherwise(1))
-        .withColumn(
-            "run",
-            F.sum("new_run").over(
-                across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            ),
-        )
-        .groupBy(*group, "kind", "run")
-        .agg(F.max("zone").alias("zone"), F.sum("length").alias("length"))
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(name).alias("kind"),
+                F.lit(zone).alias("zone"),
+                F.col(f"{kind}_{zone}").alias("longest"),
+            )
+            for name, kind in kinds.items()
+            for zone in ZONES
+        ]
     )
-    name = F.when(F.col("kind") == _CONSECUTIVE, CONSECUTIVE).otherwise(ALTERNATING)
     return (
-        joined.where(F.col("zone").between(1, 4))
-        .groupBy(*group, "kind", "zone")
-        .agg(F.max("length").alias("longest"))
-        .withColumn("kind", name)
+        best.select(*group, F.explode(entries).alias("e"))
+        .select(*group, "e.*")
+        .where(F.col("longest").isNotNull())
     )
 
 
