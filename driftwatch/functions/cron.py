@@ -69,65 +69,49 @@ def _field(parts: Column, index: int, field: str) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(values)))
 
 
-def parse_schedules(schedules: DataFrame, column: str = "schedule") -> DataFrame:
-    """One row per distinct schedule with the allowed values of every field; NULL where unreadable."""
-    distinct = schedules.select(F.col(column).alias("schedule")).where(F.col(column).isNotNull()).distinct()
-    text = F.lower(F.trim("schedule"))
+def parse(schedule: Column) -> Column:
+    """A struct with the allowed values of every field; NULL where one cannot be read."""
+    text = F.lower(F.trim(schedule))
     shorthand = F.create_map(*[F.lit(part) for pair in SHORTHANDS.items() for part in pair])
-    text = F.coalesce(F.try_element_at(shorthand, text), text)
-    parts = F.split(text, r"\s+")
+    parts = F.split(F.coalesce(F.try_element_at(shorthand, text), text), r"\s+")
     good_count = F.size(parts).isin(6, 7)
-    return distinct.select(
-        "schedule",
+    return F.struct(
         *[
             F.when(good_count, _field(parts, i, field)).alias(field)
             for i, field in enumerate(FIELDS)
-        ],
+        ]
     )
 
 
-def _next_above(values: str, floor: Column) -> Column:
-    return F.array_min(F.filter(F.col(values), lambda v: v > floor))
+def _next_above(values: Column, floor: Column) -> Column:
+    return F.array_min(F.filter(values, lambda v: v > floor))
 
 
 def _time(hour: Column, minute: Column, second: Column) -> Column:
     return hour * 3600 + minute * 60 + second
 
 
-def next_runs(schedules: DataFrame, now, column: str = "schedule") -> DataFrame:
-    """``(schedule, next_run)`` for every distinct schedule: the first instant strictly after ``now``.
-
-    Schedules that cannot be read, or never come round, get a NULL ``next_run``.
-    """
-    now = as_timestamp(now)
-    # The parsed fields are grouped so that they are computed once per schedule; as plain
-    # projections the optimizer would fold them into the day filter and parse once per day.
-    fields = list(FIELDS)
-    parsed = (
-        parse_schedules(schedules, column)
-        .groupBy("schedule")
-        .agg(*[F.first(f).alias(f) for f in fields])
+def _upcoming(fields: Column, now: Column) -> Column:
+    """First instant strictly after ``now`` that the parsed fields allow."""
+    values = {field: fields[field] for field in FIELDS}
+    first_hour, first_minute, first_second = (
+        F.array_min(values[f]) for f in ("hours", "minutes", "seconds")
     )
-
-    first_hour = F.array_min("hours")
-    first_minute = F.array_min("minutes")
-    first_second = F.array_min("seconds")
     hour, minute, second = F.hour(now), F.minute(now), F.second(now)
-    in_hour = F.array_contains("hours", hour)
-    in_minute = in_hour & F.array_contains("minutes", minute)
+    in_hour = F.array_contains(values["hours"], hour)
+    in_minute = in_hour & F.array_contains(values["minutes"], minute)
     today_time = F.coalesce(
-        F.when(in_minute, _time(hour, minute, _next_above("seconds", second))),
-        F.when(in_hour, _time(hour, _next_above("minutes", minute), first_second)),
-        _time(_next_above("hours", hour), first_minute, first_second),
+        F.when(in_minute, _time(hour, minute, _next_above(values["seconds"], second))),
+        F.when(in_hour, _time(hour, _next_above(values["minutes"], minute), first_second)),
+        _time(_next_above(values["hours"], hour), first_minute, first_second),
     )
-    other_time = _time(first_hour, first_minute, first_second)
 
     def day_matches(day: Column) -> Column:
         return (
-            F.array_contains("months", F.month(day))
-            & F.array_contains("days", F.dayofmonth(day))
-            & F.array_contains("weekdays", F.dayofweek(day))
-            & F.array_contains("years", F.year(day))
+            F.array_contains(values["months"], F.month(day))
+            & F.array_contains(values["days"], F.dayofmonth(day))
+            & F.array_contains(values["weekdays"], F.dayofweek(day))
+            & F.array_contains(values["years"], F.year(day))
         )
 
     today = F.to_date(now)
@@ -136,14 +120,32 @@ def next_runs(schedules: DataFrame, now, column: str = "schedule") -> DataFrame:
         days = F.sequence(F.date_add(today, start), F.date_add(today, stop))
         return F.array_min(F.filter(days, day_matches))
 
-    # coalesce stops at the first hit, so only sparse schedules search the long horizon.
-    later_day = F.coalesce(first_day(1, 366), first_day(367, HORIZON_DAYS))
+    # coalesce stops at the first hit, so only sparse schedules search the longer horizons.
+    later_day = F.coalesce(first_day(1, 7), first_day(8, 366), first_day(367, HORIZON_DAYS))
     midnight = F.unix_seconds(F.date_trunc("day", now))
-    next_run = F.coalesce(
+    return F.coalesce(
         F.when(day_matches(today), F.timestamp_seconds(midnight + today_time)),
-        F.timestamp_seconds(F.unix_seconds(later_day.cast("timestamp")) + other_time),
+        F.timestamp_seconds(
+            F.unix_seconds(later_day.cast("timestamp")) + _time(first_hour, first_minute, first_second)
+        ),
     )
-    readable = F.lit(True)
-    for field in fields:
-        readable = readable & F.col(field).isNotNull()
-    return parsed.select("schedule", F.when(readable, next_run).alias("next_run"))
+
+
+def next_runs(schedules: DataFrame, now, column: str = "schedule") -> DataFrame:
+    """``(schedule, next_run)`` for every distinct schedule: the first instant strictly after ``now``.
+
+    Schedules that cannot be read, or never come round, get a NULL ``next_run``.
+    """
+    now = as_timestamp(now)
+    distinct = schedules.select(F.col(column).alias("schedule")).where(F.col(column).isNotNull()).distinct()
+
+    def upcoming(fields: Column) -> Column:
+        readable = F.lit(True)
+        for field in FIELDS:
+            readable = readable & fields[field].isNotNull()
+        return F.when(readable, _upcoming(fields, now))
+
+    # Going through a one-element array binds the parsed fields to a name. Written out in place,
+    # they would be parsed again for every day that is tried.
+    found = F.transform(F.array(parse(F.col("schedule"))), upcoming)
+    return distinct.select("schedule", found[0].alias("next_run"))
