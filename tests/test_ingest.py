@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from driftwatch.sources import tables as tbl
 from driftwatch.sources.tables import Tables
 from driftwatch.streaming import ingest as streams
 
+
 TIME = "2024-06-26T20:43:27.957229"
 
 
@@ -101,7 +103,10 @@ def test_stream_in_small_batches_equals_one_batch(spark, tmp_path):
     source.mkdir()
     for i in range(4):
         lines = [envelope("SPC", spc(f"feature{j}", float(j % 3))) for j in range(i, i + 5)]
-        (source / f"{i}.json").write_text("\n".join(lines + [envelope("OBSERVABILITY", route()), "{bad"]))
+        file = source / f"{i}.json"
+        file.write_text("\n".join(lines + [envelope("OBSERVABILITY", route()), "{bad"]))
+        # Files are taken in the order of their times, which must not coincide.
+        os.utime(file, (1_700_000_000 + i,) * 2)
     tables = Tables(spark, str(tmp_path / "tables"))
     for _ in range(2):  # the second run finds nothing new
         stream = msg.file_stream(spark, str(source), max_files=1)
