@@ -35,7 +35,7 @@ LIMITS = {
 }
 
 
-def document(repository="statworld", rule="4 4 4 8 2 4 1 1", monitored=("col_1", "col_3"), features=LIMITS, **extra):
+def document(repository="repo_a", rule="4 4 4 8 2 4 1 1", monitored=("col_1", "col_3"), features=LIMITS, **extra):
     return json.dumps(
         {
             "features": {k: {"id": k, **v} for k, v in features.items()},
@@ -62,7 +62,7 @@ def document(repository="statworld", rule="4 4 4 8 2 4 1 1", monitored=("col_1",
     )
 
 
-def profile(repository="statworld", doc=None, active=True, drift_type="SPC", schedule="0 0 0 * * *"):
+def profile(repository="repo_a", doc=None, active=True, drift_type="SPC", schedule="0 0 0 * * *"):
     return (
         NOW, NOW, "test_app", repository, "0.1.0", doc or document(repository), active, schedule,
         NOW - DAY, NOW - 2 * DAY, "0.1.0", drift_type,
@@ -73,7 +73,7 @@ def profiles(spark, *rows):
     return spark.createDataFrame(list(rows), PROFILE)
 
 
-def values(spark, repository="statworld", features=("col_1", "col_3"), start=NOW - DAY):
+def values(spark, repository="repo_a", features=("col_1", "col_3"), start=NOW - DAY):
     level = {"col_1": -3.5, "col_2": -3.5, "col_3": 2.5}
     rows = [
         (start + dt.timedelta(seconds=i), "test_app", repository, "0.1.0", f, level[f])
@@ -92,13 +92,13 @@ def keys(df):
 
 
 TWO_ALERTS = [
-    ("statworld", "col_1", "Zone 1", "Consecutive"),
-    ("statworld", "col_3", "Zone 4", "Consecutive"),
+    ("repo_a", "col_1", "Zone 1", "Consecutive"),
+    ("repo_a", "col_3", "Zone 4", "Consecutive"),
 ]
 
 
 def test_two_alerts(spark):
-    table = profiles(spark, profile(), profile("mathworld", active=False))
+    table = profiles(spark, profile(), profile("repo_b", active=False))
     drift = values(spark, features=("col_1", "col_2", "col_3"))
     result = drift_check.run_due_checks(table, drift, no_alerts(spark), NOW)
     assert keys(result.alerts) == TWO_ALERTS
@@ -106,9 +106,9 @@ def test_two_alerts(spark):
     assert sorted(r.id for r in rows) == [1, 2]
     assert all(r.status == "active" and r.alert["feature"] == r.feature for r in rows)
     after = {r.repository: r for r in result.profiles.collect()}
-    assert after["statworld"].previous_run == (NOW - DAY).replace(tzinfo=None)
-    assert after["statworld"].next_run == dt.datetime(2024, 6, 27)
-    assert after["mathworld"].previous_run == (NOW - 2 * DAY).replace(tzinfo=None)
+    assert after["repo_a"].previous_run == (NOW - DAY).replace(tzinfo=None)
+    assert after["repo_a"].next_run == dt.datetime(2024, 6, 27)
+    assert after["repo_b"].previous_run == (NOW - 2 * DAY).replace(tzinfo=None)
     assert result.errors.count() == 0
 
 
@@ -149,12 +149,12 @@ def test_a_bad_profile_does_not_stop_the_others(spark):
     }
     # Failed checks move on to their next run as well, unless there is none.
     moved = {r.repository for r in result.profiles.where("next_run > previous_run + interval 1 day").collect()}
-    assert moved == {"statworld", "rule", "type", "text", "limits"}
+    assert moved == {"repo_a", "rule", "type", "text", "limits"}
 
 
 def test_data_key_differs_from_table_key(spark):
     """Values are looked up by the key in the document, alerts stored under that of the table."""
-    table = profiles(spark, profile("renamed", document("statworld")))
+    table = profiles(spark, profile("renamed", document("repo_a")))
     result = drift_check.run_due_checks(table, values(spark), no_alerts(spark), NOW)
     assert {r.repository for r in result.alerts.collect()} == {"renamed"}
 
@@ -187,7 +187,7 @@ def test_insert_update_and_status(spark):
     )
     table = profile_ops.insert_profiles(profiles(spark, profile()), requests, NOW, arrival="arrival")
     rows = {r.repository: r for r in table.collect()}
-    assert set(rows) == {"statworld", "new"}
+    assert set(rows) == {"repo_a", "new"}
     new = rows["new"]
     assert not new.active and new.next_run == new.previous_run == dt.datetime(2024, 6, 27)
     assert new.client_version == "0.1.0" and '"4 4 4 8 2 4 1 1"' in new.profile
@@ -200,13 +200,13 @@ def test_insert_update_and_status(spark):
     updated = profile_ops.update_profiles(table, change)
     rows = {r.repository: r for r in updated.collect()}
     assert '"test"' in rows["new"].profile and rows["new"].next_run == new.next_run
-    assert updated.count() == 2 and rows["statworld"].profile == document()
+    assert updated.count() == 2 and rows["repo_a"].profile == document()
 
     status = spark.createDataFrame(
         [("new", "test_app", "0.1.0", True)], "repository string, name string, version string, active boolean"
     )
     flipped = profile_ops.set_profile_status(updated, status)
-    assert {r.repository: r.active for r in flipped.collect()} == {"new": True, "statworld": True}
+    assert {r.repository: r.active for r in flipped.collect()} == {"new": True, "repo_a": True}
     key = dict(zip(SERVICE, ("nowhere", "test_app", "0.1.0")))
     assert profile_ops.get_profile(flipped, key).count() == 0
     assert profile_ops.get_profile(flipped, {**key, "repository": "new"}).count() == 1

@@ -7,7 +7,7 @@ from driftwatch.plans.service import Monitor, service_key
 from test_drift_check import DAY, NOW, document
 from test_ingest import envelope, route
 
-APP = service_key("statworld", "test_app", "0.1.0")
+APP = service_key("repo_a", "test_app", "0.1.0")
 
 
 def test_end_to_end(spark, tmp_path):
@@ -23,7 +23,7 @@ def test_end_to_end(spark, tmp_path):
 
     def record(feature, second, value):
         at = (NOW - DAY / 2 + dt.timedelta(seconds=second)).replace(tzinfo=None).isoformat()
-        return {"SPC": {"record": {"created_at": at, "name": "test_app", "repository": "statworld",
+        return {"SPC": {"record": {"created_at": at, "name": "test_app", "repository": "repo_a",
                                    "version": "0.1.0", "feature": feature, "value": value}}}
 
     texts = [
