@@ -1,6 +1,5 @@
 """Session settings the library relies on."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +14,12 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local session, which has nobody to share with, may go without the setting.
+    Where that is unset, a folder of the warehouse, which executors share as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="driftwatch-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if not named:
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    return named.rstrip("/")
 
 
 def run_dir(spark: SparkSession) -> str:
