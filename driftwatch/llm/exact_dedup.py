@@ -53,7 +53,9 @@ class DigestIndex:
     def append(self, digests: DataFrame, batch: str) -> None:
         """``digests``: digest, id. Stores those not seen before, with the largest id of each."""
         new = digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
-        new = new.join(self.stored().select("digest").hint("merge"), "digest", "left_anti")
+        # Written first: the optimizer would move the anti-join below the aggregate, and rows of a
+        # frequent digest would then all be shuffled to one task.
+        new = pin(new).join(self.stored().select("digest").hint("merge"), "digest", "left_anti")
         if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
             new = new.repartition(self.buckets, "digest")
         new.withColumn("batch", F.lit(batch)).write.insertInto(self.table)
