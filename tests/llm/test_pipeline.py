@@ -1,0 +1,77 @@
+"""The pipeline and the registered queries on small tables."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline
+from driftwatch.llm import decontaminate
+from driftwatch.llm.oracle import ORACLE
+from driftwatch.llm.queries import QUERIES
+from llm.test_duplicates import brute_classes, lower
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_matches_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLE[name]).df()
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    text = lambda f: sorted(map(tuple, f[columns].astype(object).where(f[columns].notna(), None).astype(str).replace(r"\.0$", "", regex=True).values))
+    assert text(got) == text(want)
+
+
+def test_each_stage_decides_on_all_it_gets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    mild = stages[0](spark, docs, SF)
+    assert mild.columns == docs.columns
+    left = {r["doc_id"] for r in mild.collect()}
+    marked = [d for d in labels if labels[d] == 0]
+    assert sum(d in left for d in marked) >= 0.97 * len(marked)
+
+    by_text = {}
+    for d in rows:
+        by_text[lower(rows[d])] = max(d, by_text.get(lower(rows[d]), d))
+    once = stages[1](spark, docs, SF)
+    assert once.columns == docs.columns
+    kept = {r["doc_id"] for r in once.collect()}
+    assert kept == set(by_text.values())
+
+    near = stages[2](spark, once, SF)
+    assert near.columns == docs.columns
+    classes = brute_classes([(d, rows[d]) for d in kept])
+    assert {r["doc_id"] for r in near.collect()} == {c[1] for c in classes}
+
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    patterns = decontaminate.compile_patterns(items, 10)
+    windows = {t for p in patterns for t in p.texts}
+    clean = {r["doc_id"] for r in stages[3](spark, near, SF).collect()}
+    import re
+
+    for r in near.collect():
+        words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r["text"]))]
+        leaked = any(b" ".join(words[k : k + 10]) in windows for k in range(len(words) - 9))
+        assert leaked == (r["doc_id"] not in clean)
+
+
+def test_run_packs_what_is_left(spark):
+    pieces = corpus_pipeline.run(spark, SF)
+    by_doc = {}
+    for p in pieces.collect():
+        by_doc.setdefault(p["doc_id"], []).append(p)
+    assert by_doc and all(sum(p["length"] for p in own) == own[0]["doc_tokens"] for own in by_doc.values())
+    rows = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    texts = [lower(rows[d]) for d in by_doc]
+    assert len(set(texts)) == len(texts)
+
+
+def test_stages_take_empty_tables(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        assert stage(spark, docs, SF).count() == 0
