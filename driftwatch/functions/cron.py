@@ -18,8 +18,8 @@ SHORTHANDS = {
     "@daily": "0 0 0 * * * *",
     "@hourly": "0 0 * * * * *",
 }
-MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
-WEEKDAYS = ["sun", "mon", "tue", "wed", "thu", "fri", "sat"]
+MONTHS = "january february march april may june july august september october november december".split()
+WEEKDAYS = "sunday monday tuesday wednesday thursday friday saturday".split()
 FIELDS = {
     "seconds": (0, 59),
     "minutes": (0, 59),
@@ -31,17 +31,15 @@ FIELDS = {
 }
 NAMES = {"months": MONTHS, "weekdays": WEEKDAYS}
 
-# A leap day can be eight years away (1896 to 1904, 2096 to 2104).
-HORIZON_DAYS = 366 * 8
-
 _PART = r"^(\*|\?|[0-9a-z]+)(?:-([0-9a-z]+))?(?:/([0-9]+))?$"
 
 
 def _number(text: Column, field: str) -> Column:
     value = text.try_cast("int")
     if field in NAMES:
-        position = F.array_position(F.array(*[F.lit(n) for n in NAMES[field]]), F.substring(text, 1, 3))
-        value = F.coalesce(value, F.when(position > 0, position.cast("int")))
+        numbers = {name[:n]: k for k, name in enumerate(NAMES[field], 1) for n in (3, len(name))}
+        named = F.create_map(*[F.lit(x) for pair in numbers.items() for x in pair])
+        value = F.coalesce(value, F.try_element_at(named, text))
     return value
 
 
@@ -116,12 +114,21 @@ def _upcoming(fields: Column, now: Column) -> Column:
 
     today = F.to_date(now)
 
-    def first_day(start: int, stop: int) -> Column:
-        days = F.sequence(F.date_add(today, start), F.date_add(today, stop))
+    # The last day of the last year a schedule can name.
+    end = F.make_date(F.lit(FIELDS["years"][1]), F.lit(12), F.lit(31))
+
+    def first_day(start: int, stop: Column) -> Column:
+        first = F.date_add(today, start)
+        days = F.when(first <= stop, F.sequence(first, stop))
         return F.array_min(F.filter(days, day_matches))
 
     # coalesce stops at the first hit, so only sparse schedules search the longer horizons.
-    later_day = F.coalesce(first_day(1, 7), first_day(8, 366), first_day(367, HORIZON_DAYS))
+    later_day = F.coalesce(
+        first_day(1, F.date_add(today, 7)),
+        first_day(8, F.date_add(today, 366)),
+        first_day(367, F.date_add(today, 366 * 8)),
+        first_day(366 * 8 + 1, end),
+    )
     midnight = F.unix_seconds(F.date_trunc("day", now))
     return F.coalesce(
         F.when(day_matches(today), F.timestamp_seconds(midnight + today_time)),

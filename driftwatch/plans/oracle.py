@@ -298,7 +298,12 @@ ORACLE = {
         SELECT {_SERVICE}, schedule, previous_run, next_run, drift_type
         FROM users WHERE active AND next_run < {_NOW}""",
     "cron_next_run": f"""WITH {_USERS}, {_UPCOMING}
-        SELECT {_SERVICE}, schedule, upcoming AS next_run FROM users JOIN upcoming USING (schedule)""",
+        SELECT {_SERVICE},
+               CASE WHEN active AND user_id % 6 = 5 THEN '0 0 0 29 2 MON'
+                    WHEN active AND user_id % 6 = 4 THEN '0 0 0 1 1 * 2040' ELSE schedule END AS schedule,
+               CASE WHEN active AND user_id % 6 = 5 THEN TIMESTAMP '2044-02-29'
+                    WHEN active AND user_id % 6 = 4 THEN TIMESTAMP '2040-01-01' ELSE upcoming END AS next_run
+        FROM users JOIN upcoming USING (schedule)""",
     "advance_schedule": f"""WITH {_USERS}, {_UPCOMING}
         SELECT {_SERVICE}, active,
                CASE WHEN active THEN next_run ELSE previous_run END AS previous_run,

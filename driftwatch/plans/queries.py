@@ -238,7 +238,12 @@ def due_profiles(spark, sf_dir):
 
 
 def cron_next_run(spark, sf_dir):
+    """Active users have schedules that come round once in decades."""
     users = views.user_profiles(views.events(spark, sf_dir))
+    rare = F.when(F.col("schedule") == "0 0 0 29 2 *", "0 0 0 29 2 MON").when(
+        F.col("schedule") == "0 0 12 1 * ?", "0 0 0 1 1 * 2040"
+    )
+    users = users.withColumn("schedule", F.coalesce(F.when(F.col("active"), rare), "schedule"))
     upcoming = next_runs(users, views.CHECK_TIME)
     joined = users.select(*SERVICE, "schedule").join(upcoming, "schedule")
     return plain(joined.select(*SERVICE, "schedule", "next_run"))

@@ -20,6 +20,10 @@ CASES = {
     "0 0 0 29 2 *": "2028-02-29 00:00:00",
     "0 0 0 13 * 6": "2024-09-13 00:00:00",
     "0 0 0 1 1 * 2030": "2030-01-01 00:00:00",
+    "0 0 0 29 2 MON": "2044-02-29 00:00:00",
+    "0 0 0 1 1 * 2040": "2040-01-01 00:00:00",
+    "0 0 0 31 dec * 2100": "2100-12-31 00:00:00",
+    "0 0 0 * february Tuesday": "2025-02-04 00:00:00",
     "0 50/5 * * * *": "2024-06-26 20:50:00",
     "@hourly": "2024-06-26 21:00:00",
     "@daily": "2024-06-27 00:00:00",
@@ -37,6 +41,9 @@ CASES = {
     "0 */0 * * * *": None,
     "": None,
     "test": None,
+    "0 0 0 * * monkey": None,
+    "0 0 0 * * mo": None,
+    "0 0 0 * decade *": None,
 }
 
 
