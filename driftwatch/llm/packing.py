@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 #: ASCII marks but the apostrophe, which can begin a token with the letters after it.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -180,7 +180,7 @@ def pack_documents(
     token ids themselves as ``ids``."""
     schema = StructType([*PIECE.fields])
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
     names = [f.name for f in schema.fields]
 
     def emit(rows: list[tuple[int | None, np.ndarray]], base: int) -> tuple[pa.RecordBatch, int]:
