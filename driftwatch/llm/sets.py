@@ -154,6 +154,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours, then the label of that label. Labels are
     written to the shared folder after each round; only the number of changes reaches the driver.
     """
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    short = edges.join(least, "a")
+    # Neighbours of a node are linked to the smallest of them instead of to the node. Buckets of
+    # many runs share most of these links, so few are left.
+    edges = short.select("a", F.col("m").alias("b")).unionByName(
+        short.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    )
+    edges = edges.distinct()
     both = pin(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = pin(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")))
     while True:
