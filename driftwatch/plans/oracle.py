@@ -199,7 +199,8 @@ _MESSAGES = """messages AS (
     WHEN event_type = 'error' THEN 'routes'
     WHEN event_type <> 'signup' OR k >= 80 THEN 'values'
     WHEN k < 20 THEN 'malformed' WHEN k < 40 THEN 'unsupported_type'
-    WHEN k < 60 THEN 'wrong_variant' ELSE 'bad_timestamp' END AS fate
+    WHEN k < 60 THEN 'wrong_variant' WHEN k < 70 THEN 'bad_timestamp'
+    WHEN k < 74 THEN 'missing_field' ELSE 'malformed' END AS fate
   FROM ek),
 decoded AS (
   SELECT ts AS created_at, name, repository, version, event_type AS feature, value

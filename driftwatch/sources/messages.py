@@ -2,7 +2,7 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwatch.schemas import MAX_TEXT, MESSAGE
@@ -16,6 +16,10 @@ UNSUPPORTED = "unsupported_type"
 WRONG_VARIANT = "wrong_variant"
 BAD_TIMESTAMP = "bad_timestamp"
 TOO_LONG = "too_long"
+MISSING_FIELD = "missing_field"
+
+# Takes the text of a message in which a field has another type than declared.
+UNREADABLE = "_unreadable"
 
 
 def kafka_options(
@@ -85,20 +89,30 @@ class Decoded(NamedTuple):
     rejects: DataFrame
 
 
+def _any_null(record: str, fields: list[str]) -> Column:
+    return F.greatest(*[F.col(f"{record}.{c}").isNull() for c in fields])
+
+
 def parse_records(messages: DataFrame) -> DataFrame:
     """One row per record of every message, with ``reason`` where it cannot be stored.
 
-    A message that cannot be read gives a single row. Input: ``value`` text and, optionally,
-    ``timestamp``.
+    A message that cannot be read, or has a field of another type than declared, gives a single row.
+    Every field of a record must be there, but for ``value``: a value that is absent or null is stored as
+    NULL, as one that was not measured. Where a text is declared, other JSON is read as its text. Input: ``value`` text and, optionally, ``timestamp``.
     """
     stamp = F.col("timestamp") if "timestamp" in messages.columns else F.current_timestamp()
     parsed = messages.select(
-        "value", stamp.alias("timestamp"), F.from_json("value", MESSAGE).alias("m")
+        "value",
+        stamp.alias("timestamp"),
+        F.from_json(
+            "value", f"{MESSAGE}, {UNREADABLE} string", {"columnNameOfCorruptRecord": UNREADABLE}
+        ).alias("m"),
     )
     known = F.col("m.record_type").isin(SPC, OBSERVABILITY)
-    fault = F.when(
-        F.col("m.record_type").isNull() | (F.col("m.records").isNull() & known), MALFORMED
-    ).when(~known, UNSUPPORTED)
+    unreadable = F.col("m.records").isNull() | F.col(f"m.{UNREADABLE}").isNotNull()
+    fault = F.when(F.col("m.record_type").isNull() | (unreadable & known), MALFORMED).when(
+        ~known, UNSUPPORTED
+    )
     # An empty list of records is valid and stores nothing, hence no outer explode for it.
     placeholder = F.when(fault.isNotNull(), F.array(F.lit(None))).otherwise(F.col("m.records"))
     rows = parsed.select(
@@ -118,6 +132,11 @@ def parse_records(messages: DataFrame) -> DataFrame:
     is_spc = F.col("record_type") == SPC
     record_missing = F.when(is_spc, F.col("spc").isNull()).otherwise(F.col("obs").isNull())
     created_at = F.try_to_timestamp(F.col("spc.created_at"))
+    missing = F.when(is_spc, _any_null("spc", ["name", "repository", "version", "feature"])).otherwise(
+        _any_null(
+            "obs", ["name", "repository", "version", "request_count", "error_count", "route_metrics"]
+        )
+    )
     texts = [
         F.coalesce(F.length(F.when(is_spc, F.col(f"spc.{c}")).otherwise(F.col(f"obs.{c}"))), F.lit(0))
         for c in ("name", "repository", "version")
@@ -125,6 +144,7 @@ def parse_records(messages: DataFrame) -> DataFrame:
     reason = (
         F.when(F.col("fault").isNotNull(), F.col("fault"))
         .when(record_missing, WRONG_VARIANT)
+        .when(missing, MISSING_FIELD)
         .when(is_spc & created_at.isNull(), BAD_TIMESTAMP)
         .when(F.greatest(*texts) > MAX_TEXT, TOO_LONG)
     )

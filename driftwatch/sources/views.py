@@ -341,18 +341,19 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit(record_type).alias("record_type"), F.array(*records).alias("records"))
         )
 
-    route = F.struct(
-        F.struct(
-            F.struct(
-                F.lit("app").alias("name"),
-                _repository().alias("repository"),
-                F.lit("1.0.0").alias("version"),
-                (k + 11).alias("request_count"),
-                (k % 5).alias("error_count"),
-                route_metrics().alias("route_metrics"),
-            ).alias("record")
-        ).alias("OBSERVABILITY")
-    )
+    def route_record(request_count: Column) -> Column:
+        record = F.struct(
+            F.lit("app").alias("name"),
+            _repository().alias("repository"),
+            F.lit("1.0.0").alias("version"),
+            request_count.alias("request_count"),
+            (k % 5).alias("error_count"),
+            route_metrics().alias("route_metrics"),
+        )
+        return F.struct(F.struct(record.alias("record")).alias("OBSERVABILITY"))
+
+    route = route_record(k + 11)
+    overflowing = route_record(F.lit(3_000_000_000))
     values = envelope(
         "SPC",
         spc(stamp, F.col("event_type"), F.col("value")),
@@ -364,7 +365,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(signup & (k < 20), F.concat(F.lit("{bad "), F.col("event_id").cast("string")))
         .when(signup & (k < 40), envelope("PSI", spc(stamp, F.col("event_type"), F.col("value"))))
         .when(signup & (k < 60), envelope("SPC", route))
-        .when(signup & (k < 80), envelope("SPC", spc(F.lit("yesterday"), F.col("event_type"), F.col("value"))))
+        .when(signup & (k < 70), envelope("SPC", spc(F.lit("yesterday"), F.col("event_type"), F.col("value"))))
+        .when(signup & (k < 74), envelope("SPC", spc(stamp, F.lit(None).cast("string"), F.col("value"))))
+        .when(signup & (k < 77), envelope("SPC", spc(stamp, F.col("event_type"), F.lit("abc"))))
+        .when(signup & (k < 80), envelope("OBSERVABILITY", overflowing))
         .otherwise(values)
     )
     return events(spark, sf_dir).select(text.alias("value"), F.col("ts").alias("timestamp"))
