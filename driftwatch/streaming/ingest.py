@@ -18,9 +18,6 @@ from driftwatch.sources.tables import Tables
 # Late values are accepted as long as drift rows are kept.
 WATERMARK = "7 days"
 
-# Longest list of days used to prune the search for stored values.
-MAX_DAYS = 400
-
 
 def store_batch(tables: Tables, messages: DataFrame, batch: str) -> None:
     """Decode one batch of messages and store values, route metrics and rejects.
@@ -32,19 +29,25 @@ def store_batch(tables: Tables, messages: DataFrame, batch: str) -> None:
     records = parse_records(messages).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         values = spc_records(records)
-        days = values.select(F.to_date("created_at").alias("d")).distinct().limit(MAX_DAYS + 1).collect()
-        if days:
-            stored = tables.read("drift").where(F.col("ingest_batch") != batch)
-            # A batch normally touches few days. One that touches more is checked against all.
-            if len(days) <= MAX_DAYS:
-                stored = stored.where(F.col("event_date").isin([d["d"] for d in days]))
-            tables.write_batch("drift", new_rows(stored, values), batch)
+        stored = tables.read("drift").where(F.col("ingest_batch") != batch)
+        tables.write_batch("drift", new_rows(on_days_of(stored, values), values), batch)
         tables.write_batch("observability", observability_records(records), batch)
         tables.write_batch("rejects", rejected_records(records), batch)
     finally:
         records.unpersist()
 
 
+def on_days_of(stored: DataFrame, values: DataFrame) -> DataFrame:
+    """The stored rows of the days that ``values`` touch, whose folders alone are read.
+
+    The days are broadcast: there are no more of them than the calendar has, however many rows
+    there are. Dynamic pruning wants a condition on them that looks selective, which the bound is for.
+    """
+    days = values.select(F.to_date("created_at").alias("event_date")).distinct()
+    days = days.where(F.col("event_date") > F.lit("0001-01-01").cast("date"))
+    return stored.join(F.broadcast(days), "event_date", "left_semi")
+
+
 def ingest(tables: Tables, messages: DataFrame, batch: str) -> None:
     """Batch ingest of JSON messages (column ``value``). ``batch`` identifies it: repeat it after a
     failure and nothing is stored twice."""

@@ -73,6 +73,38 @@ def test_dead_letters(spark):
     assert decoded.spc.count() == 1 and decoded.observability.count() == 0
 
 
+def test_fields_of_other_types_and_missing_ones(spark):
+    wide, short = route(), route()
+    wide["OBSERVABILITY"]["record"]["request_count"] = 3_000_000_000
+    del short["OBSERVABILITY"]["record"]["route_metrics"]
+    nameless = spc()
+    del nameless["SPC"]["record"]["name"]
+    decoded = msg.decode(batch(
+        spark,
+        envelope("SPC", spc(value="abc"), spc()),
+        envelope("OBSERVABILITY", wide),
+        envelope("OBSERVABILITY", short),
+        envelope("SPC", nameless),
+        envelope("SPC", spc(feature=None)),
+    ))
+    counts = {r.reason: r["count"] for r in decoded.rejects.groupBy("reason").count().collect()}
+    assert counts == {msg.MALFORMED: 2, msg.MISSING_FIELD: 3}
+    assert decoded.spc.count() == 0 and decoded.observability.count() == 0
+
+
+def test_batch_of_many_days(spark, tmp_path):
+    """Each day is looked up, and nothing else is read."""
+    tables = Tables(spark, str(tmp_path))
+    start = dt.datetime(2020, 1, 1)
+    days = [envelope("SPC", spc(created_at=(start + dt.timedelta(days=d)).isoformat())) for d in range(0, 1000, 2)]
+    streams.ingest(tables, batch(spark, *days), "one")
+    streams.ingest(tables, batch(spark, *days, envelope("SPC", spc())), "two")
+    assert tables.read("drift").count() == 501
+    values = msg.spc_records(msg.parse_records(batch(spark, *days)))
+    found = streams.on_days_of(tables.read("drift"), values)
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_insert_twice(spark):
     t = dt.datetime(2024, 6, 26, tzinfo=dt.timezone.utc)
     rows = [(t, "n", "r", "v", "f", 1.0)] * 2 + [(t, "n", "r", "v", "f", None)] * 2 + [(t, None, "r", "v", "f", 2.0)]
