@@ -7,6 +7,7 @@ from driftwatch.functions.timewin import as_timestamp, since
 from driftwatch.operators.numbering import number_rows
 from driftwatch.operators.series import of_service
 from driftwatch.schemas import SERVICE
+from driftwatch.session import pin
 
 ACTIVE = "active"
 _IDENTITY = SERVICE + ["feature", "scheduled_at", "_zone", "_kind"]
@@ -40,12 +41,17 @@ def new_alerts(existing: DataFrame, raised: DataFrame, created_at, start: int |
     fresh = _with_identity(rows).join(known, _IDENTITY, "left_anti")
     if start is None:
         start = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    return number_rows(fresh, _IDENTITY, "id", start).select(*existing.columns)
+    # Numbering uses its input twice. Alerts are few, the check that raises them is not repeated.
+    return number_rows(pin(fresh), _IDENTITY, "id", start).select(*existing.columns)
 
 
-def insert_alert(existing: DataFrame, service: dict, feature: str, alert: dict, created_at) -> DataFrame:
-    """The log with one more alert, for callers that raise alerts themselves."""
-    start = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+def insert_alert(
+    existing: DataFrame, service: dict, feature: str, alert: dict, created_at, start: int | None = None
+) -> DataFrame:
+    """The log with one more alert, for callers that raise alerts themselves. ``start`` is the last id
+    given out, if it is known."""
+    if start is None:
+        start = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
     spark = existing.sparkSession
     row = spark.range(1).select(
         as_timestamp(created_at).alias("created_at"),

@@ -21,12 +21,9 @@ def parse_documents(profiles: DataFrame) -> DataFrame:
     return profiles.withColumn("doc", F.from_json("profile", PROFILE_DOCUMENT))
 
 
-def _document_version() -> Column:
-    """The client's version: the top-level entry of the document named ``.._version``."""
-    entries = F.map_filter(
-        F.from_json("profile", "map<string,string>"), lambda k, v: k.endswith("_version")
-    )
-    return F.coalesce(F.try_element_at(F.map_values(entries), F.lit(1)), F.lit(DEFAULT_CLIENT_VERSION))
+def _document_version(field: str) -> Column:
+    """The client's version, as the top-level ``field`` of the document gives it."""
+    return F.coalesce(F.get_json_object("profile", f"$.{field}"), F.lit(DEFAULT_CLIENT_VERSION))
 
 
 def _rule() -> Column:
@@ -121,15 +118,45 @@ def due_profiles(profiles: DataFrame, now=None) -> DataFrame:
     return profiles.where(F.col("active") & (F.col("next_run") < now_or(now)))
 
 
-def insert_profiles(profiles: DataFrame, requests: DataFrame, now, arrival: str | None = None) -> DataFrame:
+UNREADABLE_PROFILE, UNREADABLE_SCHEDULE = "unreadable profile", "unreadable schedule"
+
+
+def _with_reason(requests: DataFrame, now) -> DataFrame:
+    """Requests with ``doc`` and ``_reason``, why they are refused, if they are."""
+    parsed = parse_documents(requests).withColumn("_schedule", F.col("doc.config.alert_config.schedule"))
+    upcoming = next_runs(parsed, now, "_schedule").select(
+        F.col("schedule").alias("_schedule"), F.col("next_run").alias("_upcoming")
+    )
+    keyless = F.greatest(*[F.col(f"doc.config.{c}").isNull() for c in SERVICE])
+    reason = F.when(F.coalesce(keyless, F.lit(True)), UNREADABLE_PROFILE).when(
+        F.col("_upcoming").isNull(), UNREADABLE_SCHEDULE
+    )
+    return parsed.join(upcoming, "_schedule", "left").withColumn("_reason", reason)
+
+
+def profile_rejects(requests: DataFrame, now) -> DataFrame:
+    """``profile`` and ``reason`` of requests that inserts and updates refuse: the document cannot be
+    read or lacks its key, or its schedule cannot be read or never comes round."""
+    refused = _with_reason(requests, as_timestamp(now)).where(F.col("_reason").isNotNull())
+    return refused.select("profile", F.col("_reason").alias("reason"))
+
+
+def insert_profiles(
+    profiles: DataFrame,
+    requests: DataFrame,
+    now,
+    arrival: str | None = None,
+    version_field: str = "client_version",
+) -> DataFrame:
     """The table after inserting the requested profiles that it lacks.
 
     ``requests`` has ``profile`` (document text) and ``drift_type``. New profiles are inactive, and
     both run dates are the next instant of their schedule. Of several requests for one service the
-    first by ``arrival`` counts.
+    first by ``arrival`` counts. Requests that ``profile_rejects`` names are not stored.
     """
     now = as_timestamp(now)
-    keyed = parse_documents(requests).select(
+    accepted = _with_reason(requests, now).where(F.col("_reason").isNull())
+    keyed = accepted.select(
         *[F.col(f"doc.config.{c}").alias(c) for c in SERVICE],
         "profile",
         "drift_type",
@@ -151,7 +178,7 @@ def insert_profiles(profiles: DataFrame, requests: DataFrame, now, arrival: str
             "profile",
             "drift_type",
             F.col("doc.config.alert_config.schedule").alias("schedule"),
-            _document_version().alias("client_version"),
+            _document_version(version_field).alias("client_version"),
         )
     )
     scheduled = detailed.join(next_runs(detailed, now), "schedule", "left")
@@ -172,12 +199,17 @@ def insert_profiles(profiles: DataFrame, requests: DataFrame, now, arrival: str
     return profiles.unionByName(rows.select(*profiles.columns))
 
 
-def update_profiles(profiles: DataFrame, requests: DataFrame, arrival: str | None = None) -> DataFrame:
+def update_profiles(
+    profiles: DataFrame, requests: DataFrame, arrival: str | None = None, now=None
+) -> DataFrame:
     """The table with ``profile`` and ``drift_type`` replaced; everything else stays.
 
     ``requests`` has the service key, ``profile`` and ``drift_type``. The last request by
-    ``arrival`` counts; one for an unknown service changes nothing.
+    ``arrival`` counts; one for an unknown service changes nothing. Requests that
+    ``profile_rejects`` names change nothing either.
     """
+    accepted = _with_reason(requests, now_or(now)).where(F.col("_reason").isNull())
+    requests = accepted.select(*requests.columns)
     order = F.struct((F.col(arrival) if arrival else F.lit(0)).alias("a"), F.col("profile"))
     last = (
         requests.groupBy(*SERVICE)
@@ -220,6 +252,30 @@ def advance_schedules(profiles: DataFrame, now) -> DataFrame:
     return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in profiles.columns])
 
 
+def run_dates(profiles: DataFrame, now) -> DataFrame:
+    """Service, ``checked`` (the next run that was due) and ``upcoming`` of due profiles whose schedule
+    goes on: what ``apply_run_dates`` needs of a check."""
+    due = due_profiles(profiles, now)
+    upcoming = next_runs(due, now).where(F.col("next_run").isNotNull())
+    return due.join(upcoming.withColumnRenamed("next_run", "upcoming"), "schedule").select(
+        *SERVICE, F.col("next_run").alias("checked"), "upcoming"
+    )
+
+
+def apply_run_dates(profiles: DataFrame, dates: DataFrame, now) -> DataFrame:
+    """The table with new run dates of the profiles checked, and nothing else changed. A profile whose
+    next run is no longer the one that was checked is left alone."""
+    now = as_timestamp(now)
+    moves = F.col("checked") == F.col("next_run")
+    changed = {
+        "previous_run": F.when(moves, F.col("checked")).otherwise(F.col("previous_run")),
+        "next_run": F.when(moves, F.col("upcoming")).otherwise(F.col("next_run")),
+        "updated_at": F.when(moves, now).otherwise(F.col("updated_at")),
+    }
+    joined = profiles.join(dates, SERVICE, "left")
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in profiles.columns])
+
+
 def schedule_errors(profiles: DataFrame, now) -> DataFrame:
     """Due profiles whose schedule has no next instant."""
     due = due_profiles(profiles, now)

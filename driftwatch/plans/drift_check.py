@@ -2,7 +2,7 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.functions.timewin import as_timestamp
@@ -77,16 +77,31 @@ def spc_alerts(drift: DataFrame, settings: DataFrame, **options) -> DataFrame:
 CHECKS = {profile_ops.SPC: spc_alerts}
 
 
-def empty_monitored(drift: DataFrame, settings: DataFrame) -> DataFrame:
-    """Monitored features without values since the previous run, though they had some before."""
-    limits = profile_ops.monitored_limits(settings)
-    facts = drift.select(*[F.col(c).alias(f"data_{c}") for c in SERVICE], "feature", "created_at")
-    newest = facts.groupBy(*DATA_KEY, "feature").agg(F.max("created_at").alias("newest"))
-    return (
-        limits.join(newest, DATA_KEY + ["feature"])
-        .where(F.col("newest") <= F.col("previous_run"))
-        .select(*SERIES)
-    )
+def empty_monitored(
+    drift: DataFrame,
+    settings: DataFrame,
+    history: DataFrame | None = None,
+    limit_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Monitored features without values since the previous run, though they had some before.
+
+    The silent ones are found among the recent values, which a check reads anyway; ``history`` is
+    searched for them alone, and where there are none, for nothing.
+    """
+    limits = profile_ops.monitored_limits(settings).select(*SERIES, *DATA_KEY, "previous_run")
+    key = DATA_KEY + ["feature"]
+
+    def rows_of(table: DataFrame, dimension: DataFrame, when: Column) -> DataFrame:
+        facts = table.select(
+            *[F.col(c).alias(f"data_{c}") for c in SERVICE], "feature", "created_at"
+        )
+        found = dimension_join(facts, dimension, key, ["created_at"], when, limit_bytes=limit_bytes)
+        return found.select(*SERIES).distinct()
+
+    heard = rows_of(drift, limits, F.col("created_at") > F.col("previous_run"))
+    silent = pin(limits.join(heard, SERIES, "left_anti"))
+    past = drift if history is None else history
+    return rows_of(past, silent, F.col("created_at") <= F.col("previous_run"))
 
 
 def check_drift(
@@ -102,7 +117,7 @@ def check_drift(
     ``history`` tells which features ever had values, where ``drift`` holds recent ones only.
     """
     settings = pin(profile_ops.profile_settings(profiles))
-    empty = empty_monitored(drift if history is None else history, settings)
+    empty = empty_monitored(drift, settings, history, options.get("limit_bytes", BROADCAST_BYTES))
     errors = profile_ops.profile_errors(settings).unionByName(
         empty.select(*SERVICE, F.concat(F.lit("no new values: "), "feature").alias("reason"))
     )
@@ -120,19 +135,21 @@ def run_due_checks(
     drift: DataFrame,
     alerts: DataFrame,
     now,
+    last_id: int | None = None,
     **options,
 ) -> CheckResult:
     """Check every due profile: alerts to append, the profile table afterwards, and errors.
 
     Store the alerts before the profiles. A crash in between repeats the run, and alerts are keyed by
-    the instant the run was due, so the repetition adds nothing.
+    the instant the run was due, so the repetition adds nothing. ``last_id`` is the last alert id
+    given out, where ``alerts`` is only part of the log.
     """
     now = as_timestamp(now)
     due = profile_ops.due_profiles(profiles, now)
     raised, errors = check_drift(drift, due, **options)
     raised = raised.join(due.select(*SERVICE, F.col("next_run").alias("scheduled_at")), SERVICE)
     return CheckResult(
-        alert_log.new_alerts(alerts, raised, now),
+        alert_log.new_alerts(alerts, raised, now, last_id),
         profile_ops.advance_schedules(profiles, now),
         errors.unionByName(profile_ops.schedule_errors(profiles, now)),
     )

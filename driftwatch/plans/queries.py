@@ -371,8 +371,9 @@ def drift_run_alert_ids(spark, sf_dir):
 
 
 def drift_run_profiles(spark, sf_dir):
-    _, result = _due_run(spark, sf_dir)
-    return plain(result.profiles.select(*SERVICE, "previous_run", "next_run", "updated_at"))
+    profiles = views.service_profiles(spark, sf_dir)
+    after = profile_ops.advance_schedules(profiles, views.CHECK_TIME)
+    return plain(after.select(*SERVICE, "previous_run", "next_run", "updated_at"))
 
 
 # Alerts

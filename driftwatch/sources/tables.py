@@ -1,5 +1,8 @@
 """Date-partitioned Parquet tables under one root folder."""
 
+import time
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from driftwatch import schemas
 from driftwatch.functions.timewin import as_timestamp, day_of, look_back, since
 from driftwatch.operators.series import of_service
+from driftwatch.sources import storage
 
 # Days each table is kept.
 RETENTION_DAYS = {"drift": 7, "observability": 14, "alerts": 21}
@@ -65,19 +69,29 @@ class Tables:
 
     def read(self, name: str) -> DataFrame:
         """The table, empty when nothing has been stored yet; of profiles the newest snapshot."""
+        if name == "profiles":
+            return self._snapshot(self._newest())
         try:
-            table = self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
+            return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], SCHEMAS[name])
-        if name == "profiles":
-            table = table.where(F.col("snapshot") == F.lit(self._newest(table)))
-        return table
 
-    @staticmethod
-    def _newest(profiles: DataFrame) -> int:
-        return profiles.agg(F.coalesce(F.max("snapshot"), F.lit(0)).alias("s")).first()["s"]
+    def _snapshot(self, number: int) -> DataFrame:
+        if not number:
+            return self.spark.createDataFrame([], SCHEMAS["profiles"])
+        reader = self.spark.read.schema(SCHEMAS["profiles"]).option("basePath", self.path("profiles"))
+        return reader.parquet(f"{self.path('profiles')}/snapshot={number}")
+
+    def _snapshots(self) -> list[int]:
+        """Numbers of the snapshots that are complete."""
+        names = storage.folders(self.spark, self.path("profiles"))
+        done = [n for n in names if storage.exists(self.spark, f"{self.path('profiles')}/{n}/_SUCCESS")]
+        return sorted(int(n.removeprefix("snapshot=")) for n in done)
+
+    def _newest(self) -> int:
+        return max(self._snapshots(), default=0)
 
     def write_batch(self, name: str, rows: DataFrame, batch: str) -> None:
         """Stores one ingest batch; storing it again replaces it, also after a crash half way.
@@ -86,6 +100,12 @@ class Tables:
         parts and split large ones, so files come out evenly sized even where one day holds most
         rows. Sorting by service keeps row-group statistics selective.
         """
+        for day in storage.folders(self.spark, self.path(name)):
+            # Also on days that the rows no longer touch.
+            if day.startswith("event_date=") and storage.exists(
+                self.spark, folder := f"{self.path(name)}/{day}/ingest_batch={batch}"
+            ):
+                storage.delete(self.spark, folder)
         dated = rows.withColumn("ingest_batch", F.lit(batch))
         parts = ["ingest_batch"]
         if "created_at" in rows.columns:
@@ -102,13 +122,47 @@ class Tables:
     def append_alerts(self, alerts: DataFrame) -> None:
         with_event_date(alerts).write.mode("append").partitionBy("event_date").parquet(self.path("alerts"))
 
+    def last_alert_id(self) -> int:
+        """The last id given out. Ids grow with time, so only the newest stored day is read."""
+        days = [d for d in storage.folders(self.spark, self.path("alerts")) if d.startswith("event_date=")]
+        if not days:
+            return 0
+        newest = self.read("alerts").where(F.col("event_date") == F.lit(days[-1][11:]).cast("date"))
+        return newest.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+
     def write_profiles(self, profiles: DataFrame) -> None:
-        """Stores a new snapshot next to the old ones, so readers never see a half-written table."""
-        newest = self._newest(self.read("profiles"))
-        (
-            profiles.drop("snapshot")
-            .withColumn("snapshot", F.lit(newest + 1).cast("bigint"))
-            .write.mode("append")
-            .partitionBy("snapshot")
-            .parquet(self.path("profiles"))
-        )
+        """Stores a new snapshot whatever the newest one holds."""
+        self.change_profiles(lambda _: profiles.drop("snapshot"))
+
+    def change_profiles(self, change: Callable[[DataFrame], DataFrame], attempts: int = 20) -> None:
+        """Applies ``change`` to the newest snapshot and stores the result as the next one.
+
+        Readers never see a half-written table. Where another writer has taken the next number in the
+        meantime, the change is made again on what that one stored. A writer that died leaves a
+        folder without a mark of success; it has to be removed by hand.
+        """
+        for attempt in range(attempts):
+            newest = self._newest()
+            rows = change(self._snapshot(newest).drop("snapshot"))
+            try:
+                rows.write.mode("errorifexists").parquet(f"{self.path('profiles')}/snapshot={newest + 1}")
+                return
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_ALREADY_EXISTS":
+                    raise
+            time.sleep(min(5.0, 0.1 * 2**attempt))
+        raise RuntimeError(f"snapshot {newest + 1} of the profiles exists but is not complete")
+
+    def drop_expired(self, name: str, now) -> list[str]:
+        """Removes the folders of days that have outlived their retention, and names them."""
+        last = self.spark.range(1).select(F.date_sub(day_of(now), RETENTION_DAYS[name]).cast("string")).first()[0]
+        days = [d for d in storage.folders(self.spark, self.path(name)) if d.startswith("event_date=")]
+        old = [d for d in days if d[11:] < last]
+        for day in old:
+            storage.delete(self.spark, f"{self.path(name)}/{day}")
+        return [d[11:] for d in old]
+
+    def drop_snapshots(self, keep: int = 10) -> None:
+        """Removes all but the newest snapshots of the profiles."""
+        for number in self._snapshots()[:-keep]:
+            storage.delete(self.spark, f"{self.path('profiles')}/snapshot={number}")
