@@ -19,6 +19,18 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()["b"]
 
 
+def same_keys_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL key parts are equal, as in grouping.
+
+    Both sides are joined on one struct of the keys: a struct is never NULL itself and compares NULL
+    members as equal. Column ``_key`` holds it, so what follows can group on it without a shuffle.
+    """
+    joined = left.withColumn("_key", F.struct(*on)).join(
+        right.withColumn("_key", F.struct(*on)).drop(*on), "_key", how
+    )
+    return joined.select(*left.columns, *[c for c in right.columns if c not in on], "_key")
+
+
 def dimension_join(
     facts: DataFrame,
     dimension: DataFrame,
@@ -33,14 +45,16 @@ def dimension_join(
 
     Otherwise both sides are shuffled on the key plus a salt taken from ``spread_by``, so that one
     key holding a large share of the facts is spread over ``salts`` tasks. The salt is a function of
-    the row, hence the same when a lost task is run again.
+    the row, hence the same when a lost task is run again. NULL key parts are equal. The measured
+    size is that of the values; a hash relation takes a few times as much, which the limit leaves
+    room for.
     """
     if measured_bytes(dimension) <= limit_bytes:
-        joined = facts.join(F.broadcast(dimension), on, how)
+        joined = same_keys_join(facts, F.broadcast(dimension), on, how).drop("_key")
     else:
         salted_facts = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)))
         salted_dimension = dimension.withColumn(
             "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
         )
-        joined = salted_facts.join(salted_dimension, on + ["_salt"], how).drop("_salt")
+        joined = same_keys_join(salted_facts, salted_dimension, on + ["_salt"], how).drop("_salt", "_key")
     return joined if extra is None else joined.where(extra)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.functions.timewin import bin_microseconds, look_back, time_bin, window_minutes
-from driftwatch.operators.series import of_service, ordered_arrays
+from driftwatch.operators.series import binned_arrays, of_service
 from driftwatch.schemas import SERVICE
 
 PERCENTILES = ["p5", "p25", "p50", "p95", "p99"]
@@ -107,16 +107,20 @@ def binned_routes(
 
 
 def binned_routes_series(observability: DataFrame, time_window: str, max_data_points: int, **options) -> DataFrame:
-    """One row per route with ten parallel arrays, newest bin first; status counts become maps."""
+    """One row per route with ten parallel arrays, newest bin first; status counts become maps.
+
+    See ``binned_arrays`` for ``chunk``.
+    """
     columns = (
         ["created_at"]
         + PERCENTILES
         + ["total_request_count", "total_error_count", "error_latency", "status_counts"]
     )
-    series = ordered_arrays(
+    series = binned_arrays(
         binned_routes(observability, time_window, max_data_points, **options),
         SERVICE + ["route_name"],
         columns,
+        bin_microseconds(window_minutes(time_window), max_data_points),
     )
     return series.withColumn(
         "status_counts", F.transform("status_counts", lambda s: F.map_from_entries(s))

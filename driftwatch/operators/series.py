@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions.timewin import bin_microseconds, look_back, since, time_bin, window_minutes
-from driftwatch.operators.joins import dimension_join
+from driftwatch.operators.joins import dimension_join, same_keys_join
 from driftwatch.operators.slots import (
     SLOT_SECONDS,
     repeat_rows,
@@ -18,6 +18,8 @@ from driftwatch.operators.slots import (
 from driftwatch.schemas import SERIES, SERVICE
 from driftwatch.session import pin
 
+CHUNK_BINS = 100_000
+
 
 def of_service(df: DataFrame, service: dict | None) -> DataFrame:
     """Keep one service, given as ``{"repository": .., "name": .., "version": ..}``, or all."""
@@ -43,16 +45,24 @@ def feature_values(
 def with_positions(
     values: DataFrame, group: list[str] = SERIES, slot_seconds: int = SLOT_SECONDS
 ) -> DataFrame:
-    """Adds ``position`` in the series, 1 being the newest; equal times put the larger value first."""
-    slotted = with_slot(values, slot_seconds)
-    offsets = slot_offsets(slotted, group).select(*group, "slot", "newer")
-    in_slot = Window.partitionBy(*group, "slot").orderBy(
-        F.desc("created_at"), F.desc_nulls_last("value")
+    """Adds ``position`` in the series, 1 being the newest; equal times put the larger value first.
+
+    Equal rows are counted together before they are ordered, and told apart again after it, so an
+    instant that many rows share costs as much as its distinct rows.
+    """
+    counted = with_slot(values, slot_seconds).groupBy(*values.columns, "slot").agg(F.count(F.lit(1)).alias("n"))
+    offsets = slot_offsets(counted, group, size=F.col("n")).select(*group, "slot", "newer")
+    others = [F.desc_nulls_last(c) for c in values.columns if c not in {*group, "created_at", "value"}]
+    before = (
+        Window.partitionBy("_key")
+        .orderBy(F.desc("created_at"), F.desc_nulls_last("value"), *others)
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        slotted.join(offsets, group + ["slot"])
-        .withColumn("position", (F.col("newer") + F.row_number().over(in_slot)).cast("bigint"))
-        .drop("slot", "newer")
+    ordered = same_keys_join(counted, offsets, group + ["slot"]).withColumn(
+        "newer", F.col("newer") + F.coalesce(F.sum("n").over(before), F.lit(0))
+    )
+    return repeat_rows(ordered, "n", number="position").select(
+        *values.columns, (F.col("newer") + F.col("position")).cast("bigint").alias("position")
     )
 
 
@@ -91,6 +101,20 @@ def ordered_arrays(
     return collected.select(*group, *[F.col(f"_entries.{c}").alias(c) for c in columns])
 
 
+def binned_arrays(
+    bins: DataFrame, group: list[str], columns: list[str], width_us: int, chunk_bins: int = CHUNK_BINS
+) -> DataFrame:
+    """Parallel arrays of bins per group, newest bin first.
+
+    Look-backs are open towards the future, so a group may have any number of bins. Those more than
+    ``chunk_bins`` bin widths older than its newest bin continue in further rows, numbered by ``chunk``.
+    """
+    newest = F.max("created_at").over(Window.partitionBy(*group))
+    age = F.unix_micros(newest) - F.unix_micros("created_at")
+    chunk = F.floor(age / F.lit(width_us * chunk_bins)).cast("bigint")
+    return ordered_arrays(bins.withColumn("chunk", chunk), group + ["chunk"], columns)
+
+
 def truncated_values(
     values: DataFrame,
     service: list[str] = SERVICE,
@@ -98,15 +122,15 @@ def truncated_values(
 ) -> DataFrame:
     """Values with every series cut to the length of its service's shortest one, newest kept.
 
-    One pass counts rows per slot and finds, per series, the slot where the cut falls. Rows of newer
+    One pass counts rows per slot and finds, per series, the slot where the cut falls. The second
+    reads from the oldest cut on, and only its days where ``values`` has ``event_date``. Rows of newer
     slots pass through unmoved; only the cut slot is ordered, after equal rows have been counted
     together.
     """
     group = service + ["feature"]
-    slotted = with_slot(values.select(*group, "created_at", "value"), slot_seconds)
-    offsets = slot_offsets(slotted, group)
+    offsets = slot_offsets(with_slot(values.select(*group, "created_at"), slot_seconds), group)
     cuts = pin(
-        offsets.join(shortest_series(offsets, service), service)
+        same_keys_join(offsets, shortest_series(offsets, service), service)
         .where(F.col("newer") < F.col("keep"))
         .groupBy(*group)
         .agg(
@@ -114,6 +138,13 @@ def truncated_values(
             (F.max("keep") - F.max("newer")).alias("room"),
         )
     )
+    oldest = cuts.agg(F.min("cut_slot")).first()[0]
+    if oldest is not None:
+        start = F.timestamp_micros(F.lit(oldest * slot_seconds * 1_000_000))
+        values = values.where(F.col("created_at") >= start)
+        if "event_date" in values.columns:
+            values = values.where(F.col("event_date") >= F.to_date(start))
+    slotted = with_slot(values.select(*group, "created_at", "value"), slot_seconds)
     placed = dimension_join(slotted, cuts, group, spread_by=["created_at", "value"])
     kept = placed.where(F.col("slot") > F.col("cut_slot")).select(*group, "created_at", "value")
 
@@ -142,7 +173,7 @@ def drift_records(
 
     An absent or empty feature list means every feature.
     """
-    values = feature_values(drift, moment, service)
+    values = of_service(drift, service).where(since("created_at", moment))
     if features:
         values = values.where(F.col("feature").isin(list(features)))
     return truncated_values(values)
@@ -150,7 +181,9 @@ def drift_records(
 
 def empty_features(wanted: DataFrame, values: DataFrame) -> DataFrame:
     """Series of ``wanted`` that have no values; they do not take part in the truncation."""
-    return wanted.select(*SERIES).distinct().join(values.select(*SERIES).distinct(), SERIES, "left_anti")
+    key = F.struct(*SERIES).alias("key")
+    found = values.select(key).distinct()
+    return wanted.select(key).distinct().join(found, "key", "left_anti").select("key.*")
 
 
 def binned_means(
@@ -190,6 +223,7 @@ def binned_drift(
 
 
 def binned_drift_series(drift: DataFrame, time_window: str, max_data_points: int, **options) -> DataFrame:
-    """Binned means as parallel arrays per series, newest bin first."""
+    """Binned means as parallel arrays per series, newest bin first; see ``binned_arrays`` for ``chunk``."""
     bins = binned_drift(drift, time_window, max_data_points, **options)
-    return ordered_arrays(bins, SERIES, ["created_at", "value"]).withColumnRenamed("value", "values")
+    width = bin_microseconds(window_minutes(time_window), max_data_points)
+    return binned_arrays(bins, SERIES, ["created_at", "value"], width).withColumnRenamed("value", "values")

@@ -40,13 +40,18 @@ def shortest_series(offsets: DataFrame, service: list[str]) -> DataFrame:
     return offsets.groupBy(*service).agg(F.min("total").alias("keep"))
 
 
-def repeat_rows(df: DataFrame, times: str, chunk: int = 100_000) -> DataFrame:
-    """Each row as often as ``times`` says, in two steps so that no huge array is built."""
+def repeat_rows(df: DataFrame, times: str, number: str | None = None, chunk: int = 100_000) -> DataFrame:
+    """Each row as often as ``times`` says, in two steps so that no huge array is built.
+
+    Column ``number``, if named, counts the copies of a row from 1.
+    """
     chunks = F.sequence(F.lit(0).cast("bigint"), (F.col(times) - 1).cast("bigint"), F.lit(chunk).cast("bigint"))
     in_chunk = F.least(F.col(times) - F.col("_from"), F.lit(chunk).cast("bigint"))
-    return (
+    copies = (
         df.where(F.col(times) > 0)
         .withColumn("_from", F.explode(chunks))
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), in_chunk.cast("bigint"))))
-        .drop("_from", "_copy")
     )
+    if number is not None:
+        copies = copies.withColumn(number, F.col("_from") + F.col("_copy"))
+    return copies.drop("_from", "_copy")

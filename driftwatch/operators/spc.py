@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwatch.functions.zones import ZONES, zone_code, zone_label
+from driftwatch.operators.joins import same_keys_join
 from driftwatch.operators.slots import SLOT_SECONDS, shortest_series, slot_offsets, with_slot
 
 CONSECUTIVE = "Consecutive"
@@ -50,11 +51,11 @@ def cut_to_shortest(blocks: DataFrame, service: list[str], group: list[str]) ->
     the shortest one, newest kept. Slots without room are left out."""
     offsets = slot_offsets(blocks, group, size="n")
     room = (
-        offsets.join(shortest_series(offsets, service), service)
+        same_keys_join(offsets, shortest_series(offsets, service), service)
         .where(F.col("newer") < F.col("keep"))
         .select(*group, "slot", (F.col("keep") - F.col("newer")).alias("room"))
     )
-    return blocks.join(room, group + ["slot"])
+    return same_keys_join(blocks, room, group + ["slot"]).drop("_key")
 
 
 def _slot_runs(blocks: DataFrame, group: list[str]) -> DataFrame:

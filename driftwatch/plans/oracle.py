@@ -227,10 +227,14 @@ ORACLE = {
         placed AS (
           SELECT *, row_number() OVER (PARTITION BY {_SERIES} ORDER BY created_at DESC, value DESC) AS p
           FROM drift)
-        SELECT {_SERIES}, CAST((p - 1) // 500 AS BIGINT) AS chunk, count(*) AS n,
-               max(created_at) AS newest, min(created_at) AS oldest,
-               arg_min(value, p) AS newest_value, arg_max(value, p) AS oldest_value
-        FROM placed GROUP BY {_SERIES}, (p - 1) // 500""",
+        SELECT {_SERIES}, CAST((p - 1) // 500 AS BIGINT) AS chunk, (p - 1) % 500 AS at, created_at, value
+        FROM placed""",
+    "lineitem_positions": f"""WITH {_LINEITEM_DRIFT},
+        placed AS (
+          SELECT *, row_number() OVER (PARTITION BY {_SERIES} ORDER BY created_at DESC, value DESC) AS p
+          FROM wide)
+        SELECT {_SERIES}, created_at, value, min(p) AS first, max(p) AS last, count(*) AS n
+        FROM placed GROUP BY ALL""",
     "drift_records_truncated": f"WITH {_DRIFT}, {_truncated('drift', f'created_at > {_BASELINE}')} SELECT * FROM cut",
     "drift_records_monitored": f"""WITH {_DRIFT},
         {_truncated('drift', f"created_at > {_SINCE} AND {_ONE} AND feature IN ('click', 'error', 'view')")}
@@ -252,9 +256,10 @@ ORACLE = {
         bins AS (
           SELECT {_SERIES}, {_bin(7_200_000_000)} AS bin, avg(value) AS value
           FROM drift WHERE created_at > {_NOW} - INTERVAL 7200 MINUTE GROUP BY ALL)
-        SELECT {_SERIES}, count(*) AS n, max(bin) AS newest, min(bin) AS oldest,
-               round(arg_max(value, bin), 6) AS newest_value, round(arg_min(value, bin), 6) AS oldest_value
-        FROM bins GROUP BY ALL""",
+        SELECT {_SERIES}, CAST(0 AS BIGINT) AS chunk,
+               row_number() OVER (PARTITION BY {_SERIES} ORDER BY bin DESC) - 1 AS at,
+               bin AS created_at, round(value, 6) AS value
+        FROM bins""",
     "lineitem_binned": f"""WITH {_LINEITEM_DRIFT}
         SELECT {_SERIES}, {_bin(30 * 86_400_000_000)} AS created_at, round(avg(value), 6) AS value
         FROM wide WHERE created_at > TIMESTAMP '1999-01-01' - INTERVAL 5256000 MINUTE
@@ -274,12 +279,10 @@ ORACLE = {
         SELECT {_SERVICE}, route_name, bin AS created_at, status, count FROM statuses""",
     "observability_series": f"""WITH {_EVENTS_K}, {_ROUTES}, {_route_bins(8_640_000_000, 1440)},
         ok AS (SELECT * FROM statuses WHERE status = '200')
-        SELECT {_SERVICE}, route_name, count(*) AS n, max(bin) AS newest,
-               round(arg_max(p50, bin), 6) AS newest_p50,
-               arg_min(total_request_count, bin) AS oldest_requests,
-               arg_max(coalesce(ok.count, 0), bin) AS newest_200
-        FROM metrics LEFT JOIN ok USING ({_SERVICE}, route_name, bin)
-        GROUP BY {_SERVICE}, route_name""",
+        SELECT {_SERVICE}, route_name, CAST(0 AS BIGINT) AS chunk,
+               row_number() OVER (PARTITION BY {_SERVICE}, route_name ORDER BY bin DESC) - 1 AS at,
+               bin AS created_at, round(p50, 6) AS p50, total_request_count, coalesce(ok.count, 0) AS count_200
+        FROM metrics LEFT JOIN ok USING ({_SERVICE}, route_name, bin)""",
     "request_counts": f"""WITH {_EVENTS_K}, {_REQUESTS}
         SELECT method, path, status, count(*) AS requests, round(sum(latency), 4) AS latency_sum
         FROM requests GROUP BY ALL""",

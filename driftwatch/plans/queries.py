@@ -61,16 +61,22 @@ def feature_values_positions(spark, sf_dir):
 
 
 def feature_series_chunks(spark, sf_dir):
+    """Every element of the arrays, with its place."""
     chunks = series.feature_series(views.drift(spark, sf_dir), chunk_rows=500)
+    entries = chunks.select(*SERIES, "chunk", F.posexplode(F.arrays_zip("created_at", "values")).alias("at", "e"))
     return plain(
-        chunks.select(
-            *SERIES,
-            "chunk",
-            F.size("values").cast("bigint").alias("n"),
-            F.element_at("created_at", 1).alias("newest"),
-            F.element_at("created_at", -1).alias("oldest"),
-            F.element_at("values", 1).alias("newest_value"),
-            F.element_at("values", -1).alias("oldest_value"),
+        entries.select(
+            *SERIES, "chunk", F.col("at").cast("bigint").alias("at"), "e.created_at", F.col("e.values").alias("value")
+        )
+    )
+
+
+def lineitem_positions(spark, sf_dir):
+    """Positions in series whose instants hold thousands of rows; summed up per instant and value."""
+    placed = series.with_positions(views.lineitem_drift(spark, sf_dir))
+    return plain(
+        placed.groupBy(*SERIES, "created_at", "value").agg(
+            F.min("position").alias("first"), F.max("position").alias("last"), F.count(F.lit(1)).alias("n")
         )
     )
 
@@ -121,12 +127,13 @@ def binned_feature_series(spark, sf_dir):
     arrays = series.binned_drift_series(views.drift(spark, sf_dir), "5day", 60, now=views.NOW)
     return plain(
         arrays.select(
+            *SERIES, "chunk", F.posexplode(F.arrays_zip("created_at", "values")).alias("at", "e")
+        ).select(
             *SERIES,
-            F.size("values").cast("bigint").alias("n"),
-            F.element_at("created_at", 1).alias("newest"),
-            F.element_at("created_at", -1).alias("oldest"),
-            F.round(F.element_at("values", 1), 6).alias("newest_value"),
-            F.round(F.element_at("values", -1), 6).alias("oldest_value"),
+            "chunk",
+            F.col("at").cast("bigint").alias("at"),
+            "e.created_at",
+            F.round("e.values", 6).alias("value"),
         )
     )
 
@@ -178,16 +185,19 @@ def observability_status_counts(spark, sf_dir):
 
 def observability_series(spark, sf_dir):
     arrays = routes.binned_routes_series(views.observability(spark, sf_dir), "24hour", 10, now=views.NOW)
-    newest_codes = F.element_at("status_counts", 1)
+    columns = ["created_at", "p50", "total_request_count", "status_counts"]
     return plain(
         arrays.select(
+            *SERVICE, "route_name", "chunk", F.posexplode(F.arrays_zip(*columns)).alias("at", "e")
+        ).select(
             *SERVICE,
             "route_name",
-            F.size("created_at").cast("bigint").alias("n"),
-            F.element_at("created_at", 1).alias("newest"),
-            F.round(F.element_at("p50", 1), 6).alias("newest_p50"),
-            F.element_at("total_request_count", -1).alias("oldest_requests"),
-            F.coalesce(F.try_element_at(newest_codes, F.lit("200")), F.lit(0)).alias("newest_200"),
+            "chunk",
+            F.col("at").cast("bigint").alias("at"),
+            "e.created_at",
+            F.round("e.p50", 6).alias("p50"),
+            "e.total_request_count",
+            F.coalesce(F.try_element_at("e.status_counts", F.lit("200")), F.lit(0)).alias("count_200"),
         )
     )
 
@@ -515,6 +525,7 @@ QUERIES = {
         feature_values_since,
         feature_values_positions,
         feature_series_chunks,
+        lineitem_positions,
         drift_records_truncated,
         drift_records_monitored,
         lineitem_records_truncated,

@@ -120,3 +120,38 @@ def test_filters_reach_the_scan(spark, tmp_path):
     spark.conf.set("spark.sql.maxMetadataStringLength", 10_000)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThan(created_at" in plan and "EqualTo(name,test_app)" in plan
+
+
+def test_null_key_parts_make_a_series_of_their_own(spark):
+    rows = [(START + dt.timedelta(seconds=20 * i), "a", None, "1", f, float(i)) for i in range(3) for f in ("x", None)]
+    df = spark.createDataFrame(rows, "created_at timestamp, name string, repository string, version string, feature string, value double")
+    assert series.with_positions(df).count() == 6
+    assert series.truncated_values(df).count() == 6
+    assert series.empty_features(df, df).count() == 0
+    assert {r.feature: r.values for r in series.feature_series(df).collect()} == {"x": [2.0, 1.0, 0.0], None: [2.0, 1.0, 0.0]}
+
+
+def test_equal_rows_of_one_instant_are_counted_before_ordering(spark):
+    df = drift(spark, [("x", 0, 1.0)]).limit(1)
+    many = repeat_rows(df.withColumn("n", F.lit(250_000)), "n").drop("n")
+    placed = series.with_positions(many.unionByName(df.withColumn("value", F.lit(2.0))))
+    found = placed.groupBy("value").agg(F.min("position"), F.max("position"), F.countDistinct("position")).orderBy("value")
+    assert [tuple(r) for r in found.collect()] == [(1.0, 2, 250_001, 250_000), (2.0, 1, 1, 1)]
+
+
+def test_truncation_reads_from_the_oldest_cut(spark, tmp_path):
+    rows = [(START + dt.timedelta(days=i), "a", "r", "1", f, float(i)) for i in range(9) for f in ("x", "y") if f == "x" or i > 6]
+    df = spark.createDataFrame(rows, "created_at timestamp, name string, repository string, version string, feature string, value double")
+    df.withColumn("event_date", F.to_date("created_at")).write.partitionBy("event_date").parquet(str(tmp_path / "t"))
+    cut = series.drift_records(spark.read.parquet(str(tmp_path / "t")), START - dt.timedelta(days=1))
+    assert sorted((r.feature, r.value) for r in cut.collect()) == [("x", 7.0), ("x", 8.0), ("y", 7.0), ("y", 8.0)]
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "(event_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_bins_beyond_a_chunk_continue_in_further_rows(spark):
+    rows = [(START + dt.timedelta(minutes=i), "a", "r", "1", "x", float(i)) for i in range(25)]
+    bins = spark.createDataFrame(rows, "created_at timestamp, name string, repository string, version string, feature string, value double")
+    chunks = series.binned_arrays(bins, SERIES, ["created_at", "value"], 60_000_000, chunk_bins=10).orderBy("chunk").collect()
+    assert [r.chunk for r in chunks] == [0, 1, 2]
+    assert [v for r in chunks for v in r.value] == [float(i) for i in range(24, -1, -1)]
