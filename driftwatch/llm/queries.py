@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.llm import (
     decontaminate,
+    divergence,
     exact_dedup,
     features,
     jaccard_join,
@@ -135,6 +136,10 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -148,5 +153,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_quality,
         op10_lm_scoring,
+        op13_divergence,
     )
 }
