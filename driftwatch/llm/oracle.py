@@ -75,9 +75,29 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
 FROM x WHERE part = 'pair' OR rank <= 10
 """
 
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, v.r, v.vec_id, a.label = v.label AS same, list_inner_product(a.e, v.e)::BIGINT AS s
+  FROM v a, v WHERE a.vec_id % 100 = 0 AND a.r <> v.r),
+p AS (
+  SELECT *, row_number() OVER (PARTITION BY ar ORDER BY s DESC, vec_id NULLS LAST) AS k FROM s WHERE same QUALIFY k <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       row_number() OVER (PARTITION BY p.ar, p.r ORDER BY n.s DESC, n.vec_id NULLS LAST)::INTEGER AS rank,
+       n.vec_id AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.ar = p.ar AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
+QUALIFY rank <= 10
+"""
+
 ORACLE = {
     "op3_warc": WARC,
     "op6_decontamination": DECONTAMINATION,
     "op8_exact_dedup": EXACT_DEDUP,
+    "op12_hard_negatives": HARD_NEGATIVES,
     "op13_divergence": DIVERGENCE,
 }

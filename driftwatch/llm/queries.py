@@ -15,6 +15,7 @@ from driftwatch.llm import (
     divergence,
     exact_dedup,
     features,
+    hard_negatives,
     jaccard_join,
     langid,
     lm,
@@ -136,6 +137,12 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    indexed = hard_negatives.index(table(spark, sf_dir, "embeddings"), label=label)
+    return hard_negatives.mine(indexed, F.col("vec_id") % 100 == 0)
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
@@ -153,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_quality,
         op10_lm_scoring,
+        op12_hard_negatives,
         op13_divergence,
     )
 }
