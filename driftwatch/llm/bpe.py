@@ -210,15 +210,17 @@ class Encoder:
         self.words: dict[str, bytes] = {}
 
     def _words(self, pieces: list[str]) -> dict[str, list[str]]:
-        """The words of pieces of parts. Many are split in one call, with spaces between them; those
-        whose places get lost, as white space of other kinds is in them, are split alone."""
+        """The words of pieces of parts. Many are split in one call, with spaces between them; pieces
+        with white space of other kinds are split alone."""
         out: dict[str, list[str]] = {}
+        alone = [p for p in pieces if p.split() != [p]]
+        pieces = [p for p in pieces if p.split() == [p]] if alone else pieces
         for at in range(0, len(pieces), BATCH):
             some = pieces[at : at + BATCH]
             normal = self.normalise(" ".join(some))
             texts = normal.split(" ")
             if len(texts) != len(some):
-                out |= {p: [w for w, _ in self.split(self.normalise(p)) if w] for p in some}
+                alone += some
                 continue
             ends = np.cumsum([len(t) + 1 for t in texts])
             found = [(w, place[0]) for w, place in self.split(normal) if w]
@@ -227,6 +229,8 @@ class Encoder:
             for (word, _), k in zip(found, owner.tolist()):
                 made[k].append(word)
             out.update(zip(some, made))
+        for piece in alone:
+            out[piece] = [w for w, _ in self.split(self.normalise(piece)) if w]
         return out
 
     def learn(self, parts: set[str]) -> None:
