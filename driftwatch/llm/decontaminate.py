@@ -207,5 +207,6 @@ def _mark_part(docs: DataFrame, sent, text: str, size: int, again: bool) -> Data
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
-    """The rows of ``docs`` in which no window of a test string occurs."""
-    return mark(docs, items, size=size).filter(F.size("__spans") == 0).select(*docs.columns)
+    """The rows of ``docs`` in which no window of a test string occurs, with all their columns."""
+    held = docs.select(F.struct("*").alias("__row"), F.col("text"))
+    return mark(held, items, size=size).filter(F.size("__spans") == 0).select("__row.*")

@@ -82,12 +82,11 @@ def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     rows = index.add(docs, doc_id, text)
     none = F.lit(-(2**63)).cast("long")
     keep = rows.filter("kept").select(F.coalesce("id", none).alias("__id"), F.col("digest").alias("__key"))
-    own = docs.withColumns(
-        {
-            "__id": F.coalesce(F.col(doc_id).cast("long"), none),
-            "__key": F.unhex(F.sha2(normalised(text), 256)),
-        }
+    own = docs.select(
+        F.struct("*").alias("__row"),
+        F.coalesce(F.col(doc_id).cast("long"), none).alias("__id"),
+        F.unhex(F.sha2(normalised(text), 256)).alias("__key"),
     )
     # The join's partitioning serves for taking one of repeated rows too.
     stay = own.join(keep.distinct(), ["__id", "__key"], "left_semi")
-    return stay.dropDuplicates(["__id", "__key"]).select(*docs.columns)
+    return stay.dropDuplicates(["__id", "__key"]).select("__row.*")

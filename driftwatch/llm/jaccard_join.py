@@ -15,15 +15,18 @@ becomes one candidate component as it is, and the exact comparison decides on ea
 Links are then compared exactly on all shingles, and classes are components of exact links.
 
 Edge cases: texts with fewer than five words, but not none, have one shingle of all of them; null and
-empty texts have none, link to nothing and are a class of their own each. Null ids are treated as one
-id below all others. Rows repeated with their id are copies of each other. Other columns are not read.
+empty texts have none, link to nothing and are a class of their own each. Null ids are below all others;
+rows with equal ids are told apart by their texts. Rows repeated with id and text are copies of each
+other, of which ``one_of_each`` keeps one. Other columns are not read and pass through it, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.llm import sets as S
@@ -45,27 +48,30 @@ def survival(similarity: float) -> float:
 
 
 def n_runs(similarity: float, recall: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - similarity * survival(similarity)))
+    chance = max(similarity * survival(similarity), 1e-9)
+    return math.ceil(math.log(1 - recall) / math.log(1 - chance))
 
 
 def candidate_links(sets: DataFrame, similarity: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """Candidate links of sets by chosen paths."""
-    total = min(n_runs(similarity, recall), S.SKETCH // 2)
+    total = n_runs(similarity, recall)
+    if total + PLACES > S.SKETCH:
+        raise ValueError(f"A sketch of {S.SKETCH} entries is too small for {total} runs")
     first = F.array(*(F.xxhash64(F.lit(r), F.element_at("sketch", r + 1)) for r in range(total)))
     rows = sets.select("set_id", F.explode(first).alias("path"), F.lit(None).cast("long").alias("parent_size"))
-    edges = []
+    small, stars = [], []
     level = 0
     while True:
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         here = pin(rows.join(sizes, "path"))
-        edges.append(S.bucket_edges(here.filter(f"size <= {S.BUCKET}"), sets))
+        small.append(here.filter(f"size <= {S.BUCKET}").select("path", "set_id"))
         large = here.filter(f"size > {S.BUCKET}")
         base = total + PLACES * level
         if base + PLACES > S.SKETCH:
-            edges.append(S.star_edges(large))
+            stars.append(large.select("path", "set_id"))
             break
         dense = F.coalesce(F.col("size") > DENSE * F.col("parent_size"), F.lit(False))
-        edges.append(S.star_edges(large.filter(dense)))
+        stars.append(large.filter(dense).select("path", "set_id"))
         large = large.filter(~dense)
         if not large.limit(1).count():
             break
@@ -76,26 +82,37 @@ def candidate_links(sets: DataFrame, similarity: float = 0.8, recall: float = 0.
         value = F.element_at("sketch", (F.col("place") + base + 1).cast("int"))
         rows = split.select("set_id", F.xxhash64("path", "place", value).alias("path"), F.col("size").alias("parent_size"))
         level += 1
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return out
+    # Paths of all levels differ, so the buckets of all of them are compared in one operator.
+    together = lambda parts: reduce(DataFrame.unionByName, parts)
+    return S.bucket_edges(together(small), sets, S.candidate_share(similarity)).unionByName(S.star_edges(together(stars)))
 
 
 def jaccard_classes(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = 0.8, size: int = 5, recall: float = 0.9999
 ) -> DataFrame:
     """One row per document: ``id``, ``class_id`` (smallest id of its class), ``class_size``, ``n_links``."""
-    key = F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"))
-    units = docs.select(key.alias("key"), F.col(text).alias("text"))
-    found = S.classes(units, lambda sets: candidate_links(sets, similarity, recall), size, similarity)
+    found = S.classes(_units(docs, doc_id, text), lambda sets: candidate_links(sets, similarity, recall), size, similarity)
     ids = {n: F.when(F.col(f"{k}.id") != NO_ID, F.col(f"{k}.id")) for n, k in (("id", "key"), ("class_id", "class_key"))}
     return found.select(*(c.alias(n) for n, c in ids.items()), "class_size", "n_links")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``documents`` of which the id is the smallest of its class. Rows without words stay."""
-    found = jaccard_classes(docs)
-    drop = found.filter("NOT (id <=> class_id)").select(F.coalesce("id", F.lit(NO_ID)).alias("__id")).distinct()
-    keyed = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return keyed.join(drop, "__id", "left_anti").select(*docs.columns)
+def _key(doc_id: str, text: str) -> Column:
+    """Rows with equal ids, or without one, are told apart by their texts."""
+    return F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("text"))
+
+
+def _units(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(_key(doc_id, text).alias("key"), F.col(text).alias("text"))
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` of each class, that with the smallest id (and, of equal ids, the smallest hash
+    of its text). Rows without words stay. Any columns pass through."""
+    found = pin(S.classes(_units(docs, doc_id, text), candidate_links).filter("class_size > 1"))
+    drop = found.filter("key <> class_key").select("key").distinct()
+    again = found.filter("key = class_key").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    held = docs.select(F.struct("*").alias("row"), _key(doc_id, text).alias("key"))
+    stay = held.join(drop, "key", "left_anti")
+    # Only rows repeated with id and text are shuffled to take one of them.
+    once = stay.join(again, "key", "left_semi").dropDuplicates(["key"])
+    return stay.join(again, "key", "left_anti").unionByName(once).select("row.*")

@@ -82,7 +82,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         self.parts = _Parts(self._part)
         self.words: dict[str, bytes] = {}

@@ -1,7 +1,8 @@
 """Shingle sets, their sketches, exact comparison and components, shared by the near-duplicate
 operators.
 
-Units (documents or paragraphs) have a ``key`` struct and a ``text``. Units with equal shingle sets
+Units (documents or paragraphs) have a ``key`` struct, which tells units of different text apart, and
+a ``text``. Units with equal shingle sets
 share a ``set_id``, a 64-bit hash of the set, and everything after that works on distinct sets, so
 groups of copies cost no more than one of them. Candidate links come from sketches; they only decide
 which sets are compared. Comparison is exact, on all shingles of whole texts.
@@ -9,6 +10,7 @@ which sets are compared. Comparison is exact, on all shingles of whole texts.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -21,13 +23,17 @@ from driftwatch.llm.textops import ALNUM, Words, annotate, mix, shingles, slices
 from driftwatch.session import pin
 
 SKETCH = 64
-#: Share of equal sketch entries from which sets are compared. Four standard deviations of a sketch of
-#: 64 entries below a similarity of 0.8.
-CANDIDATE = 0.6
 #: Sets of a bucket that are compared with each other by their sketches.
 BUCKET = 256
-#: Sets of a component in one task of the exact comparison; larger components are cut into chunks.
-CHUNK = 256
+#: Sets, and shingles, of a component in one group of the exact comparison; larger components are cut
+#: into chunks.
+CHUNK, CHUNK_SHINGLES = 256, 2_000_000
+
+
+def candidate_share(similarity: float) -> float:
+    """Share of equal sketch entries from which sets are compared: five standard deviations of a sketch
+    below the similarity, so that one pair in three million is missed by it."""
+    return max(1 / SKETCH, similarity - 5 * math.sqrt(similarity * (1 - similarity) / SKETCH))
 
 
 def _sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -45,8 +51,9 @@ def _set_ids(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def sketch(units: DataFrame, size: int = 5, text: str = "text") -> DataFrame:
-    """``key``, ``set_id``, ``sketch`` of units; both null where a text has no words."""
-    schema = StructType([StructField("set_id", LongType()), StructField("sketch", ArrayType(IntegerType()))])
+    """``key``, ``set_id``, ``sketch`` and ``shingles`` (their number) of units; the first two null where
+    a text has no words."""
+    schema = StructType([StructField("set_id", LongType()), StructField("sketch", ArrayType(IntegerType())), StructField("shingles", LongType())])
     random = np.random.default_rng(7)
     factor = random.integers(0, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -61,7 +68,7 @@ def sketch(units: DataFrame, size: int = 5, text: str = "text") -> DataFrame:
             pa.array(np.arange(len(texts) + 1, dtype=np.int32) * SKETCH), pa.array(out.reshape(-1).view(np.int32))
         )
         ids = pa.array(_set_ids(hashes, first), pa.int64(), mask=none)
-        return [ids, lists.filter(pa.array(~none)).take(_places(none))]
+        return [ids, lists.filter(pa.array(~none)).take(_places(none)), pa.array(np.diff(first), pa.int64())]
 
     return annotate(units, text, ["key"], schema, work)
 
@@ -71,10 +78,13 @@ def _places(none: np.ndarray) -> pa.Array:
 
 
 def distinct_sets(sketched: DataFrame) -> DataFrame:
-    """One row per set: ``set_id``, ``sketch``, ``rep`` (the smallest key) and ``copies``."""
+    """One row per set: ``set_id``, ``sketch``, ``rep`` (the smallest key), ``copies``, ``shingles``."""
     full = sketched.filter("set_id IS NOT NULL")
     return full.groupBy("set_id").agg(
-        F.first("sketch").alias("sketch"), F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies")
+        F.first("sketch").alias("sketch"),
+        F.min("key").alias("rep"),
+        F.count(F.lit(1)).alias("copies"),
+        F.first("shingles").alias("shingles"),
     )
 
 
@@ -93,7 +103,10 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[p
     for batch in batches:
         if not batch.num_rows:
             continue
-        whole = pa.Table.from_batches([*rest, batch]).combine_chunks().to_batches()[0]
+        # With 64-bit offsets all texts fit into one array, so the rows stay one batch.
+        kinds = [pa.large_string() if pa.types.is_string(f.type) else f.type for f in batch.schema]
+        table = pa.Table.from_batches([b.cast(pa.schema(zip(b.schema.names, kinds))) for b in (*rest, batch)])
+        (whole,) = table.combine_chunks().to_batches()
         first = cut(whole)
         if first[-1]:
             yield whole.slice(0, first[-1]), first
@@ -116,8 +129,8 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 PAIR = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
 
-def bucket_edges(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Candidate links of small buckets. ``rows``: ``path``, ``set_id``, each bucket of at most
+def bucket_edges(rows: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Candidate links of small buckets: sets with ``least`` of their sketch entries in common. ``rows``: ``path``, ``set_id``, each bucket of at most
     ``BUCKET`` sets. A bucket yields a spanning forest of its candidate pairs, not the pairs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,19 +139,18 @@ def bucket_edges(rows: DataFrame, sets: DataFrame) -> DataFrame:
             sketches = batch.column("sketch").flatten().to_numpy().reshape(-1, SKETCH)
             sizes = np.diff(first)
             left = first[:-1][sizes == 2]
-            near = (sketches[left] == sketches[left + 1]).mean(1) >= CANDIDATE
+            near = (sketches[left] == sketches[left + 1]).mean(1) >= least
             a, b = [ids[left[near] + 1]], [ids[left[near]]]
             for s, n in zip(first[:-1][sizes > 2], sizes[sizes > 2]):
                 part = sketches[s : s + n]
-                root = _roots((part[:, None, :] == part[None, :, :]).mean(2) >= CANDIDATE)
+                root = _roots((part[:, None, :] == part[None, :, :]).mean(2) >= least)
                 other = np.flatnonzero(root != np.arange(n))
                 a.append(ids[s + other])
                 b.append(ids[s + root[other]])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     wide = rows.select("path", "set_id").join(sets.select("set_id", "sketch"), "set_id")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wide = wide.select("path", "set_id", "sketch").repartition(n, "path").sortWithinPartitions("path")
+    wide = wide.select("path", "set_id", "sketch").repartition("path").sortWithinPartitions("path")
     return wide.mapInArrow(run, PAIR)
 
 
@@ -154,6 +166,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round takes the smallest label among neighbours, then the label of that label. Labels are
     written to the shared folder after each round; only the number of changes reaches the driver.
     """
+    edges = pin(edges)  # several branches read it; the comparison that makes it must run once
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
     short = edges.join(least, "a")
     # Neighbours of a node are linked to the smallest of them instead of to the node. Buckets of
@@ -251,20 +264,18 @@ def exact_links(sets: DataFrame, comps: DataFrame, units: DataFrame, size: int,
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], schema.names)
 
-    total = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    chunks = F.ceil(F.col("size") / CHUNK).cast("long")
+    known = comps.join(sets.select(F.col("set_id").alias("node"), "rep", "copies", "shingles"), "node")
+    chunks = F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK), F.ceil(F.sum("shingles") / CHUNK_SHINGLES)).cast("long")
+    total = known.groupBy("comp").agg(chunks.alias("n_chunks"))
     rows = (
-        comps.join(total, "comp")
-        .withColumn("n_chunks", chunks)
+        known.join(total, "comp")
         .withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("n_chunks")))
-        .join(sets.select(F.col("set_id").alias("node"), "rep", "copies"), "node")
         .join(units.select(F.col("key").alias("rep"), "text"), "rep")
     )
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chunks") - 1)).alias("other")
     rows = rows.select("comp", F.col("node").alias("set_id"), "copies", "chunk", "n_chunks", "text", other)
     rows = rows.withColumns({"lo": F.least("chunk", "other"), "hi": F.greatest("chunk", "other")}).drop("other")
-    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
+    rows = rows.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
     return rows.mapInArrow(run, schema)
 
 

@@ -5,9 +5,10 @@ import itertools
 import re
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from driftwatch.llm import exact_dedup, jaccard_join, paragraph_dedup, sets
+from driftwatch.llm import decontaminate, exact_dedup, jaccard_join, paragraph_dedup, sets
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, id string, digest string, keep_id long, key string, comp int"
@@ -166,3 +167,72 @@ def test_components_of_a_chain_and_a_star(spark):
     got = sets.components(edges).toPandas()
     want = pd.DataFrame({"node": [*range(41), *range(100, 150)], "comp": [0] * 41 + [100] * 50})
     assert got.sort_values("node").reset_index(drop=True).equals(want)
+
+
+NAMES = "doc_id long, text string, `__id` string, `__key` string, key string, row string, set_id int, id int, `__words` int, `__spans` int"
+
+
+def named(spark, rows):
+    """Rows with columns named like internal ones of the operators."""
+    return spark.createDataFrame([(*r, "a", "b", "c", "d", 1, 2, 3, 4) for r in rows], NAMES)
+
+
+def test_one_of_each_decides_on_rows_not_on_ids(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    near, other = text.replace("w3 ", "x3 "), " ".join(f"v{k}" for k in range(30))
+    docs = named(spark, [(1, text), (5, near), (5, other), (None, text + "\n"), (None, near + " "), (None, "alone here"), (9, other), (9, other), (None, None), (None, None)])
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
+    got = kept.collect()
+    assert all(tuple(r)[2:] == ("a", "b", "c", "d", 1, 2, 3, 4) for r in got)
+    left = sorted(((r["doc_id"] or 0), (r["text"] or "")[:3].strip()) for r in got)
+    # One of the four near texts (a null id is below all others), one of the three others, and all without words.
+    assert left == [(0, ""), (0, ""), (0, "alo"), (0, "w0"), (5, "v0")]
+    repeated = jaccard_join.one_of_each(named(spark, [(9, other), (9, other)]))
+    assert repeated.count() == 1
+
+
+def test_callers_columns_come_through(spark):
+    docs = named(spark, [(1, "Some text"), (2, "some TEXT"), (3, None), (3, None)])
+    once = exact_dedup.distinct_documents(docs)
+    assert once.columns == docs.columns and sorted(r["doc_id"] for r in once.collect()) == [2, 3]
+    assert all(tuple(r)[2:] == ("a", "b", "c", "d", 1, 2, 3, 4) for r in once.collect())
+    items = spark.createDataFrame([(7, "some text")], "item_id long, text string")
+    clean = decontaminate.clean_documents(docs, items)
+    assert clean.columns == docs.columns and [r["doc_id"] for r in clean.collect()] == [3, 3]
+
+
+def test_a_group_over_several_batches_stays_whole():
+    batch = lambda *rows: pa.RecordBatch.from_pylist([{"k": k, "text": t} for k, t in rows])
+    batches = [batch((1, "a"), (2, "b")), batch((2, "c")), batch((2, "d"), (3, "e")), batch((3, "f"))]
+    groups = []
+    for rows, first in sets.runs(batches, ["k"]):
+        assert pa.types.is_large_string(rows.schema.field("text").type)
+        for s, e in zip(first, [*first[1:], rows.num_rows] if first[-1] < rows.num_rows else first[1:]):
+            groups.append((rows.column("k")[s].as_py(), rows.column("text").slice(s, e - s).to_pylist()))
+    assert groups == [(1, ["a"]), (2, ["b", "c", "d"]), (3, ["e", "f"])]
+
+
+@pytest.mark.parametrize("similarity", [0.6, 0.8])
+def test_recall_of_candidates(spark, similarity):
+    """Share of pairs at the similarity that candidate links find, with buckets that must be split."""
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for k in range(400):
+        words = [f"t{rng.randrange(5000)}" for _ in range(120)]
+        rows.append((2 * k, " ".join(words)))
+        for at in rng.sample(range(120), 2 if similarity == 0.8 else 6):
+            words[at] = f"u{rng.randrange(5000)}"
+        rows.append((2 * k + 1, " ".join(words)))
+    want = {k for k in range(400) if (lambda a, b: len(a & b) >= similarity * len(a | b))(shingle_set(rows[2 * k][1]), shingle_set(rows[2 * k + 1][1]))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard_join.jaccard_classes(docs, similarity=similarity).filter("class_size > 1 AND id <> class_id")
+    got = {r["class_id"] // 2 for r in found.collect()}
+    assert len(want) > 200 and got == want
+
+
+def test_too_small_a_sketch_is_refused(spark):
+    with pytest.raises(ValueError, match="too small"):
+        jaccard_join.jaccard_classes(frame(spark, []), similarity=0.1)

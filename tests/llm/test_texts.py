@@ -99,7 +99,7 @@ def check_pieces(pieces, ids_of, capacity):
 def test_packing_keeps_every_token(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()]
     rows += [(20_000, None), (20_001, ""), (20_002, "İSTANBUL ŉ don't <|endoftext|> 12 ́x " * 900)]
-    tool = packing.WordTokenizer(default_tokenizer()).tokenizer
+    tool = Tokenizer.from_file(default_tokenizer())
     ids = {k: [*tool.encode(t or "", add_special_tokens=False).ids, 1] for k, t in rows}
     pieces = packing.pack_documents(frame(spark, rows), default_tokenizer(), block_tokens=30_000, with_ids=True).collect()
     check_pieces(pieces, ids, 2048)
