@@ -8,6 +8,7 @@ A document that a stage drops is dropped for good.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from driftwatch.llm import decontaminate, exact_dedup, features, jaccard_join, packing, toxicity
 from driftwatch.llm.queries import default_tokenizer, table
@@ -20,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``op5_toxicity`` holds out aren't used here either."""
     labels = table(spark, sf_dir, "labels")
     sample = features.labelled_sample(docs, labels, "toxic", ~held_out("doc_id", 5, 0), toxicity.MAX_ROWS)
-    scored = toxicity.score(docs, toxicity.fit(sample), docs.columns, name="__toxic")
-    return scored.filter("__toxic < 0.5").select(*docs.columns)
+    held = docs.select(F.struct("*").alias("row"), "text")
+    return toxicity.score(held, toxicity.fit(sample), ["row"], name="toxic").filter("toxic < 0.5").select("row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
