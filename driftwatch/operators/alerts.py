@@ -1,5 +1,7 @@
 """The alert log."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,9 +21,14 @@ def _with_identity(alerts: DataFrame) -> DataFrame:
     )
 
 
-def new_alerts(existing: DataFrame, raised: DataFrame, created_at, start: int | None = None) -> DataFrame:
+def new_alerts(
+    existing: DataFrame, raised: DataFrame, created_at, start: int | Callable[[int], int] | None = None
+) -> DataFrame:
     """Alert rows to append for what a run raised.
 
+    Ids follow ``start``, the last one given out: a number, or a function that takes as many new ids
+    as there are alerts and returns the id before them.
+
     ``raised`` has the service, ``feature``, ``zone``, ``kind`` and ``scheduled_at``, the instant the
     run was due. Running the same check again raises the same keys and appends nothing.
     """
@@ -39,10 +46,13 @@ def new_alerts(existing: DataFrame, raised: DataFrame, created_at, start: int |
     )
     known = _with_identity(existing).select(*_IDENTITY)
     fresh = _with_identity(rows).join(known, _IDENTITY, "left_anti")
+    # Numbering uses its input twice. Alerts are few, the check that raises them is not repeated.
+    fresh = pin(fresh)
     if start is None:
         start = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    # Numbering uses its input twice. Alerts are few, the check that raises them is not repeated.
-    return number_rows(pin(fresh), _IDENTITY, "id", start).select(*existing.columns)
+    elif callable(start):
+        start = start(fresh.count())
+    return number_rows(fresh, _IDENTITY, "id", start).select(*existing.columns)
 
 
 def insert_alert(

@@ -13,18 +13,22 @@ def _complete(key: list[str]):
     return reduce(and_, [F.col(c).isNotNull() for c in key])
 
 
-def new_rows(target: DataFrame, incoming: DataFrame, key: list[str] = DRIFT_KEY) -> DataFrame:
+def new_rows(
+    target: DataFrame, incoming: DataFrame, key: list[str] = DRIFT_KEY, origin: list[str] | None = None
+) -> DataFrame:
     """Rows of ``incoming`` that an insert with "do nothing on conflict" would add to ``target``.
 
     A unique key never matches on NULL, so rows with a NULL key part are all kept, also when they
-    repeat. For the others copies collapse on the map side before anything is shuffled, and the
-    anti-join reuses the partitioning of that aggregation.
+    repeat; but where ``origin`` tells where they came from, not when they come from there again. For
+    the others copies collapse on the map side before anything is shuffled, and the anti-join
+    reuses the partitioning of that aggregation.
     """
     complete = _complete(key)
     keyed = incoming.where(complete).dropDuplicates(key)
     present = target.where(complete).select(*key)
     fresh = keyed.join(present, key, "left_anti").select(*incoming.columns)
-    return fresh.unionByName(incoming.where(~complete))
+    keyless = incoming.where(~complete)
+    return fresh.unionByName(new_rows(target.where(~complete), keyless, origin) if origin else keyless)
 
 
 def insert_ignore(target: DataFrame, incoming: DataFrame, key: list[str] = DRIFT_KEY) -> DataFrame:

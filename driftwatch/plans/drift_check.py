@@ -1,5 +1,6 @@
 """Scheduled drift checks over all due profiles in one job."""
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -135,14 +136,14 @@ def run_due_checks(
     drift: DataFrame,
     alerts: DataFrame,
     now,
-    last_id: int | None = None,
+    last_id: int | Callable[[int], int] | None = None,
     **options,
 ) -> CheckResult:
     """Check every due profile: alerts to append, the profile table afterwards, and errors.
 
     Store the alerts before the profiles. A crash in between repeats the run, and alerts are keyed by
     the instant the run was due, so the repetition adds nothing. ``last_id`` is the last alert id
-    given out, where ``alerts`` is only part of the log.
+    given out, where ``alerts`` is only part of the log, or a function that reserves ids.
     """
     now = as_timestamp(now)
     due = profile_ops.due_profiles(profiles, now)

@@ -12,7 +12,7 @@ from driftwatch.operators import profiles as profile_ops
 from driftwatch.operators import series
 from driftwatch.plans.drift_check import run_due_checks
 from driftwatch.schemas import SERVICE
-from driftwatch.session import pin, use_utc
+from driftwatch.session import owned_folders, pin, use_utc
 from driftwatch.sources import tables as tbl
 from driftwatch.streaming.ingest import ingest
 
@@ -65,9 +65,10 @@ class Monitor:
     ) -> DataFrame:
         """Store new profiles; returns the requests refused, with a reason."""
         now = now or utc_now()
-        self.tables.change_profiles(
-            lambda table: profile_ops.insert_profiles(table, requests, now, arrival, version_field)
-        )
+        with owned_folders(self.tables.spark):
+            self.tables.change_profiles(
+                lambda table: profile_ops.insert_profiles(table, requests, now, arrival, version_field)
+            )
         return profile_ops.profile_rejects(requests, now)
 
     def update_profiles(self, requests: DataFrame, arrival: str | None = None, now=None) -> DataFrame:
@@ -86,9 +87,8 @@ class Monitor:
     def insert_alert(self, service: dict, feature: str, alert: dict, now=None) -> None:
         """Store an alert that the caller raises."""
         log = self.tables.read("alerts").drop("event_date").limit(0)
-        self.tables.append_alerts(
-            alert_log.insert_alert(log, service, feature, alert, now or utc_now(), self.tables.last_alert_id())
-        )
+        last = self.tables.reserve_alert_ids(1)
+        self.tables.append_alerts(alert_log.insert_alert(log, service, feature, alert, now or utc_now(), last))
 
     def alerts(
         self,
@@ -110,33 +110,40 @@ class Monitor:
         and stored after it, so of their log only days since the oldest due instant are read.
         The alerts are pinned before they are stored, so that numbering them does not depend on the
         log they are added to. Afterwards only the run dates of the profiles checked are changed, on
-        what the table holds by then.
+        what the table holds by then. Intermediate tables of the run are removed at its end.
         """
         now = now or utc_now()
-        profiles = pin(self._profiles())
-        due = profile_ops.due_profiles(profiles, now)
-        oldest, first_due = due.agg(
-            F.min(F.unix_micros("previous_run")), F.min(F.unix_micros("next_run"))
-        ).first()
-        drift, log = self.tables.read("drift"), self.tables.read("alerts")
-        history = tbl.apply_retention(drift, tbl.RETENTION_DAYS["drift"], now)
-        if oldest is not None:
-            drift = tbl.scan_since(drift, F.timestamp_micros(F.lit(oldest)))
-            log = log.where(F.col("event_date") >= F.to_date(F.timestamp_micros(F.lit(first_due))))
-        result = run_due_checks(
-            profiles,
-            drift,
-            log.drop("event_date"),
-            now,
-            history=history,
-            last_id=self.tables.last_alert_id(),
-            **options,
-        )
-        self.tables.append_alerts(pin(result.alerts))
-        errors = pin(result.errors)
-        dates = pin(profile_ops.run_dates(profiles, now))
-        self.tables.change_profiles(lambda table: profile_ops.apply_run_dates(table, dates, now))
-        return errors
+        with owned_folders(self.tables.spark):
+            profiles = pin(self._profiles())
+            due = profile_ops.due_profiles(profiles, now)
+            oldest, first_due = due.agg(
+                F.min(F.unix_micros("previous_run")), F.min(F.unix_micros("next_run"))
+            ).first()
+            drift, log = self.tables.read("drift"), self.tables.read("alerts")
+            history = tbl.apply_retention(drift, tbl.RETENTION_DAYS["drift"], now)
+            if oldest is not None:
+                drift = tbl.scan_since(drift, F.timestamp_micros(F.lit(oldest)))
+                log = log.where(F.col("event_date") >= F.to_date(F.timestamp_micros(F.lit(first_due))))
+            result = run_due_checks(
+                profiles,
+                drift,
+                log.drop("event_date"),
+                now,
+                history=history,
+                last_id=self.tables.reserve_alert_ids,
+                **options,
+            )
+            self.tables.append_alerts(pin(result.alerts))
+            errors = self.tables.append_errors(result.errors, now)
+            dates = pin(profile_ops.run_dates(profiles, now))
+            self.tables.change_profiles(lambda table: profile_ops.apply_run_dates(table, dates, now))
+            return errors
+
+    def merge_batches(self, now=None, least: int = 2) -> None:
+        """Merge the ingest batches of past days into one a day, so that files stay few."""
+        today = (now or utc_now()).date()
+        for name in tbl.BATCHED:
+            self.tables.merge_days(name, today, least)
 
     def drop_expired(self, now=None) -> None:
         """Remove days that have outlived their retention, and old snapshots of the profiles."""

@@ -71,5 +71,10 @@ LIMIT_COLUMNS = [
     "three_lcl",
 ]
 
+# Where a record came from: topic, partition and offset of its message, or file, 0 and line; and its
+# place in the message. NULL where a client hands messages over itself.
+ORIGIN = ["source", "source_part", "source_position", "record"]
+ORIGIN_TYPES = "source string, source_part int, source_position bigint, record int"
+
 # Widest text each column takes.
 MAX_TEXT = 256

@@ -1,6 +1,9 @@
 """Session settings the library relies on."""
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +25,31 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
 def run_dir(spark: SparkSession) -> str:
-    """A new folder in the shared folder."""
-    return f"{shared_dir(spark)}/driftwatch-{uuid.uuid4().hex}"
+    """A new folder in the shared folder. Inside ``owned_folders`` it belongs to that run."""
+    folder = f"{shared_dir(spark)}/driftwatch-{uuid.uuid4().hex}"
+    if _owned.get() is not None:
+        _owned.get().append(folder)
+    return folder
+
+
+@contextmanager
+def owned_folders(spark: SparkSession) -> Iterator[None]:
+    """Folders made inside are removed at the end, also of a run that fails. What outlives the run must
+    have been written elsewhere by then."""
+    from driftwatch.sources import storage
+
+    folders: list[str] = []
+    before = _owned.set(folders)
+    try:
+        yield
+    finally:
+        _owned.reset(before)
+        for folder in folders:
+            storage.delete(spark, folder)
 
 
 def pin(df: DataFrame) -> DataFrame:

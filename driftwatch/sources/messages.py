@@ -2,10 +2,10 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftwatch.schemas import MAX_TEXT, MESSAGE
+from driftwatch.schemas import MAX_TEXT, MESSAGE, ORIGIN
 
 SPC = "SPC"
 OBSERVABILITY = "OBSERVABILITY"
@@ -58,29 +58,66 @@ def kafka_options(
 
 
 def kafka_stream(spark: SparkSession, options: dict[str, str]) -> DataFrame:
-    """``value`` text and the broker's ``timestamp``. Needs the Kafka package on the class path."""
+    """``value`` text, the broker's ``timestamp``, and the message's topic, partition and offset. Needs
+    the Kafka package on the class path."""
     raw = spark.readStream.format("kafka").options(**options).load()
-    return raw.select(F.col("value").cast("string").alias("value"), "timestamp")
+    return raw.select(F.col("value").cast("string").alias("value"), "timestamp", "topic", "partition", "offset")
+
+
+def _lines(reader_output: DataFrame) -> DataFrame:
+    return reader_output.select(
+        "value",
+        F.col("_metadata.file_modification_time").alias("timestamp"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
 
 
 def file_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """JSON messages, one per line, from files that appear in a folder.
 
     The file's modification time stands in for the broker's timestamp, so a repeated batch sees the
-    same times.
+    same times. ``file`` and ``block``, where in the file its split begins, are what ``number_lines`` needs.
     """
     reader = spark.readStream.format("text")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path).select(
-        "value", F.col("_metadata.file_modification_time").alias("timestamp")
-    )
+    return _lines(reader.load(path))
 
 
 def file_batch(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(
-        "value", F.col("_metadata.file_modification_time").alias("timestamp")
+    return _lines(spark.read.text(path))
+
+
+def number_lines(messages: DataFrame) -> DataFrame:
+    """Messages from files with ``line``, their place in the file, in place of ``block``.
+
+    Files stay split among tasks: only the number of rows of each block is summed up per file. The
+    number is that of the line however the file was split. For batches, and for the micro-batches of a
+    stream, whose rows the two branches read in the same order.
+    """
+    if "block" not in messages.columns:
+        return messages
+    messages = messages.withColumn("row", F.monotonically_increasing_id())
+    blocks = messages.groupBy("file", "block").agg(F.min("row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select(
+        "file", "block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
     )
+    numbered = messages.join(before, ["file", "block"])
+    return numbered.withColumn("line", F.col("row") + F.col("_shift")).drop("block", "row", "_shift")
+
+
+def _origin(messages: DataFrame) -> list[Column]:
+    """Source, part and position of each message."""
+    if "offset" in messages.columns:
+        found = [F.col("topic"), F.col("partition"), F.col("offset")]
+    elif "line" in messages.columns:
+        found = [F.col("file"), F.lit(0), F.col("line")]
+    else:
+        found = [F.lit(None)] * 3
+    kinds = ("string", "int", "bigint")
+    return [c.cast(kind).alias(name) for c, kind, name in zip(found, kinds, ORIGIN)]
 
 
 class Decoded(NamedTuple):
@@ -98,12 +135,16 @@ def parse_records(messages: DataFrame) -> DataFrame:
 
     A message that cannot be read, or has a field of another type than declared, gives a single row.
     Every field of a record must be there, but for ``value``: a value that is absent or null is stored as
-    NULL, as one that was not measured. Where a text is declared, other JSON is read as its text. Input: ``value`` text and, optionally, ``timestamp``.
+    NULL, as one that was not measured. Where a text is declared, other JSON is read as its text. Input:
+    ``value`` text and, optionally, ``timestamp`` and the columns that the sources give, which
+    tell where a record came from.
     """
+    messages = number_lines(messages)
     stamp = F.col("timestamp") if "timestamp" in messages.columns else F.current_timestamp()
     parsed = messages.select(
         "value",
         stamp.alias("timestamp"),
+        *_origin(messages),
         F.from_json(
             "value", f"{MESSAGE}, {UNREADABLE} string", {"columnNameOfCorruptRecord": UNREADABLE}
         ).alias("m"),
@@ -117,12 +158,14 @@ def parse_records(messages: DataFrame) -> DataFrame:
     placeholder = F.when(fault.isNotNull(), F.array(F.lit(None))).otherwise(F.col("m.records"))
     rows = parsed.select(
         "timestamp",
+        *ORIGIN[:3],
         F.col("m.record_type").alias("record_type"),
         fault.alias("fault"),
         F.when(fault.isNotNull(), F.col("value")).alias("value"),
-        F.explode(placeholder).alias("r"),
+        F.posexplode(placeholder).alias("record", "r"),
     ).select(
         "timestamp",
+        *ORIGIN,
         "record_type",
         "fault",
         F.coalesce("value", F.to_json("r")).alias("raw"),
@@ -153,6 +196,8 @@ def parse_records(messages: DataFrame) -> DataFrame:
         reason.alias("reason"),
         F.when(reason.isNotNull(), F.col("raw")).alias("raw"),
         F.when(is_spc, created_at).otherwise(F.col("timestamp")).alias("created_at"),
+        F.col("timestamp").alias("arrived_at"),
+        *ORIGIN,
         F.when(is_spc, F.col("spc")).alias("spc"),
         F.when(~is_spc, F.col("obs")).alias("obs"),
     )
@@ -164,6 +209,7 @@ def spc_records(records: DataFrame) -> DataFrame:
     return records.where(F.col("reason").isNull() & F.col("spc").isNotNull()).select(
         "created_at",
         *[F.col(f"spc.{c}").alias(c) for c in ("name", "repository", "version", "feature", "value")],
+        *ORIGIN,
     )
 
 
@@ -175,13 +221,18 @@ def observability_records(records: DataFrame) -> DataFrame:
             F.col(f"obs.{c}").alias(c)
             for c in ("repository", "name", "version", "request_count", "error_count", "route_metrics")
         ],
+        *ORIGIN,
     )
 
 
 def rejected_records(records: DataFrame) -> DataFrame:
-    return records.where(F.col("reason").isNotNull()).select("reason", "raw")
+    """What cannot be stored, under the time it arrived."""
+    return records.where(F.col("reason").isNotNull()).select(
+        "reason", "raw", F.col("arrived_at").alias("created_at"), *ORIGIN
+    )
 
 
 def decode(messages: DataFrame) -> Decoded:
     records = parse_records(messages)
-    return Decoded(spc_records(records), observability_records(records), rejected_records(records))
+    kinds = (spc_records(records), observability_records(records), rejected_records(records))
+    return Decoded(*(k.drop(*ORIGIN) for k in kinds))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from driftwatch.operators.dedupe import new_rows
-from driftwatch.schemas import DRIFT_KEY, SERIES
+from driftwatch.schemas import DRIFT_KEY, ORIGIN, SERIES
 from driftwatch.sources.messages import (
     observability_records,
     parse_records,
@@ -22,17 +22,20 @@ WATERMARK = "7 days"
 def store_batch(tables: Tables, messages: DataFrame, batch: str) -> None:
     """Decode one batch of messages and store values, route metrics and rejects.
 
-    Every part is written under the number of the batch, replacing what an earlier attempt left.
-    Values already stored by other batches are ignored; the search for them reads only the days
-    that the batch touches.
+    Every part is written under the name of the batch, replacing what an earlier attempt left.
+    Values already stored by other batches are ignored, and so is any other record that came from the
+    same place (topic, partition and offset, or file and line) before; the search for them reads
+    only the days that the batch touches.
     """
     records = parse_records(messages).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        values = spc_records(records)
-        stored = tables.read("drift").where(F.col("ingest_batch") != batch)
-        tables.write_batch("drift", new_rows(on_days_of(stored, values), values), batch)
-        tables.write_batch("observability", observability_records(records), batch)
-        tables.write_batch("rejects", rejected_records(records), batch)
+        for name, rows, key, origin in (
+            ("drift", spc_records(records), DRIFT_KEY, ORIGIN),
+            ("observability", observability_records(records), ORIGIN, None),
+            ("rejects", rejected_records(records), ORIGIN, None),
+        ):
+            stored = tables.read(name).where(F.col("ingest_batch") != batch)
+            tables.write_batch(name, new_rows(on_days_of(stored, rows), rows, key, origin), batch)
     finally:
         records.unpersist()
 
