@@ -321,6 +321,9 @@ ORACLE = {
                CASE WHEN active THEN '0.1.0' ELSE '0.3.1' END AS client_version,
                CASE WHEN active THEN 0 ELSE sample_size END AS sample_size
         FROM users JOIN upcoming USING (schedule) JOIN first_event USING (user_id)""",
+    "profile_rejects": """
+        SELECT CASE WHEN event_id % 5 < 2 THEN 'unreadable profile' ELSE 'unreadable schedule' END AS reason, count(*) AS n
+        FROM events WHERE event_id % 5 < 3 GROUP BY 1""",
     "update_profiles": f"""WITH {_USERS},
         purchases AS (
           SELECT user_id, max(event_id) AS sample_size FROM events
@@ -367,6 +370,15 @@ ORACLE = {
                CASE WHEN count(*) > 0 THEN (SELECT max(event_id) FROM events) + 1 END AS first_id,
                CASE WHEN count(*) > 0 THEN (SELECT max(event_id) FROM events) + count(*) END AS last_id
         FROM fresh""",
+    "stored_alert_ids": """
+        SELECT 3 * count(*) AS n, 3 * count(*) AS distinct_ids, 1 AS first_id, 3 * count(*) AS last_id, 0 AS left
+        FROM events""",
+    "drift_run_errors": f"""WITH {_DRIFT}
+        SELECT DISTINCT {_SERVICE}, 'no new values: purchase' AS reason FROM drift
+        WHERE feature = 'purchase' AND created_at < {_BASELINE} AND repository <> 'repo_2'
+        UNION
+        SELECT DISTINCT {_SERVICE}, 'malformed rule' FROM drift
+        WHERE repository = 'repo_2' AND created_at < {_BASELINE}""",
     "drift_run_profiles": f"""WITH {_DRIFT}
         SELECT DISTINCT {_SERVICE}, {_NOW} AS previous_run, TIMESTAMP '2024-02-01' AS next_run,
                {_CHECK} AS updated_at FROM drift WHERE created_at < {_BASELINE}""",
@@ -416,7 +428,19 @@ ORACLE = {
         WHERE created_at >= {_NOW} - INTERVAL 7 DAY""",
     "partitioned_table": f"""WITH {_DRIFT}
         SELECT created_at, {_SERIES}, value FROM drift WHERE created_at > {_NOW} - INTERVAL 5 DAY""",
-    "stream_ingest": f"WITH {_EVENTS_K}, {_MESSAGES} SELECT DISTINCT * FROM decoded",
+    "compacted_table": f"WITH {_DRIFT} SELECT created_at, {_SERIES}, value FROM drift",
+    "stream_ingest": f"""WITH {_EVENTS_K}, {_MESSAGES}
+        SELECT DISTINCT * FROM decoded WHERE value IS NOT NULL
+        UNION ALL SELECT * FROM decoded WHERE value IS NULL""",
+    "stream_ingest_routes": f"""WITH {_EVENTS_K}, {_MESSAGES}
+        SELECT {_SERVICE}, route_name, count(*) AS n, CAST(sum(k + 11) AS BIGINT) AS request_count,
+               CAST(sum(k % 5) AS BIGINT) AS error_count,
+               round(sum(value * CASE route_name WHEN '/error' THEN 1.5 ELSE 0.25 END), 4) AS p95
+        FROM messages, (VALUES ('/error'), ('/health')) AS r(route_name)
+        WHERE fate = 'routes' GROUP BY {_SERVICE}, route_name
+        UNION ALL
+        SELECT NULL, NULL, NULL, fate, count(*), NULL, NULL, NULL FROM messages
+        WHERE fate NOT IN ('routes', 'values') GROUP BY fate""",
     "stream_dedupe": f"""WITH {_DRIFT}, {_NULL_KEYED}
         SELECT DISTINCT * FROM keyed WHERE value IS NOT NULL
         UNION ALL

@@ -17,9 +17,10 @@ from driftwatch.operators import observability as routes
 from driftwatch.operators import profiles as profile_ops
 from driftwatch.operators import series, spc
 from driftwatch.operators.dedupe import insert_ignore
+from driftwatch.operators.numbering import number_rows
 from driftwatch.plans import drift_check
 from driftwatch.schemas import LIMIT_COLUMNS, SERIES, SERVICE
-from driftwatch.session import run_dir, use_utc
+from driftwatch.session import pin, run_dir, use_utc
 from driftwatch.sources import messages as msg
 from driftwatch.sources import tables, views
 from driftwatch.streaming import ingest as streams
@@ -297,6 +298,20 @@ def update_profiles(spark, sf_dir):
     )
 
 
+def profile_rejects(spark, sf_dir):
+    """Requests cut short, empty ones, and ones with a schedule that can't be read."""
+    arrival = F.col("arrival") % 5
+    asked = views.profile_requests(views.events(spark, sf_dir)).withColumn(
+        "profile",
+        F.when(arrival == 0, F.expr("left(profile, 40)"))
+        .when(arrival == 1, F.lit("{}"))
+        .when(arrival == 2, F.regexp_replace("profile", '"schedule":"[^"]*"', '"schedule":"now and then"'))
+        .otherwise(F.col("profile")),
+    )
+    refused = profile_ops.profile_rejects(asked, views.CHECK_TIME)
+    return refused.groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 def set_profile_status(spark, sf_dir):
     """Clicks switch a profile on, errors switch it off; the last one counts."""
     source = views.events(spark, sf_dir)
@@ -380,6 +395,43 @@ def drift_run_alert_ids(spark, sf_dir):
     )
 
 
+def stored_alert_ids(spark, sf_dir):
+    """All alerts are stored three times: as they are, ten days back, and after the log was emptied.
+    Every id is given once."""
+    store = tables.Tables(spark, run_dir(use_utc(spark)))
+    source = views.alerts(spark, sf_dir).withColumn("event", F.col("id"))
+    n, given = source.count(), []
+    for back in (0, 10, 5):
+        last = store.reserve_alert_ids(n)
+        dated = source.withColumn("created_at", F.col("created_at") - F.make_dt_interval(days=F.lit(back)))
+        numbered = number_rows(dated.drop("id"), ["event"], "id", last)
+        store.append_alerts(numbered.drop("event"))
+        given.append(pin(store.read("alerts").where((F.col("id") > last) & (F.col("id") <= last + n)).select("id")))
+        if back:
+            store.drop_expired("alerts", views.NOW + dt.timedelta(days=100))
+    ids = given[0].unionByName(given[1]).unionByName(given[2])
+    left = store.read("alerts").agg(F.count(F.lit(1)).alias("left"))
+    return ids.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.countDistinct("id").alias("distinct_ids"),
+        F.min("id").alias("first_id"),
+        F.max("id").alias("last_id"),
+    ).crossJoin(left)
+
+
+def drift_run_errors(spark, sf_dir):
+    """Purchases fall silent after the baseline, and the profile of one service has a rule that can't be
+    read."""
+    drift = views.drift(spark, sf_dir)
+    heard = drift.where((F.col("feature") != "purchase") | (F.col("created_at") <= F.lit(views.BASELINE_END)))
+    broken = F.regexp_replace("profile", views.RULE, "eight of nine")
+    profiles = views.service_profiles(spark, sf_dir).withColumn(
+        "profile", F.when(F.col("repository") == "repo_2", broken).otherwise(F.col("profile"))
+    )
+    stored = views.alerts(spark, sf_dir)
+    return drift_check.run_due_checks(profiles, heard, stored, views.CHECK_TIME, history=drift).errors
+
+
 def drift_run_profiles(spark, sf_dir):
     profiles = views.service_profiles(spark, sf_dir)
     after = profile_ops.advance_schedules(profiles, views.CHECK_TIME)
@@ -476,19 +528,50 @@ def partitioned_table(spark, sf_dir):
     return plain(found.select("created_at", *SERIES, "value"))
 
 
+def compacted_table(spark, sf_dir):
+    """Values stored in four batches, whose days are then merged; a batch is stored again after that."""
+    store = tables.Tables(spark, run_dir(use_utc(spark)))
+    drift = pin(views.drift(spark, sf_dir))
+    part = F.pmod(F.xxhash64(*SERIES, "created_at", "value"), F.lit(4))
+    for k in range(4):
+        store.write_batch("drift", drift.where(part == k), f"part/{k}")
+    store.merge_days("drift", "2100-01-01")
+    store.write_batch("drift", drift.where(part == 2), "part/2")
+    return plain(store.read("drift").select("created_at", *SERIES, "value"))
+
+
 # Streams
 
 
-def stream_ingest(spark, sf_dir):
-    """All messages arrive as files, twice; values are stored once."""
+def _ingested_twice(spark, sf_dir):
+    """All messages arrive as files, and once more under another batch name."""
     run = run_dir(use_utc(spark))
     views.messages(spark, sf_dir).select("value").write.text(f"{run}/messages")
     store = tables.Tables(spark, f"{run}/tables")
     for name in ("one", "two"):
         stream = msg.file_stream(spark, f"{run}/messages")
         streams.start_ingest(stream, store, f"{run}/checkpoint-{name}", name).awaitTermination()
-    complete = store.read("drift").where(F.col("value").isNotNull())
-    return plain(complete.select("created_at", *SERIES, "value"))
+    return store
+
+
+def stream_ingest(spark, sf_dir):
+    """Values are stored once; those without a value once for each message."""
+    return plain(_ingested_twice(spark, sf_dir).read("drift").select("created_at", *SERIES, "value"))
+
+
+def stream_ingest_routes(spark, sf_dir):
+    """Route metrics, of which equal ones are different requests, and rejects are stored once for each
+    message."""
+    store = _ingested_twice(spark, sf_dir)
+    found = store.read("observability").select(*SERVICE, "request_count", "error_count", F.explode("route_metrics").alias("r"))
+    metrics = found.groupBy(*SERVICE, "r.route_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("request_count").alias("request_count"),
+        F.sum("error_count").alias("error_count"),
+        F.round(F.sum("r.metrics.p95"), 4).alias("p95"),
+    )
+    rejects = store.read("rejects").groupBy(F.col("reason").alias("route_name")).agg(F.count(F.lit(1)).alias("n"))
+    return metrics.unionByName(rejects, allowMissingColumns=True)
 
 
 def stream_dedupe(spark, sf_dir):
@@ -548,6 +631,7 @@ QUERIES = {
         advance_schedule,
         insert_profiles,
         update_profiles,
+        profile_rejects,
         set_profile_status,
         monitored_values,
         spc_zones,
@@ -557,6 +641,8 @@ QUERIES = {
         lineitem_spc_runs,
         drift_run_alerts,
         drift_run_alert_ids,
+        stored_alert_ids,
+        drift_run_errors,
         drift_run_profiles,
         query_alerts,
         query_alerts_any_status,
@@ -567,7 +653,9 @@ QUERIES = {
         scan_service,
         retention_filter,
         partitioned_table,
+        compacted_table,
         stream_ingest,
+        stream_ingest_routes,
         stream_dedupe,
         stream_binned,
     )

@@ -244,12 +244,12 @@ class Tables:
         return (int(names[-1]), storage.read_text(self.spark, f"{self.path(name)}/_log/{names[-1]}")) if names else (0, None)
 
     def _take(self, log: str, number: int, text: str) -> bool:
-        """Takes a number, unless another writer has it or a later one; old numbers are free again once
-        their files are removed, and must not be taken twice."""
+        """Takes a number, unless another writer has it. A number whose file was cleaned up is free
+        again, but then at least ``KEPT_NUMBERS`` later ones are taken, and it counts as taken too."""
         file = f"{log}/{number:020d}"
         if not storage.commit(self.spark, file, text):
             return False
-        if storage.files(self.spark, log)[-1] == f"{number:020d}":
+        if int(storage.files(self.spark, log)[-1]) < number + KEPT_NUMBERS:
             return True
         storage.delete(self.spark, file)
         return False

@@ -125,7 +125,7 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     # Another batch with the same content adds only what has no complete key.
     streams.ingest(tables, messages, "http-8")
     assert tables.read("drift").count() == 3
-    assert tables.read("observability").count() == 2
+    assert tables.read("observability").count() == 2  # handed over without saying where from
     days = [r.event_date for r in tables.read("drift").select("event_date").distinct().collect()]
     assert days == [dt.date(2024, 6, 26)]
 
