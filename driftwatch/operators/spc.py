@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.functions.zones import ZONES, zone_code, zone_label
 from driftwatch.operators.joins import same_keys_join
-from driftwatch.operators.slots import SLOT_SECONDS, shortest_series, slot_offsets, with_slot
+from driftwatch.operators.slots import SLOT_SECONDS, shortest_series, slot_offsets, span_of, with_slot
 
 CONSECUTIVE = "Consecutive"
 ALTERNATING = "Alternating"
@@ -132,32 +132,34 @@ def _slot_runs(blocks: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
-    """Longest run per series, kind and zone, from blocks with ``room``.
+_KINDS = {CONSECUTIVE: "run", ALTERNATING: "chain"}
+
+
+def _joined_runs(summaries: DataFrame, part: list[str], order: str) -> DataFrame:
+    """One summary per ``part`` of those that follow each other in it, newest ``order`` first.
 
-    Runs are first found inside each slot. A slot hands on one row, so the second step, which joins
-    runs across slot borders in the same way, sees one row per slot however many samples it has.
+    A summary is what ``_slot_runs`` makes of a slot, and joining summaries gives a summary of the same
+    kind, so it does not matter in how many steps slots are joined.
     """
-    across = Window.partitionBy(*group).orderBy(F.desc("slot"))
+    across = Window.partitionBy(*part).orderBy(F.desc(order))
     so_far = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = across.rowsBetween(Window.unboundedPreceding, -1)
-    kinds = {CONSECUTIVE: "run", ALTERNATING: "chain"}
 
     previous = F.lag("last_code").over(across)
     continues = {
         "run": F.col("first_code") == previous,
         "chain": (F.col("first_code") == -previous) & (previous != 0),
     }
-    steps = {}
+    steps = {"is_first": F.lag(order).over(across).isNull(), "is_last": F.lead(order).over(across).isNull()}
     for kind, goes_on in continues.items():
         own = F.col(f"{kind}_first")
         weight = F.when(F.col(f"{kind}_whole"), own).otherwise(own + F.col(f"{kind}_last"))
         steps[f"{kind}_goes_on"] = F.coalesce(goes_on, F.lit(False))
         steps[f"{kind}_weight"] = weight
         steps[f"{kind}_end"] = F.sum(weight).over(so_far)
-    numbered = _slot_runs(blocks, group).withColumns(steps)
+    numbered = summaries.withColumns(steps)
 
-    totals = {}
+    starts = {}
     for kind in continues:
         whole, goes_on = F.col(f"{kind}_whole"), F.col(f"{kind}_goes_on")
         begin = F.col(f"{kind}_end") - F.col(f"{kind}_weight")
@@ -165,17 +167,36 @@ def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
             F.when(~whole, F.col(f"{kind}_end") - F.col(f"{kind}_last")).when(~goes_on, begin)
         ).over(before)
         start = F.when(goes_on, opened_before).otherwise(begin)
-        totals[f"{kind}_total"] = begin + F.col(f"{kind}_first") - start
-    best = numbered.withColumns(totals).groupBy(*group).agg(
-        *[
-            F.greatest(
-                F.max(f"{kind}_{zone}"),
-                F.max(F.when(F.abs("first_code") == zone, F.col(f"{kind}_total"))),
-            ).alias(f"{kind}_{zone}")
-            for kind in continues
+        starts[f"{kind}_start"] = start
+        starts[f"{kind}_total"] = begin + F.col(f"{kind}_first") - start
+
+    def only(row: str, value: Column) -> Column:
+        return F.max(F.when(F.col(row), value))
+
+    parts = [only("is_first", F.col("first_code")).alias("first_code"), only("is_last", F.col("last_code")).alias("last_code")]
+    for kind in continues:
+        whole, total, start = F.col(f"{kind}_whole"), F.col(f"{kind}_total"), F.col(f"{kind}_start")
+        parts += [
+            F.max(F.when(start == 0, total)).alias(f"{kind}_first"),
+            only("is_last", F.when(whole, total).otherwise(F.col(f"{kind}_last"))).alias(f"{kind}_last"),
+            only("is_last", whole & (start == 0)).alias(f"{kind}_whole"),
+        ]
+        parts += [
+            F.greatest(F.max(f"{kind}_{zone}"), F.max(F.when(F.abs("first_code") == zone, total))).alias(f"{kind}_{zone}")
             for zone in ZONES
         ]
-    )
+    return numbered.withColumns(starts).groupBy(*part).agg(*parts)
+
+
+def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
+    """Longest run per series, kind and zone, from blocks with ``room``.
+
+    Runs are first found inside each slot. A slot hands on one row, the slots of a span are joined to
+    one row, and then the spans of a series: no step sees more than the samples of a slot, the slots of
+    a span or the spans of a series.
+    """
+    slots = _slot_runs(blocks, group).withColumn("span", span_of(F.col("slot")))
+    best = _joined_runs(_joined_runs(slots, [*group, "span"], "slot"), group, "span")
     entries = F.array(
         *[
             F.struct(
@@ -183,7 +204,7 @@ def run_lengths(blocks: DataFrame, group: list[str]) -> DataFrame:
                 F.lit(zone).alias("zone"),
                 F.col(f"{kind}_{zone}").alias("longest"),
             )
-            for name, kind in kinds.items()
+            for name, kind in _KINDS.items()
             for zone in ZONES
         ]
     )

@@ -2,11 +2,12 @@ import datetime as dt
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from driftwatch.operators import spc
+from driftwatch.operators import series, slots, spc
 from driftwatch.schemas import SERIES, SERVICE
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
@@ -55,10 +56,11 @@ def samples(spark, rows):
     return spc.classify(df.withColumns({k: F.lit(v) for k, v in LIMITS.items()}))
 
 
-@pytest.mark.parametrize("slot_seconds", [1, 7, 100_000])
+@pytest.mark.parametrize("slot_seconds, span_slots", [(1, 8640), (1, 3), (7, 2), (100_000, 1)])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_runs_match_a_walk(spark, seed, slot_seconds):
-    """Random series with ties, gaps, NULL and NaN, whatever the slots cut apart."""
+def test_runs_match_a_walk(spark, monkeypatch, seed, slot_seconds, span_slots):
+    """Random series with ties, gaps, NULL and NaN, whatever the slots and spans cut apart."""
+    monkeypatch.setattr(slots, "SPAN_SLOTS", span_slots)
     rng = random.Random(seed)
     values = [-3.5, -2.5, -1.5, -0.5, 0.0, 0.5, 1.5, 2.5, 3.5]
     rows = []
@@ -76,8 +78,9 @@ def test_runs_match_a_walk(spark, seed, slot_seconds):
     assert got == expected
 
 
-@pytest.mark.parametrize("slot_seconds", [1, 5])
-def test_truncation_keeps_the_newest(spark, slot_seconds):
+@pytest.mark.parametrize("slot_seconds, span_slots", [(1, 8640), (1, 2), (5, 3)])
+def test_truncation_keeps_the_newest(spark, monkeypatch, slot_seconds, span_slots):
+    monkeypatch.setattr(slots, "SPAN_SLOTS", span_slots)
     rows = [("a", t, 0.5) for t in range(20)] + [("b", 5, 1.5)] * 7 + [("b", 6, -1.5)]
     found = spc.longest_runs(samples(spark, rows), SERVICE, slot_seconds=slot_seconds)
     got = {(r.feature, r.kind, r.zone): r.longest for r in found.collect()}
@@ -119,3 +122,36 @@ def test_rule(spark):
         ("Alternating", 4): 2,
     }
     assert len([k for k in got if k[0] == "m"]) == 8
+
+
+def window_parts(df):
+    """(partition columns, first order column) of every window of a plan."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [
+        (set(re.findall(r"(\w+)#", parts)), order)
+        for parts, order in re.findall(r"windowspecdefinition\(((?:\w+#\w+, )+)(\w+)#\w+ (?:DESC|ASC)", plan)
+    ]
+
+
+def test_no_window_holds_all_slots_of_a_series(spark):
+    """Windows over slots stay within a span, and those over a series see one row per span."""
+    classified = samples(spark, [("a", 1, 0.5)])
+    values = classified.select(*SERIES, "created_at", "value")
+    for df in (spc.longest_runs(classified, SERVICE), series.with_positions(values)):
+        seen = window_parts(df)
+        assert any(order == "_span" or order == "span" for _, order in seen)
+        assert all({"_span", "span"} & parts for parts, order in seen if order == "slot")
+        # Samples themselves are ordered within a slot only.
+        assert all({"slot", "_key"} & parts for parts, order in seen if order == "created_at")
+
+
+def test_offsets_over_spans(spark, monkeypatch):
+    monkeypatch.setattr(slots, "SPAN_SLOTS", 3)
+    rng = random.Random(4)
+    rows = [("a" if rng.random() < 0.8 else None, rng.randint(-40, 40)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, slot bigint")
+    got = {(r.g, r.slot): (r.rows, r.newer, r.total) for r in slots.slot_offsets(df, ["g"]).collect()}
+    for g, slot in set(rows):
+        own = [s for k, s in rows if k == g]
+        assert got[g, slot] == (own.count(slot), sum(s > slot for s in own), len(own))
+    assert len(got) == len(set(rows))
