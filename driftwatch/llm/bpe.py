@@ -13,8 +13,8 @@ Normalisation and splitting into words are those of the tokenizer's file, done b
 distinct parts between spaces and line feeds, across which neither ever looks. Special tokens are found
 in the raw text, as the library does.
 
-Each task reads its own texts and shuffles nothing. Parts met before are looked up; the table starts
-afresh after ``HELD`` parts, which changes speed only. Long texts are worked on in pieces of about
+Each task reads its own texts and shuffles nothing. Parts met before are looked up in tables
+of twice ``HELD`` entries at most; their size changes speed only. Long texts are worked on in pieces of about
 ``PIECE`` characters.
 
 Edge cases: a null text is an empty one and has no ids. Repeated rows and null ids are carried as they
@@ -30,12 +30,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from driftwatch.llm.textops import annotate
 
-HELD = 500_000
+HELD = 400_000
 PIECE = 1 << 20
 BATCH = 1000
 
@@ -163,12 +164,12 @@ def encode_words(merges: Merges, words: Iterable[str]) -> dict[str, list[int]]:
         node, start = todo.pop()
         word, depth = node.word, node.depth
         del last[start + 1 :], size[start + 1 :]
-        steps = [(to, False) for to in range(start + 1, depth + 1 if node.below else depth)]
-        if node.ends:
-            steps.append((depth, True))
-        for to, end in steps:
+        inside = depth if node.below else depth - 1
+        for step in range(start + 1, inside + 1 + node.ends):
+            end = step > inside
+            to = depth if end else step
             table, lengths = tables[end]
-            for n in lengths.get(word[max(0, to - 3) : to]) or lengths.get(word[max(0, to - 2) : to]) or (1,):
+            for n in lengths.get(word[to - 3 if to > 3 else 0 : to]) or lengths.get(word[to - 2 if to > 2 else 0 : to]) or (1,):
                 t = table.get(word[to - n : to]) if n <= to else None
                 if t is None:
                     continue
@@ -177,12 +178,13 @@ def encode_words(merges: Merges, words: Iterable[str]) -> dict[str, list[int]]:
                         break
                 else:
                     pair = (last[to - n], t)
-                    if known[pair] if pair in known else goes(*pair):
+                    fit = known.get(pair)
+                    if fit or fit is None and goes(*pair):
                         break
             else:
                 raise ValueError(f"No encoding of {word[:to]!r}")
             if end:
-                ids, at = [t], depth - n
+                ids, at = [t], to - n
                 while at:
                     ids.append(last[at])
                     at -= size[at]
@@ -195,6 +197,33 @@ def encode_words(merges: Merges, words: Iterable[str]) -> dict[str, list[int]]:
     return out
 
 
+#: How the supported tokenizer splits normalised text, and the same for text of ASCII alone.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+
+
+class _Held(dict):
+    """A table of bounded size. When full, it starts afresh, and what is asked for again comes back
+    from the table before."""
+
+    def __init__(self) -> None:
+        self.before: dict[str, bytes] = {}
+
+    def make_room(self) -> None:
+        if len(self) > HELD:
+            self.before = dict(self)
+            self.clear()
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """Keys neither here nor in the table before; those there are taken over."""
+        new = keys - self.keys()
+        if self.before:
+            for key in new & self.before.keys():
+                self[key] = self.before[key]
+            new -= self.keys()
+        return new
+
+
 class Encoder:
     """Ids of texts; what was met before is looked up."""
 
@@ -205,49 +234,61 @@ class Encoder:
         library = Tokenizer.from_file(path)
         self.normalise = library.normalizer.normalize_str if library.normalizer else str
         self.split = library.pre_tokenizer.pre_tokenize_str
-        self.special = re.compile(f"({'|'.join(map(re.escape, sorted(self.merges.special, key=len, reverse=True))) or '(?!)'})")
-        self.parts: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        settings = json.loads(library.to_str())
+        kinds = [n["type"] for n in (settings["normalizer"] or {}).get("normalizers", [])]
+        ways = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and ways[0].get("pattern") == {"Regex": SPLIT}
+        content = sorted(self.merges.special, key=len, reverse=True)
+        self.special = re.compile(f"({'|'.join(map(re.escape, content)) or '(?!)'})")
+        self.parts, self.words = _Held(), _Held()
 
     def _words(self, pieces: list[str]) -> dict[str, list[str]]:
-        """The words of pieces of parts. Many are split in one call, with spaces between them; pieces
-        with white space of other kinds are split alone."""
+        """The words of pieces of parts. Pieces of ASCII letters and marks are split here, the others by
+        the library: many in one call, with spaces between them, but those with white space alone."""
         out: dict[str, list[str]] = {}
-        alone = [p for p in pieces if p.split() != [p]]
-        pieces = [p for p in pieces if p.split() == [p]] if alone else pieces
-        for at in range(0, len(pieces), BATCH):
-            some = pieces[at : at + BATCH]
-            normal = self.normalise(" ".join(some))
+        some, alone = [], []
+        for piece in pieces:
+            if self.plain and piece.isascii() and piece.isprintable():
+                out[piece] = SPLIT_ASCII.findall(piece.lower())
+            else:
+                (some if piece.split() == [piece] else alone).append(piece)
+        for at in range(0, len(some), BATCH):
+            batch = some[at : at + BATCH]
+            normal = self.normalise(" ".join(batch))
             texts = normal.split(" ")
-            if len(texts) != len(some):
-                alone += some
+            if len(texts) != len(batch):
+                alone += batch
                 continue
             ends = np.cumsum([len(t) + 1 for t in texts])
             found = [(w, place[0]) for w, place in self.split(normal) if w]
             owner = np.searchsorted(ends, [place for _, place in found], "right")
-            made = [[] for _ in some]
+            made = [[] for _ in batch]
             for (word, _), k in zip(found, owner.tolist()):
                 made[k].append(word)
-            out.update(zip(some, made))
+            out.update(zip(batch, made))
         for piece in alone:
             out[piece] = [w for w, _ in self.split(self.normalise(piece)) if w]
         return out
 
     def learn(self, parts: set[str]) -> None:
         """Makes the ids of parts not met before."""
-        if len(self.parts) > HELD:
-            self.parts = {"": b""}
-        if len(self.words) > HELD:
-            self.words = {}
-        pieces = {part: [p for p in self.special.split(part) if p] for part in parts - self.parts.keys()}
+        self.parts.make_room()
+        self.words.make_room()
+        parts = self.parts.missing(parts)
         special = self.merges.special
-        words = self._words(list({p for own in pieces.values() for p in own} - special.keys()))
-        new = {w for own in words.values() for w in own} - self.words.keys()
+        marked = {part: [p for p in self.special.split(part) if p] for part in parts if self.special.search(part)}
+        pieces = (parts - marked.keys()) | {p for own in marked.values() for p in own if p not in special}
+        words = self._words(list(pieces))
+        new = self.words.missing({w for own in words.values() for w in own})
         for word, ids in encode_words(self.merges, new).items():
             self.words[word] = np.array(ids, "<u4").tobytes()
-        for part, own in pieces.items():
-            made = ([special[p].to_bytes(4, "little")] if p in special else map(self.words.__getitem__, words[p]) for p in own)
-            self.parts[part] = b"".join(i for ids in made for i in ids)
+        ids = self.words
+        for part in parts - marked.keys():
+            own = words[part]
+            self.parts[part] = ids[own[0]] if len(own) == 1 else b"".join([ids[w] for w in own])
+        for part, own in marked.items():
+            made = ([special[p].to_bytes(4, "little")] if p in special else [ids[w] for w in words[p]] for p in own)
+            self.parts[part] = b"".join(i for some in made for i in some)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
@@ -282,7 +323,7 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 _encoders: dict[str, Encoder] = {}
-_tokens: dict[str, dict[int, str]] = {}
+_tokens: dict[str, pa.Array] = {}
 
 
 def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], text: str = "text", name: str = "ids") -> DataFrame:
@@ -298,6 +339,19 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], text: str = "t
     return annotate(docs, text, keep, StructType([StructField(name, ArrayType(IntegerType()))]), work)
 
 
+def _texts(ids: pa.ListArray, tokens: pa.Array) -> pa.Array:
+    """The tokens of each list, joined by spaces."""
+    flat, sizes = ids.flatten(), pc.fill_null(pc.list_value_length(ids), 0).to_numpy()
+    inside = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))), False)
+    found = tokens.take(pc.if_else(inside, flat, None))
+    if found.null_count:  # ids that the vocabulary lacks
+        known = found.is_valid()
+        sizes = np.diff(np.concatenate([[0], np.cumsum(known.to_numpy(zero_copy_only=False))])[np.concatenate([[0], np.cumsum(sizes)])])
+        found = found.filter(known)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), found)
+    return pc.binary_join(lists, " ")
+
+
 def decode(df: DataFrame, tokenizer_path: str, keep: list[str], ids: str = "ids", name: str = "decoded") -> DataFrame:
     """``keep`` columns of ``df`` and the text that the ids stand for, special tokens included: tokens
     joined by a space, since the tokenizer file has no decoder."""
@@ -306,17 +360,17 @@ def decode(df: DataFrame, tokenizer_path: str, keep: list[str], ids: str = "ids"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _tokens:
-            _tokens[tokenizer_path] = Merges(tokenizer_path).tokens
-        token = _tokens[tokenizer_path]
+            known = Merges(tokenizer_path).tokens
+            _tokens[tokenizer_path] = pa.array([known.get(k) for k in range(max(known) + 1)], pa.string())
+        tokens = _tokens[tokenizer_path]
         for batch in batches:
             column = batch.column(ids)
-            at, held, made = 0, 0, []
-            for k in range(batch.num_rows):
-                made.append(" ".join(token[i] for i in column[k].values.to_numpy().tolist() if i in token) if column[k].is_valid else "")
-                held += len(made[-1])
-                if held >= PIECE or k + 1 == batch.num_rows:
-                    part = batch.slice(at, k + 1 - at)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(made, pa.string())], names)
-                    at, held, made = k + 1, 0, []
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+                part = batch.slice(at, to - at)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), _texts(part.column(ids), tokens)], names)
+                at = to
 
     return df.select(*dict.fromkeys([*keep, ids])).mapInArrow(run, schema)

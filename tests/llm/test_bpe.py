@@ -56,6 +56,13 @@ def test_edge_cases(spark, library, monkeypatch):
     assert bpe.encode(frame(spark, texts), PATH, ["text"], name="token").columns == ["text", "token"]
 
 
+def test_unknown_and_null_ids_decode_to_nothing(spark):
+    rows = [(1, [320, 49407, 321]), (2, [-5, 320, 60_000, 321, None]), (3, []), (4, None), (5, [10**9])]
+    df = spark.createDataFrame(rows, "k long, ids array<int>")
+    got = {r["k"]: r["decoded"] for r in bpe.decode(df, PATH, ["k"]).collect()}
+    assert got == {1: "a</w> <|endoftext|> b</w>", 2: "a</w> b</w>", 3: "", 4: "", 5: ""}
+
+
 def test_small_tables_and_pieces_change_nothing(library, monkeypatch):
     for name, value in {"HELD": 20, "PIECE": 30, "BATCH": 3}.items():
         monkeypatch.setattr(bpe, name, value)
