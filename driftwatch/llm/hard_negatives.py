@@ -270,8 +270,10 @@ def _negatives(k: int, low: int, high: int) -> Callable[[pa.Table], pa.Table]:
 def _cells(anchors: DataFrame, rows: DataFrame, work: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
     """Runs ``work`` on every cell: ``anchors`` of a block, told by ``is_anchor``, and rows of a block."""
     session = rows.sparkSession
-    blocks = lambda n, least: max(least, math.ceil(n / CELL_ROWS), 1)
-    n_anchors, n_rows = blocks(anchors.count(), 1), blocks(rows.count(), int(session.conf.get("spark.sql.shuffle.partitions")))
+    n, tasks = rows.count(), int(session.conf.get("spark.sql.shuffle.partitions"))
+    n_anchors = max(1, math.ceil(anchors.count() / CELL_ROWS))
+    # Few rows make few blocks: each gives up its best rows for every anchor.
+    n_rows = max(1, math.ceil(n / CELL_ROWS), min(tasks, n // (CELL_ROWS // 16)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
     left = anchors.withColumns({"is_anchor": F.lit(True), "anchor_block": own(n_anchors)}).withColumn("row_block", every(n_rows))
