@@ -99,8 +99,8 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paragraph_dedup.repeated_paragraphs(table(spark, sf_dir, "documents"))
-    return found.withColumnsRenamed({"id": "doc_id", "class_id": "class_doc_id"})
+    found = paragraph_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "class_id": "class_doc_id"}).drop("text_hash")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

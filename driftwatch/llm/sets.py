@@ -77,12 +77,14 @@ def _places(none: np.ndarray) -> pa.Array:
     return pa.array(np.cumsum(~none) - 1, pa.int64(), mask=none)
 
 
-def distinct_sets(sketched: DataFrame) -> DataFrame:
-    """One row per set: ``set_id``, ``sketch``, ``rep`` (the smallest key), ``copies``, ``shingles``."""
+def distinct_sets(sketched: DataFrame, carry: str = "sketch") -> DataFrame:
+    """One row per set: ``set_id``, its sketch (column ``carry``), ``rep`` and ``top`` (the smallest
+    and largest key), ``copies``, ``shingles``."""
     full = sketched.filter("set_id IS NOT NULL")
     return full.groupBy("set_id").agg(
-        F.first("sketch").alias("sketch"),
+        F.first(carry).alias(carry),
         F.min("key").alias("rep"),
+        F.max("key").alias("top"),
         F.count(F.lit(1)).alias("copies"),
         F.first("shingles").alias("shingles"),
     )
@@ -285,13 +287,19 @@ def classes(
     size: int = 5,
     similarity: float = 0.8,
 ) -> DataFrame:
-    """Classes of near-equal units: ``key``, ``class_key`` (smallest key of its class, itself if alone),
-    ``class_size`` and ``n_links`` (other units at the similarity or above, copies included).
+    """Classes of near-equal units: ``key``, ``class_key`` and ``class_last`` (smallest and largest key
+    of its class, itself if alone), ``class_size`` and ``n_links`` (other units at the similarity or above, copies included).
 
     ``candidates`` makes candidate links (``a``, ``b``) of distinct sets (``set_id``, ``sketch``).
     """
-    sketched = pin(sketch(units, size))
-    sets = pin(distinct_sets(sketched))
+    return resolve(pin(sketch(units, size)), "sketch", candidates, units, size, similarity)
+
+
+def resolve(
+    sketched: DataFrame, carry: str, candidates: Callable[[DataFrame], DataFrame], units: DataFrame, size: int, similarity: float
+) -> DataFrame:
+    """``classes`` of units that are sketched (and pinned) already, in column ``carry``."""
+    sets = pin(distinct_sets(sketched, carry))
     comps = components(candidates(sets))
     found = pin(exact_links(sets, comps, units, size, similarity))
     counts = found.groupBy("set_id").agg(F.sum("docs").alias("docs"))
@@ -300,15 +308,17 @@ def classes(
     if cut.limit(1).count():
         whole = whole.unionByName(components(cut).select(F.col("node").alias("set_id"), F.col("comp").alias("class")))
     of_set = (
-        sets.select("set_id", "rep", "copies")
+        sets.select("set_id", "rep", "top", "copies")
         .join(whole, "set_id", "left")
         .join(counts, "set_id", "left")
-        .select("set_id", "rep", "copies", F.coalesce("class", "set_id").alias("class"), F.coalesce("docs", F.lit(0)).alias("docs"))
+        .select("set_id", "rep", "top", "copies", F.coalesce("class", "set_id").alias("class"), F.coalesce("docs", F.lit(0)).alias("docs"))
     )
     of_set = pin(of_set)
-    of_class = of_set.groupBy("class").agg(F.min("rep").alias("class_key"), F.sum("copies").alias("class_size"))
+    of_class = of_set.groupBy("class").agg(
+        F.min("rep").alias("class_key"), F.max("top").alias("class_last"), F.sum("copies").alias("class_size")
+    )
     by_set = of_set.join(of_class, "class").select(
-        "set_id", "class_key", "class_size", (F.col("docs") + F.col("copies") - 1).alias("n_links")
+        "set_id", "class_key", "class_last", "class_size", (F.col("docs") + F.col("copies") - 1).alias("n_links")
     )
     return (
         sketched.select("key", "set_id")
@@ -316,6 +326,7 @@ def classes(
         .select(
             "key",
             F.coalesce("class_key", "key").alias("class_key"),
+            F.coalesce("class_last", "key").alias("class_last"),
             F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 
 from driftwatch.llm import decontaminate, exact_dedup, jaccard_join, paragraph_dedup, sets
+from driftwatch.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, id string, digest string, keep_id long, key string, comp int"
@@ -131,33 +132,79 @@ def test_runs_reach_the_recall():
     assert miss ** jaccard_join.n_runs(0.8, 0.9999) <= 1e-4
 
 
-def test_paragraphs_against_brute_force(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    units = [
-        ((r["doc_id"], k), line)
-        for r in docs.collect()
-        for k, line in enumerate(r["text"].split("\n"))
-        if len(line.split()) >= paragraph_dedup.MIN_WORDS
-    ]
-    want = [u for u in brute_classes(units) if u[2] > 1]
-    got = paragraph_dedup.repeated_paragraphs(docs).collect()
-    got = sorted(((r["id"], r["paragraph"]), (r["class_id"], r["class_paragraph"]), r["class_size"], r["n_links"]) for r in got)
-    assert got == want
+def test_paragraph_classes_against_brute_force(spark, monkeypatch):
+    """Every class of near-equal paragraphs, short ones included."""
+    monkeypatch.setattr(paragraph_dedup, "ENTRIES", 64)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    units = [((r["key"]["id"], r["key"]["place"]), r["text"]) for r in paragraph_dedup._units(docs, "doc_id", "text").collect()]
+    want = {(k, c, n, links) for k, c, n, links in brute_classes(units) if n > 1}
+    found = paragraph_dedup.repeated_passages(docs, min_words=0, recall=0.9999, within=True).collect()
+    got = {((r["id"], r["paragraph"]), (r["class_id"], r["class_paragraph"]), r["class_size"], r["n_links"]) for r in found}
+    assert got == want and len(want) > 20
+
+
+def test_passages_of_fifty_words_are_found(spark):
+    """Documents that share fifty words in a row, wherever they stand in a line or across lines."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    owners = {}
+    for r in docs.collect():
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(r["text"]))
+        for k in range(len(words) - 49):
+            owners.setdefault(hash(tuple(words[k : k + 50])), set()).add(r["doc_id"])
+    want = {d for own in owners.values() if len(own) > 1 for d in own}
+    found = QUERIES["op7_paragraph_dedup"](spark, "/root/testdata/sf0.01")
+    assert found.columns[0] == "doc_id"
+    got = {r["doc_id"] for r in found.select("doc_id").distinct().collect()}
+    assert len(want) > 100 and len(want & got) >= 0.95 * len(want)
+    assert len(got - want) < 0.05 * docs.count()
+
+
+def test_paragraphs_lie_where_they_say(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(80)
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    spans = paragraph_dedup.paragraphs(docs).select("key", "begin", "end", "words").collect()
+    units = {tuple(r["key"]): r["text"] for r in paragraph_dedup._units(docs, "doc_id", "text").collect()}
+    assert len(units) == len(spans) > 500
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    for r in spans:
+        own = texts[r["key"]["id"]][r["begin"] : r["end"]].decode()
+        assert lower(own) == units[tuple(r["key"])] and len(word(own)) == r["words"] and "\n" not in own
+    together = {}
+    for r in sorted(spans, key=lambda r: r["key"]["place"]):
+        together.setdefault(r["key"]["id"], []).extend(word(units[tuple(r["key"])]))
+    assert all(found == word(texts[d].decode()) for d, found in together.items())
 
 
 def test_paragraph_edge_cases(spark):
-    long = " ".join(f"w{k}" for k in range(60))
-    docs = frame(spark, [(1, long + "\nshort"), (2, "short\n" + long), (3, None), (4, ""), (None, long), (5, "short")])
-    got = {(r["id"], r["paragraph"], r["kept"]) for r in paragraph_dedup.repeated_paragraphs(docs).collect()}
-    assert got == {(None, 0, True), (1, 0, False), (2, 1, False)}
-    assert paragraph_dedup.repeated_paragraphs(frame(spark, [])).count() == 0
-    left = {r["doc_id"]: r["text"] for r in paragraph_dedup.without_repeats(docs).collect()}
-    assert left == {1: "short", 2: "short", 3: None, 4: "", None: long, 5: "short"}
+    passage = " ".join(f"w{k}" for k in range(60))
+    own, other = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    rows = [(1, own + "\n" + passage), (2, passage + ".\n" + other), (3, None), (4, ""), (None, passage), (5, "short"), (6, "short")]
+    # One id twice: only the text that repeats is changed; a row repeated whole is one document.
+    rows += [(2, "unrelated " + " ".join(f"c{k}" for k in range(40))), (8, own * 2 + " tail"), (8, own * 2 + " tail")]
+    docs = named(spark, rows)
+    found = paragraph_dedup.repeated_passages(docs).collect()
+    assert {r["id"] for r in found} == {None, 1, 2} and {r["id"] for r in found if r["kept"]} == {None}
+    assert paragraph_dedup.repeated_passages(named(spark, [])).count() == 0
+    left = paragraph_dedup.without_repeats(docs)
+    assert left.columns == docs.columns
+    texts = sorted(((r["doc_id"] or 0), r["text"] or "") for r in left.collect())
+    want = [(0, passage), (1, own + "\n"), (2, ".\n" + other), (3, ""), (4, ""), (5, "short"), (6, "short"), rows[-3], rows[-2], rows[-1]]
+    spaces = lambda rows: sorted((d, " ".join(t.split())) for d, t in rows)
+    assert spaces(texts) == spaces(want)
+
+
+def test_repeats_within_a_document_are_left_unless_asked_for(spark):
+    line = " ".join(f"w{k}" for k in range(40))
+    docs = frame(spark, [(1, line + "\n" + line), (2, "something else")])
+    assert paragraph_dedup.repeated_passages(docs).count() == 0
+    assert {r["id"] for r in paragraph_dedup.repeated_passages(docs, within=True).collect()} == {1}
+    left = {r["doc_id"]: r["text"] for r in paragraph_dedup.without_repeats(docs, within=True).collect()}
+    assert " ".join(left[1].split()) == line
 
 
 def test_bands_reach_the_recall():
-    number, width = paragraph_dedup.tune_bands(0.8, 0.9995)
-    assert 1 - (1 - 0.8**width) ** number >= 0.9995 and number * width <= sets.SKETCH
+    number, width = paragraph_dedup.tune_bands(0.8, 0.98)
+    assert 1 - (1 - 0.8**width) ** number >= 0.98 and number * width <= paragraph_dedup.ENTRIES
 
 
 def test_components_of_a_chain_and_a_star(spark):
