@@ -445,6 +445,10 @@ ORACLE = {
         SELECT DISTINCT * FROM keyed WHERE value IS NOT NULL
         UNION ALL
         SELECT k.* FROM keyed k JOIN (VALUES (1), (2)) AS copies(n) ON true WHERE value IS NULL""",
+    "stream_request_histogram": f"WITH {_EVENTS_K}, {_REQUESTS} {_BUCKETS}",
+    "stream_binned_late": f"""WITH {_DRIFT}
+        SELECT {_SERIES}, {_bin(3_600_000_000)} AS created_at, round(avg(value), 6) AS value
+        FROM drift GROUP BY {_SERIES}, 5""",
     "stream_binned": f"""WITH {_DRIFT}
         SELECT {_SERIES}, {_bin(3_600_000_000)} AS created_at, round(avg(value), 6) AS value
         FROM drift GROUP BY {_SERIES}, 5""",

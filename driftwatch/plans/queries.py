@@ -20,10 +20,11 @@ from driftwatch.operators.dedupe import insert_ignore
 from driftwatch.operators.numbering import number_rows
 from driftwatch.plans import drift_check
 from driftwatch.schemas import LIMIT_COLUMNS, SERIES, SERVICE
-from driftwatch.session import pin, run_dir, use_utc
+from driftwatch.session import pin, run_dir, use_disk_state, use_utc
 from driftwatch.sources import messages as msg
 from driftwatch.sources import tables, views
 from driftwatch.streaming import ingest as streams
+from driftwatch.streaming import rollups
 
 ONE_SERVICE = {"repository": "repo_1", "name": "app", "version": "1.0.0"}
 TWO_DAYS_AGO = dt.datetime(2024, 1, 28, tzinfo=dt.timezone.utc)
@@ -576,7 +577,7 @@ def stream_ingest_routes(spark, sf_dir):
 
 def stream_dedupe(spark, sf_dir):
     """Sign-ups without a value all pass; of the others repeats are dropped."""
-    run = run_dir(use_utc(spark))
+    run = run_dir(use_disk_state(use_utc(spark)))
     source = spark.readStream.schema(views.EVENTS).parquet(f"{sf_dir}/events.parquet*")
     repeated = source.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
     deduped = streams.dedupe_stream(_null_keyed(views.to_drift(repeated)), "60 days")
@@ -601,6 +602,43 @@ def stream_binned(spark, sf_dir):
     return plain(_rounded(latest, "value"))
 
 
+def _newest_first(rows: DataFrame, run: str) -> None:
+    """Rows as files of a folder, one for each part of the time they cover and the newest first, so
+    that all but the first come late."""
+    week = F.floor(F.dayofyear("created_at") / 7)
+    weeks = sorted((r[0] for r in rows.select(week).distinct().collect() if r[0] is not None), reverse=True)
+    for k, number in enumerate(weeks):
+        rows.where(week == number).coalesce(1).write.parquet(f"{run}/in/part={k:03d}")
+
+
+def _as_it_comes(spark, run: str, rows: DataFrame) -> DataFrame:
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    return reader.parquet(f"{run}/in/part=*")
+
+
+def stream_binned_late(spark, sf_dir):
+    """Rows arrive weeks late, and every one counts."""
+    run = run_dir(use_utc(spark))
+    drift = views.drift(spark, sf_dir)
+    _newest_first(drift, run)
+    store = tables.Tables(spark, f"{run}/tables")
+    sums = lambda rows: rollups.bin_sums(rows, 3_600_000_000)
+    stream = _as_it_comes(spark, run, drift)
+    rollups.start_rollup(stream, store, "bins", sums, f"{run}/checkpoint", fold_after=2).awaitTermination()
+    return plain(_rounded(rollups.read_bins(store, 3_600_000_000), "value"))
+
+
+def stream_request_histogram(spark, sf_dir):
+    """Latency buckets of a log of requests that arrives in parts, the oldest last."""
+    run = run_dir(use_utc(spark))
+    log = views.request_log(spark, sf_dir)
+    _newest_first(log, run)
+    store = tables.Tables(spark, f"{run}/tables")
+    stream = _as_it_comes(spark, run, log)
+    rollups.start_rollup(stream, store, "requests", rollups.request_sums, f"{run}/checkpoint", fold_after=3).awaitTermination()
+    return rollups.read_requests(store).select("method", "path", "status", "le", "bucket_count")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -658,5 +696,7 @@ QUERIES = {
         stream_ingest_routes,
         stream_dedupe,
         stream_binned,
+        stream_binned_late,
+        stream_request_histogram,
     )
 }

@@ -61,6 +61,20 @@ OBSERVABILITY = (
     f"error_count int, route_metrics array<{ROUTE_METRIC}>"
 )
 
+# Rollups of which stored parts are added up: their keys, and the columns to sum.
+BINS = (
+    "repository string, name string, version string, feature string, width_us bigint, created_at timestamp, "
+    "total double, n bigint"
+)
+REQUESTS = (
+    "method string, path string, status string, le string, created_at timestamp, bucket_count bigint, "
+    "latency_sum double"
+)
+ADDITIVE = {
+    "bins": (SERIES + ["width_us", "created_at"], ["total", "n"]),
+    "requests": (["method", "path", "status", "le", "created_at"], ["bucket_count", "latency_sum"]),
+}
+
 LIMIT_COLUMNS = [
     "center",
     "one_ucl",

@@ -14,6 +14,13 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def use_disk_state(spark: SparkSession) -> SparkSession:
+    """Streams keep their state on disk, with its changes in the checkpoint, instead of in memory."""
+    provider = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it in ``spark.checkpoint.dir``.
 

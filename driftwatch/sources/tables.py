@@ -27,14 +27,22 @@ SCHEMAS = {
     "alerts": schemas.ALERT + ", event_date date",
     "errors": "repository string, name string, version string, reason string, created_at timestamp, event_date date, run string",
     "profiles": schemas.PROFILE + ", snapshot bigint",
+    "bins": f"{schemas.BINS}, event_date date, ingest_batch string",
+    "requests": f"{schemas.REQUESTS}, event_date date, ingest_batch string",
 }
-BATCHED = ("drift", "observability", "rejects")
+BATCHED = ("drift", "observability", "rejects", "bins", "requests")
 SORTED_BY = ["name", "repository", "version", "created_at"]
 MERGED = "ingest_batch=merged-"
 #: Files a log keeps.
 KEPT_NUMBERS = 10
 
 
+def added_up(name: str, parts: DataFrame) -> DataFrame:
+    """Rows of a rollup with equal keys as one, with the sums of what they add."""
+    keys, sums = schemas.ADDITIVE[name]
+    return parts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def with_event_date(df: DataFrame) -> DataFrame:
     return df.withColumn("event_date", F.to_date("created_at"))
 
@@ -68,6 +76,12 @@ def expired_days(table: DataFrame, days: int, now) -> DataFrame:
     )
 
 
+def _filters(columns: list[str]) -> dict[str, str]:
+    """Bloom filters on the service key: a lookup of one service skips row groups without it, also where
+    the key lies between the least and the largest in them."""
+    return {f"parquet.bloom.filter.enabled#{c}": "true" for c in schemas.SERVICE if c in columns}
+
+
 class Tables:
     """The stored tables.
 
@@ -136,6 +150,7 @@ class Tables:
             .sortWithinPartitions("event_date", *[c for c in SORTED_BY if c in rows.columns])
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
+            .options(**_filters(rows.columns))
             .partitionBy("event_date", "ingest_batch")
             .parquet(self.path(name))
         )
@@ -144,7 +159,8 @@ class Tables:
     # Merging the batches of a day
 
     def merge_day(self, name: str, day, least: int = 2) -> bool:
-        """Rewrites the complete batches of a day into one; whether there were ``least`` of them.
+        """Rewrites the complete batches of a day into one; whether there were ``least`` of them. Of
+        rollups, rows with equal keys become one.
 
         The rows are written to a hidden folder. A file in ``_merges`` with its name and the names of
         the batches it replaces then decides the merge at one stroke, and ``finish_merges``, which every
@@ -161,8 +177,10 @@ class Tables:
         stored = StructType.fromDDL(SCHEMAS[name])
         plain = StructType([f for f in stored if f.name not in ("event_date", "ingest_batch")])
         rows = self.spark.read.schema(plain).parquet(*[f"{folder}/{n}" for n in names])
+        if name in schemas.ADDITIVE:
+            rows = added_up(name, rows).select(*plain.names)
         rows = rows.hint("rebalance").sortWithinPartitions(*[c for c in SORTED_BY if c in plain.names])
-        rows.write.parquet(f"{folder}/{hidden}")
+        rows.write.options(**_filters(plain.names)).parquet(f"{folder}/{hidden}")
         plan = json.dumps({"day": str(day), "hidden": hidden, "names": names})
         decided = storage.commit(self.spark, f"{self.path(name)}/_merges/{day}", plan)
         if not decided:  # another one merges the day
