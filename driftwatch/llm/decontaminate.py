@@ -12,8 +12,9 @@ together, with words as the symbols of the Wu-Manber algorithm:
 
 All cursors of a slice of texts move at once as numpy arrays.
 
-The test strings are sent to the tasks in parts of at most ``PART_BYTES``, one after the other in
-one stage, so that what a task holds is bounded however long the benchmark is.
+The test strings are sent to the tasks in parts of about ``PART_BYTES``, one after the other: what one
+part has marked is written before the next is sent, and each process compiles a part once and holds
+no other. So memory is bounded by a part, however long the benchmark is.
 
 Edge cases: null or empty texts have no words, no hits and are not contaminated. Test strings that
 are null or have no words give no pattern. A test string without id marks words, but names no item.
@@ -22,6 +23,7 @@ Equal test strings each name their item; repeated rows of documents each get the
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from driftwatch.llm.textops import ALNUM, BASE, Words, mix, slices
+from driftwatch.session import pin
 
 PART_BYTES = 32 << 20
 SEGMENT = 512
@@ -176,9 +179,23 @@ def mark(
         rows = plain.filter(F.col("part") == k).select("id", "text").collect()
         sent = spark.sparkContext.broadcast([tuple(r) for r in rows])
         marked = _mark_part(marked, sent, text, size, k > 0)
+        if k < n_parts - 1:
+            marked = pin(marked)
+            sent.destroy()
     return marked
 
 
+#: The part that this process has compiled, by a name of its own.
+_compiled: dict[str, list[Patterns]] = {}
+
+
+def _patterns(name: str, sent, size: int) -> list[Patterns]:
+    if name not in _compiled:
+        _compiled.clear()
+        _compiled[name] = compile_patterns(sent.value, size)
+    return _compiled[name]
+
+
 def _mark_part(docs: DataFrame, sent, text: str, size: int, again: bool) -> DataFrame:
     kept = [c for c in docs.columns if not (again and c in ("__words", "__spans", "__items"))]
     out = StructType(
@@ -192,8 +209,10 @@ def _mark_part(docs: DataFrame, sent, text: str, size: int, again: bool) -> Data
     names = [f.name for f in out.fields]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    part = uuid.uuid4().hex
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = compile_patterns(sent.value, size)
+        patterns = _patterns(part, sent, size)
         for batch in batches:
             for rows in slices(batch, text):
                 counts, spans, found = find(rows.column(text), patterns)

@@ -6,8 +6,9 @@ order without a shuffle, and the rest is appended.
 
 Edge cases: null texts equal empty ones. A null id loses to any id; if all ids of a group are null,
 its rows all count as kept in the report. Rows repeated with id and text are one document, so
-each is reported alike, and ``distinct_documents`` keeps one of them. An empty batch adds nothing.
-Other columns are not read by the index and pass through ``distinct_documents`` as they are.
+each is reported alike, and ``distinct_documents`` keeps one of them. An empty batch adds nothing. Texts
+of any length are hashed whole. Other columns are not read by the index and pass through
+``distinct_documents`` as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ class DigestIndex:
 
     ``path`` lies in storage that all executors share. ``buckets`` is fixed when the index is made
     and must be given again when it is opened; left out, it is the session's shuffle partitions,
-    so that a batch is aggregated, joined and written in one partitioning.
+    so that a batch is aggregated, joined and written in one partitioning. ``close`` takes the table out
+    of the session's catalog and leaves the index where it is.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None) -> None:
@@ -47,39 +49,74 @@ class DigestIndex:
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def __enter__(self) -> DigestIndex:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def stored(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append(self, digests: DataFrame, batch: str) -> None:
-        """``digests``: digest, id. Stores those not seen before, with the largest id of each."""
+    def _insert(self, rows: DataFrame) -> None:
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
+            rows = rows.repartition(self.buckets, "digest")
+        rows.write.insertInto(self.table)
+        self.spark.catalog.refreshTable(self.table)
+
+    def of_stored(self, digests: DataFrame, how: str) -> DataFrame:
+        """``digests`` joined to the index by its buckets, which are read where they lie."""
+        columns = ["digest"] if how == "left_anti" else self.stored().columns
+        return digests.join(self.stored().select(*columns).hint("merge"), "digest", how)
+
+    def append(self, digests: DataFrame, batch: str) -> DataFrame:
+        """``digests``: digest, id. Stores those not seen before, with the largest id of each, and returns
+        the batch's distinct digests."""
         new = digests.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("copies"))
         # Written first: the optimizer would move the anti-join below the aggregate, and rows of a
         # frequent digest would then all be shuffled to one task.
-        new = pin(new).join(self.stored().select("digest").hint("merge"), "digest", "left_anti")
-        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) != self.buckets:
-            new = new.repartition(self.buckets, "digest")
-        new.withColumn("batch", F.lit(batch)).write.insertInto(self.table)
-        self.spark.catalog.refreshTable(self.table)
+        new = pin(new)
+        self._insert(self.of_stored(new, "left_anti").withColumn("batch", F.lit(batch)))
+        return new.select("digest")
 
-    def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", batch: str | None = None) -> DataFrame:
         """Adds a batch and reports each of its rows: id, digest, keep_id, copies, kept.
 
-        A row is kept if the batch brought its digest and its id is the one that stays.
+        A row is kept if the batch brought its digest and its id is the one that stays. Adding a batch
+        again under its name, after a crash at any point, adds nothing twice and gives the same report;
+        a batch without a name is a new one each time.
         """
-        batch = uuid.uuid4().hex
+        batch = batch or uuid.uuid4().hex
         rows = pin(docs.select(F.col(doc_id).cast("long").alias("id"), F.unhex(F.sha2(normalised(text), 256)).alias("digest")))
-        self.append(rows, batch)
-        # Read without its buckets: both sides of the join are then dealt out alike, and a digest
-        # with many rows is split among tasks.
-        index = self.spark.read.schema(self.stored().schema).parquet(self.path)
+        # Only the batch's distinct digests meet the index. What is found is as small as the batch, and
+        # is dealt out anew with its rows, so that a digest with many rows is split among tasks.
+        found = pin(self.of_stored(self.append(rows, batch), "inner"))
         kept = (F.col("batch") == batch) & F.col("id").eqNullSafe(F.col("keep_id"))
-        return rows.join(index, "digest").select("id", "digest", "keep_id", "copies", kept.alias("kept"))
+        return rows.join(found, "digest").select("id", "digest", "keep_id", "copies", kept.alias("kept"))
+
+    def rewritten(self, path: str) -> DigestIndex:
+        """A copy of the index with one sorted file a bucket, in place of one for each batch. Buckets
+        are copied as they lie, without a shuffle."""
+        other = DigestIndex(self.spark, path, self.buckets)
+        # Spark would read files instead of buckets where no join or aggregate asks for them.
+        setting = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, "false")
+        try:
+            self.stored().write.insertInto(other.table)
+        finally:
+            self.spark.conf.set(setting, before)
+        self.spark.catalog.refreshTable(other.table)
+        return other
 
 
 def distinct_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group of equal texts, with all their columns."""
-    index = DigestIndex(docs.sparkSession, f"{run_dir(docs.sparkSession)}/digests")
-    rows = index.add(docs, doc_id, text)
+    with DigestIndex(docs.sparkSession, f"{run_dir(docs.sparkSession)}/digests") as index:
+        rows = index.add(docs, doc_id, text)
     none = F.lit(-(2**63)).cast("long")
     keep = rows.filter("kept").select(F.coalesce("id", none).alias("__id"), F.col("digest").alias("__key"))
     own = docs.select(

@@ -70,7 +70,8 @@ def prefix_features(texts: pa.Array, lengths: tuple[int, ...] = (4, 5, 6)) -> tu
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, max_rows: int, text: str = "text") -> DataFrame:
     """Texts with their label, of documents that satisfy ``train``; about ``max_rows`` of them, by the
-    hash of their id, or all where fewer are labelled. Rows without id or label teach nothing.
+    hash of their id, or all where fewer are labelled. Rows without id or label teach nothing. Of rows
+    with one id a single text counts, that with the smallest hash, so the sample is bounded in rows too.
 
     The ids of the sample are broadcast: their number is bounded by ``max_rows``.
     """
@@ -82,7 +83,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train, max_r
         chance = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
         known = known.filter(chance < max_rows / total)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return keyed.join(F.broadcast(known), "doc_id").select("text", "label")
+    found = keyed.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label")
+    return found.agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text")).select("text", "label")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

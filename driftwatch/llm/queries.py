@@ -104,8 +104,8 @@ def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = exact_dedup.DigestIndex(spark, f"{run_dir(spark)}/digests")
-    rows = index.add(table(spark, sf_dir, "documents"))
+    with exact_dedup.DigestIndex(spark, f"{run_dir(spark)}/digests") as index:
+        rows = index.add(table(spark, sf_dir, "documents"), batch="documents")
     return rows.select(
         F.col("id").alias("doc_id"),
         "keep_id",

@@ -88,6 +88,45 @@ def test_exact_later_batches(spark, tmp_path):
     assert again.add(frame(spark, [])).count() == 0
 
 
+def test_a_batch_added_again_reports_the_same(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    docs = frame(spark, [(1, "a"), (2, "A"), (3, "b"), (None, "c")])
+    report = lambda: sorted(map(str, index.add(docs, batch="first").collect()))
+    once = report()
+    assert report() == once and sum("kept=True" in r for r in once) == 3
+    # A crash after the digests were stored and before the report: the next try reports them as new.
+    rows = docs.selectExpr("doc_id AS id", "unhex(sha2(lower(text), 256)) AS digest")
+    other = exact_dedup.DigestIndex(spark, str(tmp_path / "other"), 4)
+    other.append(rows, "first")
+    assert sorted(map(str, other.add(docs, batch="first").collect())) == once
+    # Under another name they are known.
+    assert not any(r["kept"] for r in index.add(docs, batch="second").collect())
+    assert index.stored().count() == 3
+
+
+def test_a_rewritten_index_has_one_file_a_bucket(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    for k in range(3):
+        index.add(frame(spark, [(j, f"text {j}") for j in range(20 * k, 20 * k + 40)]))
+    with index.rewritten(str(tmp_path / "new")) as new:
+        assert sorted(map(str, new.stored().collect())) == sorted(map(str, index.stored().collect()))
+        assert len(list((tmp_path / "new").glob("*.parquet"))) <= 4 < len(list((tmp_path / "index").glob("*.parquet")))
+        assert {(r["id"], r["kept"]) for r in new.add(frame(spark, [(500, "TEXT 3"), (501, "new")])).collect()} == {(500, False), (501, True)}
+        name = new.table
+    assert not spark.catalog.tableExists(name) and spark.catalog.tableExists(index.table)
+
+
+def test_the_report_does_not_shuffle_the_index(spark, tmp_path):
+    """The index meets the batch's distinct digests by its buckets: nothing is exchanged above its scan."""
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    index.add(frame(spark, [(1, "a"), (2, "b")])).collect()
+    digests = spark.createDataFrame([(hashlib.sha256(b"a").digest(),)], "digest binary")
+    for how in ("inner", "left_anti"):
+        plan = index.of_stored(digests, how)._jdf.queryExecution().executedPlan().toString()
+        right = plan[: plan.index("SelectedBucketsCount")].rsplit("SortMergeJoin", 1)[1]
+        assert right.count("Exchange") == 1  # that of the batch
+
+
 def test_exact_index_is_joined_by_its_buckets(spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
     index.add(frame(spark, [(1, "a"), (2, "b")]))

@@ -10,6 +10,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from driftwatch.llm import decontaminate, features, langid, lm, packing, quality, toxicity, warc
 from driftwatch.llm.queries import default_tokenizer
@@ -98,7 +100,7 @@ def check_pieces(pieces, ids_of, capacity):
 
 def test_packing_keeps_every_token(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(150).collect()]
-    rows += [(20_000, None), (20_001, ""), (20_002, "İSTANBUL ŉ don't <|endoftext|> 12 ́x " * 900)]
+    rows += [(20_000, None), (20_001, ""), (20_002, "İSTANBUL ŉ don't <|endoftext|> 12 ́x " * 900), (20_003, "a <|endoftext|> b x<|startoftext|>y")]
     tool = Tokenizer.from_file(default_tokenizer())
     ids = {k: [*tool.encode(t or "", add_special_tokens=False).ids, 1] for k, t in rows}
     pieces = packing.pack_documents(frame(spark, rows), default_tokenizer(), block_tokens=30_000, with_ids=True).collect()
@@ -243,3 +245,27 @@ def test_language_model_without_training_texts(spark):
     got = lm.fit_and_score(docs, F.lit(False))[0].collect()
     assert all(r["base_score"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in got)
     assert lm.fit_and_score(docs.limit(0), F.lit(True))[0].count() == 0
+
+
+def test_special_tokens_are_packed_as_such(spark):
+    pieces = packing.pack_documents(frame(spark, [(1, "a <|endoftext|> b")]), default_tokenizer(), with_ids=True).collect()
+    assert [i for p in sorted(pieces, key=lambda p: p["start"]) for i in p["ids"]] == [320, 49407, 321, 1]
+
+
+def test_a_sample_has_one_text_for_each_id(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(2, "two"), (3, None), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (None, 1)], "doc_id long, toxic int")
+    rows = features.labelled_sample(docs, labels, "toxic", F.lit(True), 100).collect()
+    assert len(rows) == 3 and {(r["text"], r["label"]) for r in rows if not r["text"].startswith("text")} == {("two", 0), ("", 1)}
+    assert features.labelled_sample(docs, labels, "toxic", F.lit(True), 100).collect() == rows
+
+
+def test_parts_of_a_benchmark_are_held_one_at_a_time(spark):
+    words = [f"w{k}" for k in range(400)]
+    docs = frame(spark, [(k, " ".join(words[k : k + 60])) for k in range(0, 300, 30)])
+    items = spark.createDataFrame([(k, " ".join(words[k : k + 15])) for k in range(0, 380, 20)], "item_id long, text string")
+    whole = decontaminate.mark(docs, items).select("doc_id", "__words", "__spans", "__items")
+    parts = decontaminate.mark(docs, items, part_bytes=200)
+    # What earlier parts marked is read from a table, so the plan has one part's operator alone.
+    assert parts._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(str, parts.select(whole.columns).collect())) == sorted(map(str, whole.collect()))
