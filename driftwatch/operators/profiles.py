@@ -122,15 +122,24 @@ UNREADABLE_PROFILE, UNREADABLE_SCHEDULE = "unreadable profile", "unreadable sche
 
 
 def _with_reason(requests: DataFrame, now) -> DataFrame:
-    """Requests with ``doc`` and ``_reason``, why they are refused, if they are."""
-    parsed = parse_documents(requests).withColumn("_schedule", F.col("doc.config.alert_config.schedule"))
+    """Requests with the service their document names (``_repository`` and so on) and ``_reason``, why
+    they are refused, if they are.
+
+    Documents are parsed once, and what is needed of them is pinned, since the schedules are looked
+    at apart.
+    """
+    parsed = pin(
+        parse_documents(requests).select(
+            *requests.columns,
+            *[F.col(f"doc.config.{c}").alias(f"_{c}") for c in SERVICE],
+            F.col("doc.config.alert_config.schedule").alias("_schedule"),
+        )
+    )
     upcoming = next_runs(parsed, now, "_schedule").select(
         F.col("schedule").alias("_schedule"), F.col("next_run").alias("_upcoming")
     )
-    keyless = F.greatest(*[F.col(f"doc.config.{c}").isNull() for c in SERVICE])
-    reason = F.when(F.coalesce(keyless, F.lit(True)), UNREADABLE_PROFILE).when(
-        F.col("_upcoming").isNull(), UNREADABLE_SCHEDULE
-    )
+    keyless = F.greatest(*[F.col(f"_{c}").isNull() for c in SERVICE])
+    reason = F.when(keyless, UNREADABLE_PROFILE).when(F.col("_upcoming").isNull(), UNREADABLE_SCHEDULE)
     return parsed.join(upcoming, "_schedule", "left").withColumn("_reason", reason)
 
 
@@ -157,7 +166,7 @@ def insert_profiles(
     now = as_timestamp(now)
     accepted = _with_reason(requests, now).where(F.col("_reason").isNull())
     keyed = accepted.select(
-        *[F.col(f"doc.config.{c}").alias(c) for c in SERVICE],
+        *[F.col(f"_{c}").alias(c) for c in SERVICE],
         "profile",
         "drift_type",
         (F.col(arrival) if arrival else F.lit(0)).alias("_arrival"),
