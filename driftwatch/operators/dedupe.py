@@ -3,16 +3,23 @@
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.schemas import DRIFT_KEY
 
 
-def _complete(key: list[str]):
+def complete(key: list[str]) -> Column:
+    """Whether no part of the key is NULL."""
     return reduce(and_, [F.col(c).isNotNull() for c in key])
 
 
+def key_digest(key: list[str] = DRIFT_KEY) -> Column:
+    """Sixteen bytes that tell keys without a NULL part apart, whatever the length of their texts."""
+    parts = {"created_at": F.unix_micros("created_at"), "value": F.col("value") + F.lit(0.0)}  # -0.0 equals 0.0
+    return F.unhex(F.md5(F.to_json(F.struct(*[parts.get(c, F.col(c)).alias(c) for c in key]))))
+
+
 def new_rows(
     target: DataFrame, incoming: DataFrame, key: list[str] = DRIFT_KEY, origin: list[str] | None = None
 ) -> DataFrame:
@@ -23,12 +30,12 @@ def new_rows(
     the others copies collapse on the map side before anything is shuffled, and the anti-join
     reuses the partitioning of that aggregation.
     """
-    complete = _complete(key)
-    keyed = incoming.where(complete).dropDuplicates(key)
-    present = target.where(complete).select(*key)
+    whole = complete(key)
+    keyed = incoming.where(whole).dropDuplicates(key)
+    present = target.where(whole).select(*key)
     fresh = keyed.join(present, key, "left_anti").select(*incoming.columns)
-    keyless = incoming.where(~complete)
-    return fresh.unionByName(new_rows(target.where(~complete), keyless, origin) if origin else keyless)
+    keyless = incoming.where(~whole)
+    return fresh.unionByName(new_rows(target.where(~whole), keyless, origin) if origin else keyless)
 
 
 def insert_ignore(target: DataFrame, incoming: DataFrame, key: list[str] = DRIFT_KEY) -> DataFrame:

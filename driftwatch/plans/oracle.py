@@ -432,6 +432,9 @@ ORACLE = {
     "stream_ingest": f"""WITH {_EVENTS_K}, {_MESSAGES}
         SELECT DISTINCT * FROM decoded WHERE value IS NOT NULL
         UNION ALL SELECT * FROM decoded WHERE value IS NULL""",
+    "stream_ingest_indexed": f"""WITH {_EVENTS_K}, {_MESSAGES}
+        SELECT DISTINCT * FROM decoded WHERE value IS NOT NULL
+        UNION ALL SELECT * FROM decoded WHERE value IS NULL""",
     "stream_ingest_routes": f"""WITH {_EVENTS_K}, {_MESSAGES}
         SELECT {_SERVICE}, route_name, count(*) AS n, CAST(sum(k + 11) AS BIGINT) AS request_count,
                CAST(sum(k % 5) AS BIGINT) AS error_count,

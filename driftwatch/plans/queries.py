@@ -544,11 +544,11 @@ def compacted_table(spark, sf_dir):
 # Streams
 
 
-def _ingested_twice(spark, sf_dir):
+def _ingested_twice(spark, sf_dir, key_buckets=None):
     """All messages arrive as files, and once more under another batch name."""
     run = run_dir(use_utc(spark))
     views.messages(spark, sf_dir).select("value").write.text(f"{run}/messages")
-    store = tables.Tables(spark, f"{run}/tables")
+    store = tables.Tables(spark, f"{run}/tables", key_buckets)
     for name in ("one", "two"):
         stream = msg.file_stream(spark, f"{run}/messages")
         streams.start_ingest(stream, store, f"{run}/checkpoint-{name}", name).awaitTermination()
@@ -560,6 +560,13 @@ def stream_ingest(spark, sf_dir):
     return plain(_ingested_twice(spark, sf_dir).read("drift").select("created_at", *SERIES, "value"))
 
 
+def stream_ingest_indexed(spark, sf_dir):
+    """The same, with an index of stored keys in place of the values."""
+    store = _ingested_twice(spark, sf_dir, key_buckets=8)
+    spark.sql(f"DROP TABLE {store.keys.table}")
+    return plain(store.read("drift").select("created_at", *SERIES, "value"))
+
+
 def stream_ingest_routes(spark, sf_dir):
     """Route metrics, of which equal ones are different requests, and rejects are stored once for each
     message."""
@@ -693,6 +700,7 @@ QUERIES = {
         partitioned_table,
         compacted_table,
         stream_ingest,
+        stream_ingest_indexed,
         stream_ingest_routes,
         stream_dedupe,
         stream_binned,

@@ -28,8 +28,8 @@ def service_key(repository: str, name: str, version: str) -> dict:
 class Monitor:
     """Reads prune by day; a ``service`` of None means all services at once."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.tables = tbl.Tables(use_utc(spark), root)
+    def __init__(self, spark: SparkSession, root: str, key_buckets: int | None = None):
+        self.tables = tbl.Tables(use_utc(spark), root, key_buckets)
 
     def post_records(self, messages: DataFrame, batch: str, received_at=None) -> None:
         """Store a batch of JSON messages. Posting the same batch again replaces what was stored of it.

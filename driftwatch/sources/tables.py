@@ -13,6 +13,7 @@ from driftwatch import schemas
 from driftwatch.functions.timewin import as_timestamp, day_of, look_back, since
 from driftwatch.operators.series import of_service
 from driftwatch.sources import storage
+from driftwatch.sources.keys import KeyIndex
 
 # Days each table is kept.
 RETENTION_DAYS = {"drift": 7, "observability": 14, "alerts": 21}
@@ -92,9 +93,12 @@ class Tables:
     after a writer that died: a folder that no log file names is not part of a table.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, key_buckets: int | None = None):
+        """``key_buckets``: keep an index of the keys of stored values in so many buckets a day, which an
+        ingest meets in place of the values. Give the same number each time."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.keys = KeyIndex(spark, self.path("drift_keys"), key_buckets) if key_buckets else None
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -136,14 +140,8 @@ class Tables:
         parts and split large ones, so files come out evenly sized even where one day holds most
         rows. Sorting by service keeps row-group statistics selective.
         """
-        self.finish_merges(name)
-        state = self.batch_state(name, batch)
-        if state == "merged":
+        if not self.begin_batch(name, batch):
             return
-        storage.write_text(self.spark, self._mark(name, batch), "begun")
-        if state:  # also on days that the rows no longer touch
-            for folder in storage.matching(self.spark, f"{self.path(name)}/event_date=*/ingest_batch={self._escaped(batch)}"):
-                storage.delete(self.spark, folder)
         dated = with_event_date(rows).withColumn("ingest_batch", F.lit(batch))
         (
             dated.hint("rebalance", F.col("event_date"))
@@ -155,6 +153,29 @@ class Tables:
             .parquet(self.path(name))
         )
         storage.write_text(self.spark, self._mark(name, batch), "done")
+        storage.delete(self.spark, self._open(name, batch))
+
+    def _open(self, name: str, batch: str) -> str:
+        return f"{self.path(name)}/_open/b-{self._escaped(batch)}"
+
+    def open_batches(self, name: str) -> list[str]:
+        """Batches that have been begun and are not done."""
+        folder = f"{self.path(name)}/_open"
+        return [storage.read_text(self.spark, f"{folder}/{f}") for f in storage.files(self.spark, folder)]
+
+    def begin_batch(self, name: str, batch: str) -> bool:
+        """Marks a batch as begun and removes what an earlier attempt has stored of it; False if it has
+        been merged with others, and so was complete."""
+        self.finish_merges(name)
+        state = self.batch_state(name, batch)
+        if state == "merged":
+            return False
+        storage.write_text(self.spark, self._open(name, batch), batch)
+        storage.write_text(self.spark, self._mark(name, batch), "begun")
+        if state:  # also on days that the rows no longer touch
+            for folder in storage.matching(self.spark, f"{self.path(name)}/event_date=*/ingest_batch={self._escaped(batch)}"):
+                storage.delete(self.spark, folder)
+        return True
 
     # Merging the batches of a day
 
@@ -313,6 +334,8 @@ class Tables:
         old = [d for d in days if d[11:] < last]
         for day in old:
             storage.delete(self.spark, f"{self.path(name)}/{day}")
+            if name == "drift" and self.keys is not None:
+                storage.delete(self.spark, f"{self.keys.path}/{day}")
         marks = f"{self.path(name)}/_batches"
         for file in storage.files(self.spark, marks):
             if storage.unchanged_for(self.spark, f"{marks}/{file}", (RETENTION_DAYS[name] + 1) * 86_400):

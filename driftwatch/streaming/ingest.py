@@ -1,12 +1,13 @@
 """Continuous ingest and streaming rollups."""
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from driftwatch.operators.dedupe import new_rows
+from driftwatch.operators.dedupe import complete, key_digest, new_rows
 from driftwatch.schemas import DRIFT_KEY, ORIGIN, SERIES
+from driftwatch.session import owned_folders, pin
 from driftwatch.sources.messages import (
     observability_records,
     parse_records,
@@ -35,11 +36,31 @@ def store_batch(tables: Tables, messages: DataFrame, batch: str) -> None:
             ("rejects", rejected_records(records), ORIGIN, None),
         ):
             stored = tables.read(name).where(F.col("ingest_batch") != batch)
-            tables.write_batch(name, new_rows(on_days_of(stored, rows), rows, key, origin), batch)
+            if name == "drift" and tables.keys is not None:
+                _store_by_index(tables, stored, rows, batch)
+            else:
+                tables.write_batch(name, new_rows(on_days_of(stored, rows), rows, key, origin), batch)
     finally:
         records.unpersist()
 
 
+def _store_by_index(tables: Tables, stored: DataFrame, values: DataFrame, batch: str) -> None:
+    """Stores the values whose key the index lacks, and those without a whole key as ever.
+
+    Keys are entered before the values are stored, and count once their batch is done: a batch that
+    breaks off and comes again finds its own keys open.
+    """
+    if not tables.begin_batch("drift", batch):
+        return
+    with owned_folders(tables.spark):
+        keyed = values.where(complete(DRIFT_KEY)).dropDuplicates(DRIFT_KEY).withColumn("digest", key_digest())
+        fresh = pin(tables.keys.missing(keyed, tables.open_batches("drift")))
+        tables.keys.add(fresh, batch)
+        keyless = values.where(~complete(DRIFT_KEY))
+        others = new_rows(on_days_of(stored, keyless).where(~complete(DRIFT_KEY)), keyless, ORIGIN)
+        tables.write_batch("drift", fresh.drop("digest").unionByName(others), batch)
+
+
 def on_days_of(stored: DataFrame, values: DataFrame) -> DataFrame:
     """The stored rows of the days that ``values`` touch, whose folders alone are read.
 
@@ -79,12 +100,6 @@ def start_ingest(
     )
 
 
-def key_digest(key: list[str] = DRIFT_KEY) -> Column:
-    """Sixteen bytes that tell keys without a NULL part apart, whatever the length of their texts."""
-    parts = {"created_at": F.unix_micros("created_at"), "value": F.col("value") + F.lit(0.0)}  # -0.0 equals 0.0
-    return F.unhex(F.md5(F.to_json(F.struct(*[parts.get(c, F.col(c)).alias(c) for c in key]))))
-
-
 def dedupe_stream(values: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Drop repeated values inside the watermark. Rows with a NULL key part all pass, as on insert.
 
