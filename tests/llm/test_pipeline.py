@@ -1,12 +1,18 @@
 """The pipeline and the registered queries on small tables."""
 
+import math
+import re
+import zlib
+
 import duckdb
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from driftwatch.llm import decontaminate
 from driftwatch.llm.oracle import ORACLE
-from driftwatch.llm.queries import QUERIES
+from driftwatch.llm.queries import QUERIES, default_tokenizer
 from llm.test_duplicates import brute_classes, lower
 
 SF = "/root/testdata/sf0.001"
@@ -15,7 +21,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = QUERIES[name](spark, SF).toPandas(), con.sql(ORACLE[name]).df()
     columns = sorted(got.columns)
@@ -73,5 +79,56 @@ def test_run_packs_what_is_left(spark):
 
 def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_stages_take_nulls_and_columns_of_any_name(spark):
+    names = "doc_id long, text string, lang string, source string, n_chars long, row string, `__row` int, key string, toxic int"
+    rows = [(1, None), (1, None), (None, ""), (2, "plain words here"), (2, "other plain words"), (None, None), (3, "w " * 100_000)]
+    docs = spark.createDataFrame([(*r, None, None, None, "a", 1, "k", None) for r in rows], names)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        kept = [tuple(r) for r in out.collect()]
+        assert set(kept) <= {tuple(r) for r in docs.collect()} and {(2, "plain words here"), (2, "other plain words")} <= {r[:2] for r in kept}
+    pieces = corpus_pipeline.STAGES[4][1](spark, docs, SF).collect()
+    assert sum(p["start"] == 0 for p in pieces) == len(rows)
+
+
+#: The columns each query begins with, in any order.
+CONTRACT = {
+    "op2_language_id": ["doc_id", "held_out", "lang_pred", "score"],
+    "op4_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op5_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op9_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op10_lm_scoring": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+}
+FOLD = {"op2_language_id": (4, 2), "op5_toxicity": (5, 0), "op9_quality": (4, 2), "op10_lm_scoring": (7, 2)}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_queries_keep_their_contract(spark, name):
+    found = QUERIES[name](spark, SF)
+    assert set(CONTRACT[name]) <= set(found.columns)
+    rows = found.collect()
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert {r["doc_id"] for r in rows} == set(docs)
+    if name == "op4_packing":
+        tokenizer = Tokenizer.from_file(default_tokenizer())
+        for r in rows:
+            ids = [*tokenizer.encode(docs[r["doc_id"]], add_special_tokens=False).ids, 1]
+            part = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4")
+            assert r["doc_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(part.tobytes())
+        return
+    modulus, remainder = FOLD[name]
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % modulus == remainder)
+        if "predicted" in found.columns:
+            assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= {"op5_toxicity": 0.5, "op9_quality": 0.7}[name])
+    if name == "op10_lm_scoring":
+        tokens = {d: [*re.findall(r"[^\x20\x09-\x0D]+", lower(t)), None] for d, t in docs.items()}
+        total = sum(len(tokens[r["doc_id"]]) for r in rows if not r["held_out"])
+        assert all(r["train_tokens"] == total and r["n_tokens"] == len(tokens[r["doc_id"]]) for r in rows)
+        assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in rows)
