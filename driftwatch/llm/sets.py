@@ -296,9 +296,16 @@ def classes(
 
 
 def resolve(
-    sketched: DataFrame, carry: str, candidates: Callable[[DataFrame], DataFrame], units: DataFrame, size: int, similarity: float
+    sketched: DataFrame,
+    carry: str,
+    candidates: Callable[[DataFrame], DataFrame],
+    units: DataFrame,
+    size: int,
+    similarity: float,
+    also: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``classes`` of units that are sketched (and pinned) already, in column ``carry``."""
+    """``classes`` of units that are sketched (and pinned) already, in column ``carry``; with the columns
+    ``also`` of theirs."""
     sets = pin(distinct_sets(sketched, carry))
     comps = components(candidates(sets))
     found = pin(exact_links(sets, comps, units, size, similarity))
@@ -321,10 +328,11 @@ def resolve(
         "set_id", "class_key", "class_last", "class_size", (F.col("docs") + F.col("copies") - 1).alias("n_links")
     )
     return (
-        sketched.select("key", "set_id")
+        sketched.select("key", "set_id", *also)
         .join(by_set, "set_id", "left")
         .select(
             "key",
+            *also,
             F.coalesce("class_key", "key").alias("class_key"),
             F.coalesce("class_last", "key").alias("class_last"),
             F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
