@@ -121,20 +121,19 @@ def due_profiles(profiles: DataFrame, now=None) -> DataFrame:
 UNREADABLE_PROFILE, UNREADABLE_SCHEDULE = "unreadable profile", "unreadable schedule"
 
 
-def _with_reason(requests: DataFrame, now) -> DataFrame:
+def _with_reason(requests: DataFrame, now, once: bool = True) -> DataFrame:
     """Requests with the service their document names (``_repository`` and so on) and ``_reason``, why
     they are refused, if they are.
 
-    Documents are parsed once, and what is needed of them is pinned, since the schedules are looked
-    at apart.
+    The schedules are looked at apart. So that documents are parsed ``once``, what is needed of them is
+    pinned.
     """
-    parsed = pin(
-        parse_documents(requests).select(
-            *requests.columns,
-            *[F.col(f"doc.config.{c}").alias(f"_{c}") for c in SERVICE],
-            F.col("doc.config.alert_config.schedule").alias("_schedule"),
-        )
+    parsed = parse_documents(requests).select(
+        *requests.columns,
+        *[F.col(f"doc.config.{c}").alias(f"_{c}") for c in SERVICE],
+        F.col("doc.config.alert_config.schedule").alias("_schedule"),
     )
+    parsed = pin(parsed) if once else parsed
     upcoming = next_runs(parsed, now, "_schedule").select(
         F.col("schedule").alias("_schedule"), F.col("next_run").alias("_upcoming")
     )
@@ -146,7 +145,7 @@ def _with_reason(requests: DataFrame, now) -> DataFrame:
 def profile_rejects(requests: DataFrame, now) -> DataFrame:
     """``profile`` and ``reason`` of requests that inserts and updates refuse: the document cannot be
     read or lacks its key, or its schedule cannot be read or never comes round."""
-    refused = _with_reason(requests, as_timestamp(now)).where(F.col("_reason").isNotNull())
+    refused = _with_reason(requests, as_timestamp(now), once=False).where(F.col("_reason").isNotNull())
     return refused.select("profile", F.col("_reason").alias("reason"))
 
 
