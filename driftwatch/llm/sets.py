@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
@@ -77,14 +77,18 @@ def _places(none: np.ndarray) -> pa.Array:
     return pa.array(np.cumsum(~none) - 1, pa.int64(), mask=none)
 
 
-def distinct_sets(sketched: DataFrame, carry: str = "sketch") -> DataFrame:
-    """One row per set: ``set_id``, its sketch (column ``carry``), ``rep`` and ``top`` (the smallest
-    and largest key), ``copies``, ``shingles``."""
+def _whole(key: str) -> Column:
+    return F.xxhash64(key)
+
+
+def distinct_sets(sketched: DataFrame, carry: str = "sketch", owner: Callable[[str], Column] = _whole) -> DataFrame:
+    """One row per set: ``set_id``, its sketch (column ``carry``), ``rep`` (the smallest key), ``copies``,
+    ``shingles``, and ``apart``, whether its units belong to several owners."""
     full = sketched.filter("set_id IS NOT NULL")
     return full.groupBy("set_id").agg(
         F.first(carry).alias(carry),
         F.min("key").alias("rep"),
-        F.max("key").alias("top"),
+        (F.min(owner("key")) != F.max(owner("key"))).alias("apart"),
         F.count(F.lit(1)).alias("copies"),
         F.first("shingles").alias("shingles"),
     )
@@ -287,8 +291,8 @@ def classes(
     size: int = 5,
     similarity: float = 0.8,
 ) -> DataFrame:
-    """Classes of near-equal units: ``key``, ``class_key`` and ``class_last`` (smallest and largest key
-    of its class, itself if alone), ``class_size`` and ``n_links`` (other units at the similarity or above, copies included).
+    """Classes of near-equal units: ``key``, ``class_key`` (smallest key of its class, itself if alone),
+    ``class_apart`` (whether its units belong to several owners), ``class_size`` and ``n_links`` (other units at the similarity or above, copies included).
 
     ``candidates`` makes candidate links (``a``, ``b``) of distinct sets (``set_id``, ``sketch``).
     """
@@ -303,10 +307,11 @@ def resolve(
     size: int,
     similarity: float,
     also: tuple[str, ...] = (),
+    owner: Callable[[str], Column] = _whole,
 ) -> DataFrame:
     """``classes`` of units that are sketched (and pinned) already, in column ``carry``; with the columns
-    ``also`` of theirs."""
-    sets = pin(distinct_sets(sketched, carry))
+    ``also`` of theirs. ``owner`` makes of a key what it belongs to."""
+    sets = pin(distinct_sets(sketched, carry, owner))
     comps = components(candidates(sets))
     found = pin(exact_links(sets, comps, units, size, similarity))
     counts = found.groupBy("set_id").agg(F.sum("docs").alias("docs"))
@@ -315,17 +320,19 @@ def resolve(
     if cut.limit(1).count():
         whole = whole.unionByName(components(cut).select(F.col("node").alias("set_id"), F.col("comp").alias("class")))
     of_set = (
-        sets.select("set_id", "rep", "top", "copies")
+        sets.select("set_id", "rep", "apart", "copies")
         .join(whole, "set_id", "left")
         .join(counts, "set_id", "left")
-        .select("set_id", "rep", "top", "copies", F.coalesce("class", "set_id").alias("class"), F.coalesce("docs", F.lit(0)).alias("docs"))
+        .select("set_id", "rep", "apart", "copies", F.coalesce("class", "set_id").alias("class"), F.coalesce("docs", F.lit(0)).alias("docs"))
     )
     of_set = pin(of_set)
+    # Where no set of a class has several owners, each belongs to the owner of its ``rep``.
+    apart = F.max("apart") | (F.min(owner("rep")) != F.max(owner("rep")))
     of_class = of_set.groupBy("class").agg(
-        F.min("rep").alias("class_key"), F.max("top").alias("class_last"), F.sum("copies").alias("class_size")
+        F.min("rep").alias("class_key"), apart.alias("class_apart"), F.sum("copies").alias("class_size")
     )
     by_set = of_set.join(of_class, "class").select(
-        "set_id", "class_key", "class_last", "class_size", (F.col("docs") + F.col("copies") - 1).alias("n_links")
+        "set_id", "class_key", "class_apart", "class_size", (F.col("docs") + F.col("copies") - 1).alias("n_links")
     )
     return (
         sketched.select("key", "set_id", *also)
@@ -334,7 +341,7 @@ def resolve(
             "key",
             *also,
             F.coalesce("class_key", "key").alias("class_key"),
-            F.coalesce("class_last", "key").alias("class_last"),
+            F.coalesce("class_apart", F.lit(False)).alias("class_apart"),
             F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
             F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         )
