@@ -7,6 +7,7 @@ import re
 import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from driftwatch.llm import decontaminate, exact_dedup, jaccard_join, paragraph_dedup, sets
 from driftwatch.llm.queries import QUERIES
@@ -322,3 +323,35 @@ def test_recall_of_candidates(spark, similarity):
 def test_too_small_a_sketch_is_refused(spark):
     with pytest.raises(ValueError, match="too small"):
         jaccard_join.jaccard_classes(frame(spark, []), similarity=0.1)
+
+
+@pytest.mark.parametrize("size", [60, 80])
+def test_passages_inside_lines_are_found(spark, size):
+    """Passages that stand in the midst of a line of two otherwise different documents."""
+    import random
+
+    rng = random.Random(size)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(150):
+        passage = some(size)
+        for d in (2 * k, 2 * k + 1):
+            rows.append((d, " ".join([*some(rng.randrange(20, 60)), *passage, *some(rng.randrange(20, 60))])))
+    rows += [(1000 + k, " ".join(some(120))) for k in range(100)]
+    found = {r["id"] for r in paragraph_dedup.repeated_passages(frame(spark, rows)).select("id").distinct().collect()}
+    assert len(found & set(range(300))) >= (0.8 if size == 60 else 0.95) * 300 and not found & set(range(1000, 1100))
+
+
+def test_sets_too_small_to_be_similar_have_no_bands(spark):
+    assert [paragraph_dedup.least_shingles(s) for s in (0.5, 0.8, 0.9)] == [1, 4, 9]
+    docs = frame(spark, [(k, " ".join(f"w{j}" for j in range(k))) for k in range(1, 13)])
+    rows = paragraph_dedup.paragraphs(docs, least=4).select("shingles", F.size("bands").alias("n")).collect()
+    assert {(r["shingles"] >= 4, r["n"]) for r in rows} == {(False, 0), (True, 4)}
+
+
+def test_wanted_paragraphs_alone_are_made(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40)
+    every = {tuple(r["key"]): r["text"] for r in paragraph_dedup._units(docs, "doc_id", "text").collect()}
+    keys = paragraph_dedup.paragraphs(docs).filter("key.place % 3 = 1").select(F.col("key").alias("rep"))
+    some = {tuple(r["key"]): r["text"] for r in paragraph_dedup._units(docs, "doc_id", "text", keys).collect()}
+    assert some == {k: t for k, t in every.items() if k[2] % 3 == 1} and some
