@@ -118,6 +118,9 @@ def due_profiles(profiles: DataFrame, now=None) -> DataFrame:
     return profiles.where(F.col("active") & (F.col("next_run") < now_or(now)))
 
 
+#: Requests in a file of those that are pinned. Documents resemble each other, so as Parquet they are tiny
+#: beside what they are in memory, and a file of them all would make tasks that sort millions.
+ROWS_PER_FILE = 10_000
 UNREADABLE_PROFILE, UNREADABLE_SCHEDULE = "unreadable profile", "unreadable schedule"
 
 
@@ -126,17 +129,20 @@ def _with_reason(requests: DataFrame, now, once: bool = True) -> DataFrame:
     they are refused, if they are.
 
     The schedules are looked at apart. So that documents are parsed ``once``, what is needed of them is
-    pinned.
+    pinned, and so are the schedules.
     """
     parsed = parse_documents(requests).select(
         *requests.columns,
         *[F.col(f"doc.config.{c}").alias(f"_{c}") for c in SERVICE],
         F.col("doc.config.alert_config.schedule").alias("_schedule"),
     )
-    parsed = pin(parsed) if once else parsed
+    parsed = pin(parsed, rows_per_file=ROWS_PER_FILE) if once else parsed
     upcoming = next_runs(parsed, now, "_schedule").select(
         F.col("schedule").alias("_schedule"), F.col("next_run").alias("_upcoming")
     )
+    # Of a table the size is known when the join is planned, so that documents are not dealt out by schedule
+    # first where there are few schedules.
+    upcoming = pin(upcoming) if once else upcoming
     keyless = F.greatest(*[F.col(f"_{c}").isNull() for c in SERVICE])
     reason = F.when(keyless, UNREADABLE_PROFILE).when(F.col("_upcoming").isNull(), UNREADABLE_SCHEDULE)
     return parsed.join(upcoming, "_schedule", "left").withColumn("_reason", reason)

@@ -104,3 +104,16 @@ def test_alerts_raised_by_the_caller(spark, tmp_path):
     for k in range(3):
         monitor.insert_alert(APP, "f", {"zone": "Zone 4", "kind": "Consecutive"}, NOW + k * DAY)
     assert [(r.id, r.alert["zone"]) for r in monitor.alerts(APP, limit=2).collect()] == [(3, "Zone 4"), (2, "Zone 4")]
+
+
+def test_documents_are_pinned_in_files_of_bounded_rows(spark, monkeypatch):
+    """A task that reads them sorts documents, which are far wider in memory than as Parquet."""
+    pins, real = [], profile_ops.pin
+    monkeypatch.setattr(profile_ops, "ROWS_PER_FILE", 5)
+    monkeypatch.setattr(profile_ops, "pin", lambda df, **how: pins.append(real(df, **how)) or pins[-1])
+    requests = spark.createDataFrame([(document(f"model_{k % 7}"), "SPC") for k in range(40)], REQUEST).coalesce(1)
+    empty = Monitor(spark, "/nowhere").tables.read("profiles").drop("snapshot")
+    assert profile_ops.insert_profiles(empty, requests, NOW).count() == 7
+    documents = [p for p in pins if "profile" in p.columns][0]
+    files = documents.groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 40 and max(r["count"] for r in files) <= 5
