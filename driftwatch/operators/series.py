@@ -3,6 +3,8 @@
 Functions work on all services at once; ``service`` narrows them to one.
 """
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from driftwatch.schemas import SERIES, SERVICE
 from driftwatch.session import pin
 
 CHUNK_BINS = 100_000
+#: Rows that one task orders, about.
+PART_ROWS = 1_000_000
 
 
 def of_service(df: DataFrame, service: dict | None) -> DataFrame:
@@ -48,19 +52,22 @@ def with_positions(
     """Adds ``position`` in the series, 1 being the newest; equal times put the larger value first.
 
     Equal rows are counted together before they are ordered, and told apart again after it, so an
-    instant that many rows share costs as much as its distinct rows.
+    instant that many rows share costs as much as its distinct rows. The number of newer rows comes to a
+    slot as a row ahead of the others, so they are dealt out and sorted once, with their key in them
+    once. There are as many parts as rows fill.
     """
     counted = with_slot(values, slot_seconds).groupBy(*values.columns, "slot").agg(F.count(F.lit(1)).alias("n"))
-    offsets = slot_offsets(counted, group, size=F.col("n")).select(*group, "slot", "newer")
+    offsets = slot_offsets(counted, group, size=F.col("n"))
+    ahead = offsets.select(*group, "slot", F.col("newer").alias("n"), F.lit(True).alias("_ahead"))
+    rows = counted.withColumn("_ahead", F.lit(False)).unionByName(ahead, allowMissingColumns=True)
+    parts = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(values.count() / PART_ROWS))
     others = [F.desc_nulls_last(c) for c in values.columns if c not in {*group, "created_at", "value"}]
     before = (
-        Window.partitionBy("_key")
-        .orderBy(F.desc("created_at"), F.desc_nulls_last("value"), *others)
+        Window.partitionBy(*group, "slot")
+        .orderBy(F.desc("_ahead"), F.desc("created_at"), F.desc_nulls_last("value"), *others)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    ordered = same_keys_join(counted, offsets, group + ["slot"]).withColumn(
-        "newer", F.col("newer") + F.coalesce(F.sum("n").over(before), F.lit(0))
-    )
+    ordered = rows.repartition(parts, *group, "slot").withColumn("newer", F.sum("n").over(before)).where(~F.col("_ahead"))
     return repeat_rows(ordered, "n", number="position").select(
         *values.columns, (F.col("newer") + F.col("position")).cast("bigint").alias("position")
     )

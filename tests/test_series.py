@@ -139,6 +139,28 @@ def test_equal_rows_of_one_instant_are_counted_before_ordering(spark):
     assert [tuple(r) for r in found.collect()] == [(1.0, 2, 250_001, 250_000), (2.0, 1, 1, 1)]
 
 
+def test_ordering_takes_as_many_parts_as_rows_fill(spark, monkeypatch):
+    """Rows come to their slot's number of newer rows in one sort, without a join of all rows."""
+    monkeypatch.setattr(series, "PART_ROWS", 50)
+    rng = random.Random(3)
+    entries = [(rng.choice(["x", "y", None]), rng.randint(0, 300), rng.choice([None, 1.0, 2.0])) for _ in range(1000)]
+    rows = [(START + dt.timedelta(seconds=t), "a", "r", "1", f, v) for f, t, v in entries]
+    rows.append((None, "a", "r", "1", "x", 3.0))
+    df = spark.createDataFrame(rows, "created_at timestamp, name string, repository string, version string, feature string, value double")
+    placed = series.with_positions(df)
+    assert placed.rdd.getNumPartitions() == 21
+    found = {}
+    for r in placed.collect():
+        found.setdefault(r.feature, []).append((r.position, r.created_at, r.value))
+    low = lambda v, least: least if v is None else v
+    for own in found.values():
+        own.sort(key=lambda e: e[0])
+        assert [e[0] for e in own] == list(range(1, len(own) + 1))
+        keys = [(low(t, dt.datetime.min), low(v, -1.0)) for _, t, v in own]
+        assert keys == sorted(keys, reverse=True)
+    assert sum(map(len, found.values())) == 1001
+
+
 def test_truncation_reads_from_the_oldest_cut(spark, tmp_path):
     rows = [(START + dt.timedelta(days=i), "a", "r", "1", f, float(i)) for i in range(9) for f in ("x", "y") if f == "x" or i > 6]
     df = spark.createDataFrame(rows, "created_at timestamp, name string, repository string, version string, feature string, value double")
