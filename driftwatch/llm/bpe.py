@@ -27,6 +27,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterable, Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,7 @@ class Merges:
             raise ValueError("Only plain special tokens are supported")
         vocabulary = model["vocab"]
         self.special = {t["content"]: t["id"] for t in whole["added_tokens"]}
+        self.mark = mark
         self.tokens = {i: t for t, i in (vocabulary | self.special).items()}
         #: Rank of the merge of two tokens, and the two with the rank for each merged token.
         self.rank: dict[tuple[int, int], int] = {}
@@ -68,8 +70,7 @@ class Merges:
         #: Tokens by the symbols they stand for, within a word and at its end.
         self.inner = {t: i for t, i in vocabulary.items() if not t.endswith(mark) or t == mark}
         self.final = {t[: -len(mark)]: i for t, i in vocabulary.items() if t.endswith(mark) and t != mark}
-        #: Lengths of the tokens that end in given symbols (up to three), longest first.
-        self.lengths = {False: _lengths(self.inner), True: _lengths(self.final)}
+        self.after, self.shorter, self.ending = _endings(self.inner, self.final, mark)
         self.known: dict[tuple[int, int], bool] = {}
         self._alone: dict[int, bool] = {}
 
@@ -110,15 +111,38 @@ class Merges:
                 limit, right = last[1] + 1, self.made[right][0]
 
 
-def _lengths(table: dict[str, int]) -> dict[str, list[int]]:
-    """A prefix that ends in some symbols can only end in tokens that do, or in shorter ones."""
-    found: dict[str, set[int]] = {}
-    for t in table:
-        found.setdefault(t[-3:], set()).add(len(t))
-    for n in (2, 3):
-        for t in [t for t in found if len(t) == n]:
-            found[t] |= {k for k in range(1, n) if t[n - k :] in table}
-    return {t: sorted(n, reverse=True) for t, n in found.items()}
+def _endings(inner: dict[str, int], final: dict[str, int], mark: str) -> tuple[list[dict[str, int]], list[int], list[tuple[tuple[int, int], ...]]]:
+    """States for the longest end of a prefix with which some token begins: by state the states one symbol
+    on, the state of the next shorter end, and the tokens (with their lengths) that the prefix ends in,
+    longest first. A word's last symbol carries ``mark``."""
+    after: list[dict[str, int]] = [{}]
+    own = [-1]
+    for table, end in ((inner, ""), (final, mark)):
+        for token, i in table.items():
+            state = 0
+            for symbol in [*token[:-1], token[-1] + end]:
+                to = after[state].get(symbol)
+                if to is None:
+                    to = after[state][symbol] = len(after)
+                    after.append({})
+                    own.append(-1)
+                state = to
+            own[state] = i
+    shorter, ending = [0] * len(after), [()] * len(after)
+    level, size = [0], 0
+    while level:
+        size += 1
+        below = []
+        for state in level:
+            for symbol, to in after[state].items():
+                less = shorter[state]
+                while less and symbol not in after[less]:
+                    less = shorter[less]
+                shorter[to] = after[less].get(symbol, 0) if state else 0
+                ending[to] = ((own[to], size), *ending[shorter[to]]) if own[to] >= 0 else ending[shorter[to]]
+                below.append(to)
+        level = below
+    return after, shorter, ending
 
 
 class _Node:
@@ -155,24 +179,25 @@ def build_trie(words: Iterable[str]) -> _Node:
 def encode_words(merges: Merges, words: Iterable[str]) -> dict[str, list[int]]:
     """Ids of distinct words (strings of byte symbols, none empty) by a walk through their trie."""
     out: dict[str, list[int]] = {}
-    # Last token of each prefix of the path and its length, by the length of the prefix.
-    last, size = [-1], [0]
+    # Last token of each prefix of the path, its length and the state of the prefix, by its length.
+    last, size, state = [-1], [0], [0]
     goes, known, alone = merges.goes, merges.known, merges.alone
-    tables = {False: (merges.inner, merges.lengths[False]), True: (merges.final, merges.lengths[True])}
+    after, shorter, ending, mark = merges.after, merges.shorter, merges.ending, merges.mark
     todo = [(build_trie(words), 0)]
     while todo:
         node, start = todo.pop()
         word, depth = node.word, node.depth
-        del last[start + 1 :], size[start + 1 :]
+        del last[start + 1 :], size[start + 1 :], state[start + 1 :]
         inside = depth if node.below else depth - 1
         for step in range(start + 1, inside + 1 + node.ends):
             end = step > inside
             to = depth if end else step
-            table, lengths = tables[end]
-            for n in lengths.get(word[to - 3 if to > 3 else 0 : to]) or lengths.get(word[to - 2 if to > 2 else 0 : to]) or (1,):
-                t = table.get(word[to - n : to]) if n <= to else None
-                if t is None:
-                    continue
+            symbol = word[to - 1] + mark if end else word[to - 1]
+            at = state[to - 1]
+            while at and symbol not in after[at]:
+                at = shorter[at]
+            at = after[at].get(symbol, 0)
+            for t, n in ending[at]:
                 if n == to:
                     if alone(t):
                         break
@@ -188,10 +213,12 @@ def encode_words(merges: Merges, words: Iterable[str]) -> dict[str, list[int]]:
                 while at:
                     ids.append(last[at])
                     at -= size[at]
-                out[word] = ids[::-1]
+                ids.reverse()
+                out[word] = ids
             else:
                 last.append(t)
                 size.append(n)
+                state.append(at)
         for child in node.below:
             todo.append((child, depth))
     return out
@@ -216,11 +243,12 @@ class _Held(dict):
 
     def missing(self, keys: set[str]) -> set[str]:
         """Keys neither here nor in the table before; those there are taken over."""
-        new = keys - self.keys()
+        new = {key for key in keys if key not in self}
         if self.before:
-            for key in new & self.before.keys():
+            back = [key for key in new if key in self.before]
+            for key in back:
                 self[key] = self.before[key]
-            new -= self.keys()
+            new.difference_update(back)
         return new
 
 
@@ -281,7 +309,7 @@ class Encoder:
         words = self._words(list(pieces))
         new = self.words.missing({w for own in words.values() for w in own})
         for word, ids in encode_words(self.merges, new).items():
-            self.words[word] = np.array(ids, "<u4").tobytes()
+            self.words[word] = pack(f"<{len(ids)}I", *ids)
         ids = self.words
         for part in parts - marked.keys():
             own = words[part]

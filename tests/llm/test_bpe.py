@@ -95,3 +95,18 @@ def test_query(spark, library):
     found = QUERIES["op11_bpe"](spark, SF)
     assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert {tuple(r) for r in found.collect()} == want
+
+
+def test_lookups_do_not_run_through_the_table(monkeypatch):
+    """What is missing is found key by key, whatever the table holds."""
+    held = bpe._Held()
+    held.update({f"w{k}": b"" for k in range(100)})
+    held.before = {"old": b"1", "older": b"2"}
+
+    def scanned(_):
+        raise AssertionError("the whole table was read")
+
+    monkeypatch.setattr(bpe._Held, "keys", scanned)
+    monkeypatch.setattr(bpe._Held, "__iter__", scanned)
+    assert held.missing({"w1", "old", "new"}) == {"new"}
+    assert held["old"] == b"1" and "older" not in held
