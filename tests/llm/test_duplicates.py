@@ -349,6 +349,20 @@ def test_sets_too_small_to_be_similar_have_no_bands(spark):
     assert {(r["shingles"] >= 4, r["n"]) for r in rows} == {(False, 0), (True, 4)}
 
 
+def test_bands_take_six_bytes(spark):
+    """Bands are carried end to end, and equal paragraphs have all of theirs in common."""
+    line = " ".join(f"w{j}" for j in range(12))
+    docs = frame(spark, [(1, line), (2, line), (3, line.replace("w5", "other")), (4, "too short")])
+    rows = paragraph_dedup.packed_paragraphs(docs, "doc_id", "text", 4, 2, 4).collect()
+    assert {(r["shingles"] >= 4, len(r["bands"])) for r in rows} == {(False, 0), (True, 24)}
+    packed = {r["key"]: bytes(r["bands"]) for r in rows}
+    listed = {r["key"]: b"".join(map(bytes, r["bands"])) for r in paragraph_dedup.paragraphs(docs, least=4).collect()}
+    assert packed == listed
+    sets_found = sets.distinct_sets(paragraph_dedup.packed_paragraphs(docs, "doc_id", "text", 4, 2, 4), "bands", lambda key: F.col(f"{key}.id"))
+    found = sets_found.select("rep.id", "copies", "apart").collect()
+    assert {(r["id"], r["apart"]) for r in found if r["id"] in (1, 4)} == {(1, True), (4, False)}
+
+
 def test_wanted_paragraphs_alone_are_made(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(40)
     every = {tuple(r["key"]): r["text"] for r in paragraph_dedup._units(docs, "doc_id", "text").collect()}
