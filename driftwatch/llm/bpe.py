@@ -24,9 +24,13 @@ to keep are named by the caller, and so are the new ones, which must not be amon
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from functools import cached_property
+from itertools import filterfalse
 from struct import pack
 
 import numpy as np
@@ -42,6 +46,10 @@ PIECE = 1 << 20
 BATCH = 1000
 
 
+#: In place of two tokens and a rank, for a token that no merge makes.
+_UNMADE = (-1, -1, -1)
+
+
 class Merges:
     """The vocabulary and merge rules of a tokenizer file."""
 
@@ -70,17 +78,40 @@ class Merges:
         #: Tokens by the symbols they stand for, within a word and at its end.
         self.inner = {t: i for t, i in vocabulary.items() if not t.endswith(mark) or t == mark}
         self.final = {t[: -len(mark)]: i for t, i in vocabulary.items() if t.endswith(mark) and t != mark}
-        self.after, self.shorter, self.ending = _endings(self.inner, self.final, mark)
-        self.known: dict[tuple[int, int], bool] = {}
+        #: Per token: whether its text, after that of another token, is encoded as the two.
+        self.known: dict[int, dict[int, bool]] = {i: {} for i in vocabulary.values()}
+        self._n_known = 0
         self._alone: dict[int, bool] = {}
+        self._n_steps = 0
+
+    @cached_property
+    def endings(self) -> tuple[list[dict[str, int]], list[int], list[tuple[Ending, ...]]]:
+        """See ``_endings``; tokens that are not encoded as themselves end no prefix."""
+        own = {i: self.known[i] for i in self.known if self.alone(i)}
+        return _endings(self.inner, self.final, self.mark, own)
+
+    def step(self, state: int, symbol: str) -> int:
+        """The state one symbol on, by way of shorter ends; entered with the state, so that it is found once."""
+        after, shorter, _ = self.endings
+        at = state
+        while at and symbol not in after[at]:
+            at = shorter[at]
+        to = after[at].get(symbol, 0)
+        if self._n_steps < HELD:
+            after[state][symbol] = to
+            self._n_steps += 1
+        return to
 
     def goes(self, left: int, right: int) -> bool:
         """Whether the texts of two tokens, end to end, are encoded as the two."""
-        known = self.known.get((left, right))
+        known = self.known[right].get(left)
         if known is None:
-            if len(self.known) >= HELD:
-                self.known.clear()
-            known = self.known[left, right] = self.alone(left) and self.alone(right) and not self._crossed(left, right)
+            if self._n_known >= HELD:
+                for held in self.known.values():
+                    held.clear()
+                self._n_known = 0
+            known = self.known[right][left] = self.alone(left) and self.alone(right) and not self._crossed(left, right)
+            self._n_known += 1
         return known
 
     def alone(self, token: int) -> bool:
@@ -97,23 +128,32 @@ class Merges:
         """Whether some merge across the border of two tokens comes before those that made them, or,
         with ``before``, one other than their own of that rank."""
         limit = len(self.rank) if before is None else before
+        rank, made = self.rank, self.made
+        ends, begins = made.get(left, _UNMADE), made.get(right, _UNMADE)
         while True:
-            across = self.rank.get((left, right))
+            across = rank.get((left, right))
             if across is not None and across < limit:
                 return True
-            last = [self.made[t][2] if t in self.made else -1 for t in (left, right)]
-            if max(last) < 0:
-                return False
-            if last[0] > last[1]:
+            if ends[2] > begins[2]:
                 # Of two equal merges the one further left is first: here the one inside the left token.
-                limit, left = last[0], self.made[left][1]
+                limit, left = ends[2], ends[1]
+                ends = made.get(left, _UNMADE)
+            elif begins[2] >= 0:
+                limit, right = begins[2] + 1, begins[0]
+                begins = made.get(right, _UNMADE)
             else:
-                limit, right = last[1] + 1, self.made[right][0]
+                return False
 
 
-def _endings(inner: dict[str, int], final: dict[str, int], mark: str) -> tuple[list[dict[str, int]], list[int], list[tuple[tuple[int, int], ...]]]:
+#: A token, its length, and whether it goes with tokens before it, as far as is known.
+Ending = tuple[int, int, dict[int, bool]]
+
+
+def _endings(
+    inner: dict[str, int], final: dict[str, int], mark: str, known: dict[int, dict[int, bool]]
+) -> tuple[list[dict[str, int]], list[int], list[tuple[Ending, ...]]]:
     """States for the longest end of a prefix with which some token begins: by state the states one symbol
-    on, the state of the next shorter end, and the tokens (with their lengths) that the prefix ends in,
+    on, the state of the next shorter end, and the tokens of ``known`` that the prefix ends in,
     longest first. A word's last symbol carries ``mark``."""
     after: list[dict[str, int]] = [{}]
     own = [-1]
@@ -127,7 +167,7 @@ def _endings(inner: dict[str, int], final: dict[str, int], mark: str) -> tuple[l
                     after.append({})
                     own.append(-1)
                 state = to
-            own[state] = i
+            own[state] = i if i in known else -1
     shorter, ending = [0] * len(after), [()] * len(after)
     level, size = [0], 0
     while level:
@@ -139,7 +179,7 @@ def _endings(inner: dict[str, int], final: dict[str, int], mark: str) -> tuple[l
                 while less and symbol not in after[less]:
                     less = shorter[less]
                 shorter[to] = after[less].get(symbol, 0) if state else 0
-                ending[to] = ((own[to], size), *ending[shorter[to]]) if own[to] >= 0 else ending[shorter[to]]
+                ending[to] = ((own[to], size, known[own[to]]), *ending[shorter[to]]) if own[to] >= 0 else ending[shorter[to]]
                 below.append(to)
         level = below
     return after, shorter, ending
@@ -160,8 +200,11 @@ def build_trie(words: Iterable[str]) -> _Node:
     path = [root]
     for word in sorted(words):
         before = path[-1].word
-        most = min(len(before), len(word))
-        common = next((k for k in range(most) if before[k] != word[k]), most)
+        common = 0
+        for x, y in zip(before, word):
+            if x != y:
+                break
+            common += 1
         cut = None
         while path[-1].depth > common:
             cut = path.pop()
@@ -181,52 +224,83 @@ def encode_words(merges: Merges, words: Iterable[str]) -> dict[str, list[int]]:
     out: dict[str, list[int]] = {}
     # Last token of each prefix of the path, its length and the state of the prefix, by its length.
     last, size, state = [-1], [0], [0]
-    goes, known, alone = merges.goes, merges.known, merges.alone
-    after, shorter, ending, mark = merges.after, merges.shorter, merges.ending, merges.mark
+    goes, step, mark = merges.goes, merges.step, merges.mark
+    after, _, ending = merges.endings
     todo = [(build_trie(words), 0)]
     while todo:
-        node, start = todo.pop()
-        word, depth = node.word, node.depth
-        del last[start + 1 :], size[start + 1 :], state[start + 1 :]
-        inside = depth if node.below else depth - 1
-        for step in range(start + 1, inside + 1 + node.ends):
-            end = step > inside
-            to = depth if end else step
-            symbol = word[to - 1] + mark if end else word[to - 1]
-            at = state[to - 1]
-            while at and symbol not in after[at]:
-                at = shorter[at]
-            at = after[at].get(symbol, 0)
-            for t, n in ending[at]:
+        node, to = todo.pop()
+        word, depth, below = node.word, node.depth, node.below
+        del last[to + 1 :], size[to + 1 :], state[to + 1 :]
+        at = state[to]
+        for symbol in word[to : depth if below else depth - 1]:
+            to += 1
+            on = after[at].get(symbol)
+            at = step(at, symbol) if on is None else on
+            for t, n, fits in ending[at]:
                 if n == to:
-                    if alone(t):
-                        break
-                else:
-                    pair = (last[to - n], t)
-                    fit = known.get(pair)
-                    if fit or fit is None and goes(*pair):
-                        break
+                    break
+                left = last[to - n]
+                fit = fits.get(left)
+                if fit or fit is None and goes(left, t):
+                    break
             else:
                 raise ValueError(f"No encoding of {word[:to]!r}")
-            if end:
-                ids, at = [t], to - n
-                while at:
-                    ids.append(last[at])
-                    at -= size[at]
-                ids.reverse()
-                out[word] = ids
+            last.append(t)
+            size.append(n)
+            state.append(at)
+        if node.ends:
+            symbol, at = word[-1] + mark, state[depth - 1]
+            on = after[at].get(symbol)
+            for t, n, fits in ending[step(at, symbol) if on is None else on]:
+                if n == depth:
+                    break
+                left = last[depth - n]
+                fit = fits.get(left)
+                if fit or fit is None and goes(left, t):
+                    break
             else:
-                last.append(t)
-                size.append(n)
-                state.append(at)
-        for child in node.below:
+                raise ValueError(f"No encoding of {word!r}")
+            ids, at = [t], depth - n
+            while at:
+                ids.append(last[at])
+                at -= size[at]
+            ids.reverse()
+            out[word] = ids
+        for child in below:
             todo.append((child, depth))
     return out
 
 
-#: How the supported tokenizer splits normalised text, and the same for text of ASCII alone.
+#: How the supported tokenizer splits normalised text, and the same for marks and digits of ASCII and
+#: letters to U+00FF, which normalisation only brings to lower case, one by one.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+SPLIT_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+
+
+def _byte_symbols() -> dict[int, str]:
+    """The symbols that stand for the bytes of each of those letters in a byte-level vocabulary: bytes that
+    can be printed stand for themselves, the others follow U+00FF in their order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    symbols = {b: chr(b) for b in shown}
+    symbols |= {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    return {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+SYMBOLS = _byte_symbols()
+
+
+@contextmanager
+def _no_cycles() -> Iterator[None]:
+    """Holds back the search for cycles, of which nothing here makes any: tables and tries are many
+    objects, and it would run through them again and again as they grow."""
+    before = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if before:
+            gc.enable()
 
 
 class _Held(dict):
@@ -243,9 +317,9 @@ class _Held(dict):
 
     def missing(self, keys: set[str]) -> set[str]:
         """Keys neither here nor in the table before; those there are taken over."""
-        new = {key for key in keys if key not in self}
+        new = set(filterfalse(self.__contains__, keys))
         if self.before:
-            back = [key for key in new if key in self.before]
+            back = list(filter(self.before.__contains__, new))
             for key in back:
                 self[key] = self.before[key]
             new.difference_update(back)
@@ -265,19 +339,27 @@ class Encoder:
         settings = json.loads(library.to_str())
         kinds = [n["type"] for n in (settings["normalizer"] or {}).get("normalizers", [])]
         ways = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.plain = kinds == ["NFC", "Replace", "Lowercase"] and ways[0].get("pattern") == {"Regex": SPLIT}
+        self.plain = (
+            kinds == ["NFC", "Replace", "Lowercase"]
+            and ways[0].get("pattern") == {"Regex": SPLIT}
+            and [w["type"] for w in ways] == ["Split", "ByteLevel"]
+        )
         content = sorted(self.merges.special, key=len, reverse=True)
         self.special = re.compile(f"({'|'.join(map(re.escape, content)) or '(?!)'})")
         self.parts, self.words = _Held(), _Held()
 
     def _words(self, pieces: list[str]) -> dict[str, list[str]]:
-        """The words of pieces of parts. Pieces of ASCII letters and marks are split here, the others by
-        the library: many in one call, with spaces between them, but those with white space alone."""
+        """The words of pieces of parts. Pieces of letters to U+00FF and marks of ASCII are split here, the
+        others by the library: many in one call, with spaces between them, but those with white space alone."""
         out: dict[str, list[str]] = {}
         some, alone = [], []
+        plain, latin, split = self.plain, LATIN.fullmatch, SPLIT_LATIN.findall
         for piece in pieces:
-            if self.plain and piece.isascii() and piece.isprintable():
-                out[piece] = SPLIT_ASCII.findall(piece.lower())
+            if plain and piece.isascii() and piece.isalpha():
+                out[piece] = [piece.lower()]
+            elif plain and latin(piece):
+                own = split(piece.lower())
+                out[piece] = own if piece.isascii() else [w.translate(SYMBOLS) for w in own]
             else:
                 (some if piece.split() == [piece] else alone).append(piece)
         for at in range(0, len(some), BATCH):
@@ -308,8 +390,8 @@ class Encoder:
         pieces = (parts - marked.keys()) | {p for own in marked.values() for p in own if p not in special}
         words = self._words(list(pieces))
         new = self.words.missing({w for own in words.values() for w in own})
-        for word, ids in encode_words(self.merges, new).items():
-            self.words[word] = pack(f"<{len(ids)}I", *ids)
+        for word, found in encode_words(self.merges, new).items():
+            self.words[word] = pack(f"<{len(found)}I", *found)
         ids = self.words
         for part in parts - marked.keys():
             own = words[part]
@@ -320,11 +402,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
+        with _no_cycles():
+            return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         out: list[list[bytes]] = [[] for _ in texts]
         group, size = [], 0
 
         def flush() -> None:
-            self.learn({p for _, parts in group for p in parts})
+            self.learn(set().union(*(parts for _, parts in group)))
             for k, parts in group:
                 out[k].append(b"".join(map(self.parts.__getitem__, parts)))
             group.clear()

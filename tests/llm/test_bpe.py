@@ -1,5 +1,6 @@
 """Encoding and decoding against the tokenizer library itself."""
 
+import gc
 import hashlib
 import random
 
@@ -110,3 +111,35 @@ def test_lookups_do_not_run_through_the_table(monkeypatch):
     monkeypatch.setattr(bpe._Held, "__iter__", scanned)
     assert held.missing({"w1", "old", "new"}) == {"new"}
     assert held["old"] == b"1" and "older" not in held
+
+
+def test_latin_letters_do_not_go_through_the_library(library, monkeypatch):
+    """Every letter to U+00FF, in words, with marks and digits, is split as the library splits it."""
+    letters = [chr(c) for c in range(33, 256) if chr(c).isprintable() and chr(c) not in "ª²³¹º¼½¾µ\xa0"]
+    texts = [f"a{c}b {c} {c}{c.upper()}9{c}'S" for c in letters] + ["Ça l'ÉTÉ,ß", "ÀÖ×÷ØÞ 'Ll"]
+    encoder = bpe.Encoder(PATH)
+    for text, made in zip(texts, encoder.encode(texts)):
+        ids = [int.from_bytes(made[i : i + 4], "little") for i in range(0, len(made), 4)]
+        assert ids == library.encode(text, add_special_tokens=False).ids, text
+    encoder = bpe.Encoder(PATH)
+
+    def called(_):
+        raise AssertionError("the library was asked")
+
+    monkeypatch.setattr(encoder, "split", called)
+    monkeypatch.setattr(encoder, "normalise", called)
+    assert len(encoder.encode(["L'été où Ößterreich, ÇA 3.14!"])[0]) > 0
+
+
+def test_no_search_for_cycles_while_encoding():
+    encoder, found = bpe.Encoder(PATH), []
+    note = lambda phase, info: found.append(phase)
+    texts = [f"{word}{k}x{k * k}" for k in range(3000) for word in ("some", "other")]
+    encoder.encode(["first"])
+    gc.callbacks.append(note)
+    try:
+        encoder.encode(texts)
+    finally:
+        gc.callbacks.remove(note)
+    # One may start when it is let in again.
+    assert found.count("start") <= 1 and gc.isenabled()
