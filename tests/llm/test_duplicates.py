@@ -369,3 +369,38 @@ def test_wanted_paragraphs_alone_are_made(spark):
     keys = paragraph_dedup.paragraphs(docs).filter("key.place % 3 = 1").select(F.col("key").alias("rep"))
     some = {tuple(r["key"]): r["text"] for r in paragraph_dedup._units(docs, "doc_id", "text", keys).collect()}
     assert some == {k: t for k, t in every.items() if k[2] % 3 == 1} and some
+
+
+def test_pinned_tables_leave_no_shuffle_files(spark):
+    """What a step shuffles is gone when its table is written."""
+    from driftwatch.session import pin
+
+    def held():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum("/shuffle_" in name for name in blocks.getAllFiles().mkString("\n").split("\n"))
+
+    before = held()
+    made = pin(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert held() <= before and made.count() == 7
+
+
+def test_units_alone_are_not_carried_further(spark, monkeypatch):
+    """Of sets, only those with copies or links are written after the comparison."""
+    written = []
+    pin = sets.pin
+
+    def noted(df, *args, **kwargs):
+        out = pin(df, *args, **kwargs)
+        written.append((out.columns, out))
+        return out
+
+    monkeypatch.setattr(sets, "pin", noted)
+    same = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, same), (2, same), (3, f"{same} more"), *((k, " ".join(f"v{k}x{n}" for n in range(30))) for k in range(4, 40))]
+    docs = frame(spark, rows).select(F.struct(F.col("doc_id").alias("id")).alias("key"), "text")
+    star = lambda s: s.select(F.col("set_id").alias("a")).crossJoin(s.agg(F.min("set_id").alias("b"))).filter("a <> b")
+    found = sets.classes(docs, star)
+    got = {r["key"]["id"]: (r["class_key"]["id"], r["class_size"], r["n_links"]) for r in found.collect()}
+    assert got == {1: (1, 3, 2), 2: (1, 3, 2), 3: (1, 3, 2)} | {k: (k, 1, 0) for k in range(4, 40)}
+    (carried,) = [out for columns, out in written if columns == ["set_id", "rep", "apart", "copies", "class", "docs"]]
+    assert carried.count() == 2
