@@ -46,7 +46,11 @@ class KeyIndex:
 
     def add(self, keyed: DataFrame, batch: str) -> None:
         rows = keyed.select("digest", F.lit(batch).alias("ingest_batch"), F.to_date("created_at").alias("event_date"))
-        rows.repartition(self.buckets, "digest").write.insertInto(self.table)
+        self._dealt(rows).write.insertInto(self.table)
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """One task for each bucket of a day, which so gets one file; days are written side by side."""
+        return rows.repartition("event_date", F.pmod(F.hash("digest"), F.lit(self.buckets)))
 
     def rebuild(self, values: DataFrame) -> None:
         """Replaces the days that the stored ``values`` lie on: one file a bucket and day, each key once."""
@@ -55,6 +59,6 @@ class KeyIndex:
         before = self.spark.conf.get("spark.sql.sources.partitionOverwriteMode")
         self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         try:
-            rows.repartition(self.buckets, "digest").write.insertInto(self.table, overwrite=True)
+            self._dealt(rows).write.insertInto(self.table, overwrite=True)
         finally:
             self.spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)

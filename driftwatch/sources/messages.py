@@ -94,7 +94,8 @@ def number_lines(messages: DataFrame) -> DataFrame:
 
     Files stay split among tasks: only the number of rows of each block is summed up per file. The
     number is that of the line however the file was split. For batches, and for the micro-batches of a
-    stream, whose rows the two branches read in the same order.
+    stream, whose rows the two branches read in the same order. The sums, one row for each block, that
+    is for each task's part of a file, are broadcast, so messages stay where they are read.
     """
     if "block" not in messages.columns:
         return messages
@@ -104,7 +105,7 @@ def number_lines(messages: DataFrame) -> DataFrame:
     before = blocks.select(
         "file", "block", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    numbered = messages.join(before, ["file", "block"])
+    numbered = messages.join(F.broadcast(before), ["file", "block"])
     return numbered.withColumn("line", F.col("row") + F.col("_shift")).drop("block", "row", "_shift")
 
 
@@ -168,7 +169,8 @@ def parse_records(messages: DataFrame) -> DataFrame:
         *ORIGIN,
         "record_type",
         "fault",
-        F.coalesce("value", F.to_json("r")).alias("raw"),
+        "value",
+        "r",
         F.col("r.SPC.record").alias("spc"),
         F.col("r.OBSERVABILITY.record").alias("obs"),
     )
@@ -194,7 +196,8 @@ def parse_records(messages: DataFrame) -> DataFrame:
     return rows.select(
         "record_type",
         reason.alias("reason"),
-        F.when(reason.isNotNull(), F.col("raw")).alias("raw"),
+        # Only records that are put aside are written out as JSON again.
+        F.when(reason.isNotNull(), F.coalesce("value", F.to_json("r"))).alias("raw"),
         F.when(is_spc, created_at).otherwise(F.col("timestamp")).alias("created_at"),
         F.col("timestamp").alias("arrived_at"),
         *ORIGIN,

@@ -92,6 +92,29 @@ def test_fields_of_other_types_and_missing_ones(spark):
     assert decoded.spc.count() == 0 and decoded.observability.count() == 0
 
 
+def test_messages_stay_where_they_are_read(spark, tmp_path):
+    """Line numbers come by a broadcast, and only records that are put aside become JSON again."""
+    texts = [envelope("SPC", spc("f", float(i)), route()) if i % 7 == 0 else envelope("SPC", spc("f", float(i))) for i in range(90)]
+    for file in range(3):
+        (tmp_path / f"{file}.json").write_text("\n".join(texts[file * 30 : file * 30 + 30]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        records = msg.parse_records(msg.file_batch(spark, str(tmp_path)))
+        plan = records._jdf.queryExecution().executedPlan().toString()
+        rows = records.select("spc.value", "reason", "raw", "source", "source_position").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    written = [line for line in plan.splitlines() if "StructsToJson" in line]
+    assert len(written) == 1 and "AS arrived_at" in written[0]
+    places = {r.value: (os.path.basename(r.source), r.source_position) for r in rows if r.value is not None}
+    assert places == {float(i): (f"{i // 30}.json", i % 30) for i in range(90)}
+    rejects = [r for r in rows if r.reason is not None]
+    assert len(rejects) == 13 and all("OBSERVABILITY" in r.raw for r in rejects)
+    assert all(r.raw is None for r in rows if r.reason is None)
+
+
 def test_batch_of_many_days(spark, tmp_path):
     """Each day is looked up, and nothing else is read."""
     tables = Tables(spark, str(tmp_path))

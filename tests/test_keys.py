@@ -1,6 +1,9 @@
 """Ingest that meets an index of keys in place of the stored values."""
 
+from functools import reduce
+
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.operators.dedupe import key_digest
@@ -90,3 +93,25 @@ def test_another_session_and_a_rebuilt_index(spark, tables, tmp_path):
     streams.ingest(other, lines(spark, 6, 7), "e")
     assert held(other) == [1, 2, 3, 4, 5, 6, 7]
     assert other.read("drift").where(F.col("ingest_batch") == "e").count() == 1
+
+
+def test_days_of_a_bucket_are_written_side_by_side(spark, tables, tmp_path):
+    """Tasks of a write are not as few as buckets; still a bucket of a day is one file."""
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    other = Tables(spark, str(tmp_path / "other"), key_buckets=1)
+    spark.conf.set(setting, "false")
+    try:
+        messages = [lines(spark, *range(5), day=day) for day in range(1, 13)]
+        for made in (other, tables):
+            values = msg.spc_records(msg.parse_records(reduce(DataFrame.unionByName, messages)))
+            made.keys.add(values.withColumn("digest", key_digest()), "a")
+        files = [f for f in (tmp_path / "other" / "drift_keys").glob("event_date=*/*.parquet")]
+        assert other.keys.stored().count() == 60 and len(files) == 12
+        assert len({f.name.split("-")[1] for f in files}) > 1
+        for day in range(1, 13):
+            found = [f.name.split(".")[0][-5:] for f in (tmp_path / "drift_keys").glob(f"event_date=2024-06-{day:02d}/*.parquet")]
+            assert found and len(found) == len(set(found))  # the number of the bucket
+    finally:
+        spark.conf.set(setting, before)
+        spark.sql(f"DROP TABLE {other.keys.table}")
