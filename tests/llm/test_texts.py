@@ -247,6 +247,25 @@ def test_language_model_without_training_texts(spark):
     assert lm.fit_and_score(docs.limit(0), F.lit(True))[0].count() == 0
 
 
+def test_training_comes_to_every_counted_run(monkeypatch):
+    monkeypatch.setattr(lm, "BATCH", 64)
+    before = np.random.default_rng(3).permutation(lm.CLASSES)
+    code, count = before * lm.CLASSES + np.arange(lm.CLASSES), np.ones(lm.CLASSES, np.int64)
+    count[:3] = 10**6  # draws by count would hardly meet another run
+    noise = np.full(lm.CLASSES, 1 / lm.CLASSES)
+    model = lm.initial(noise)
+    made = lm.train_share(model, code, count, noise, seed=1, steps=1)
+    assert (made["r"] != model["r"]).any(1).all() and (made["q"] != model["q"]).any(1).all()
+
+
+@pytest.mark.parametrize("n,least", [(1, 500), (40, 500), (3000, 500)])
+def test_a_pass_weighs_runs_by_their_counts(n, least):
+    count = np.random.default_rng(n).zipf(1.6, n).clip(max=10**5)
+    places, weight, passes = lm.visits(count, least)
+    assert np.allclose(np.bincount(places, weight[places], n), count, rtol=1e-4)
+    assert weight.max() <= lm.HEAVY * count.mean() * 1.0001 and least <= passes * len(places) < least + 2 * len(places)
+
+
 def test_special_tokens_are_packed_as_such(spark):
     pieces = packing.pack_documents(frame(spark, [(1, "a <|endoftext|> b")]), default_tokenizer(), with_ids=True).collect()
     assert [i for p in sorted(pieces, key=lambda p: p["start"]) for i in p["ids"]] == [320, 49407, 321, 1]
