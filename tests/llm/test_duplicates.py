@@ -4,12 +4,14 @@ import hashlib
 import itertools
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
-from driftwatch.llm import decontaminate, exact_dedup, jaccard_join, paragraph_dedup, sets
+from driftwatch.llm import blocks, decontaminate, exact_dedup, jaccard_join, paragraph_dedup, sets
 from driftwatch.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -404,3 +406,90 @@ def test_units_alone_are_not_carried_further(spark, monkeypatch):
     assert got == {1: (1, 3, 2), 2: (1, 3, 2), 3: (1, 3, 2)} | {k: (k, 1, 0) for k in range(4, 40)}
     (carried,) = [out for columns, out in written if columns == ["set_id", "rep", "apart", "copies", "class", "docs"]]
     assert carried.count() == 2
+
+
+def test_paragraphs_are_dealt_out_in_blocks(spark, monkeypatch):
+    """What Spark moves are blocks of paragraphs, not a row for each, however they are cut and dealt."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(300)
+    flat = paragraph_dedup.packed_paragraphs(docs, "doc_id", "text", 4, 2, 4)
+    pieces = paragraph_dedup.piece_blocks(docs, "doc_id", "text", 4, 2, 4)
+    assert pieces.agg(F.sum("n")).first()[0] == flat.count() > 20 * pieces.count()
+    found = paragraph_dedup.set_blocks(pieces, 4)
+    kind = paragraph_dedup._set_kind(4)
+    rows = [r for b in found.select("rows").toArrow().to_batches() for r in blocks.records(b.column("rows"), kind)]
+    got = {int(r["set_id"]): (int(r["copies"]), int(r["shingles"]), r["bands"].tobytes()) for r in rows}
+    want = flat.groupBy("set_id").agg(F.count(F.lit(1)), F.first("shingles"), F.first("bands")).collect()
+    assert got == {r[0]: (r[1], r[2], bytes(r[3]) or bytes(24)) for r in want} and len(got) == len(rows)
+    links = paragraph_dedup.band_links(found, 4, 4)
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Generate" not in plan
+    monkeypatch.setattr(blocks, "PART_ROWS", 300)
+    result = lambda: {tuple(r) for r in paragraph_dedup.repeated_passages(docs, within=True).collect()}
+    small = result()
+    monkeypatch.setattr(paragraph_dedup, "SPREAD", 1)  # every copied set goes to all tasks
+    spread = result()
+    monkeypatch.undo()
+    assert small == spread == result() and small
+
+
+def test_sets_of_a_band_are_linked_to_the_smallest(spark):
+    kind = paragraph_dedup._set_kind(2)
+    ids = [9, 3, 7, 1, 5, 8]
+    made = [[(i, 1, 4, bytes([1 if i < 6 else 2] * 6) + bytes([i] * 6))] for i in ids] + [[(2, 1, 3, bytes(12))], [(4, 1, 2, bytes(12))]]
+    rows = [(len(m), bytearray(np.array(m, kind).tobytes())) for m in made]
+    links = paragraph_dedup.band_links(spark.createDataFrame(rows, "n int, rows binary"), 2, 4)
+    got = {r["node"]: r["comp"] for r in sets.components(links).collect()}
+    assert got == {1: 1, 3: 1, 5: 1, 7: 7, 8: 7, 9: 7}
+
+
+@pytest.mark.parametrize("n,values", [(0, 5), (1, 5), (500, 40), (20000, 2**63)])
+def test_distinct_shingles_of_paragraphs(n, values):
+    random = np.random.default_rng(n)
+    piece = np.sort(random.integers(0, max(1, n // 8), n))
+    found = random.integers(0, values, n).astype(np.uint64)
+    found[random.random(n) < 0.2] = 7
+    got, owner = paragraph_dedup.distinct_shingles(found, piece)
+    assert sorted(zip(owner, got)) == sorted(set(zip(piece, found))) and (np.diff(owner) >= 0).all()
+
+
+def test_pairs_are_compared_like_larger_groups(spark):
+    """Components of two sets, all at once, against the comparison of every pair."""
+    words = [f"w{k}" for k in range(60)]
+    texts = {k: " ".join(words[: 20 + k // 2 % 3] + [f"x{k // 2}"] * 6 + (["y", "z"] * (k % 4 == 1))) for k in range(60)}
+    rows = [(k, t) for k, t in texts.items()]
+    units = frame(spark, rows).select(F.struct(F.col("doc_id").alias("id")).alias("key"), "text")
+    sketched = sets.sketch(units).drop("sketch")
+    members = sets.distinct_sets(sketched, None)
+    linked = {}
+    for size in (2, 60):
+        comps = members.select(F.col("set_id").alias("node"), F.floor(F.col("rep.id") / size).alias("comp"))
+        for r in sets.exact_links(members, comps, units, 5, 0.8).join(members.select("set_id", "rep"), "set_id").collect():
+            linked.setdefault(size, {})[r["rep"]["id"]] = (r["sets"], r["docs"])
+    found = {k: shingle_set(t) for k, t in texts.items()}
+    near = lambda a, b: a != b and len(found[a] & found[b]) >= 0.8 * len(found[a] | found[b])
+    for size, got in linked.items():
+        for k in got:
+            others = [o for o in range(60) if o // size == k // size and near(k, o)]
+            classes = {found[o] for o in others if found[o] != found[k]}
+            assert got[k] == (len(classes), sum(found[o] in classes for o in others)), (size, k)
+
+
+def test_blocks_come_back_whole(monkeypatch):
+    for name, value in (("BLOCK", 7), ("FILE_BLOCKS", 2), ("SLICE", 50)):
+        monkeypatch.setattr(blocks, name, value)
+    kind = np.dtype([("key", "<i8"), ("n", "<i4"), ("mark", "V3")])
+    rows = np.ones(500, kind)
+    rows["key"] = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 60)[np.arange(500) % 60]
+    made = list(blocks.in_blocks(rows, rows["key"].copy()))
+    assert sum(sum(b.column("n").to_pylist()) for b in made) == 500 and {b.num_rows for b in made} == {2}
+    assert np.concatenate([blocks.records(b.column("c0"), kind) for b in made]).tobytes() == rows.tobytes()
+    assert not list(blocks.in_blocks(rows[:0]))
+    back = [r for b in made for r in blocks.slices_of(b.rename_columns(["count", "row", "key"]), np.dtype([("key", "<i8"), ("n", "<i4")]))]
+    assert (np.concatenate(back)["key"] == rows["key"]).all() and (np.concatenate(back)["n"] == 1).all()
+    dealt = [b for b in blocks.deal(rows, rows["key"], 4)]
+    assert sum(len(blocks.records(b.column("rows"), kind)) for b in dealt) == 500
+    for part in range(4):
+        own = [b.filter(pa.compute.equal(b.column("part"), part)) for b in dealt]
+        held = list(blocks.gathered(own, kind, lambda r: r[np.unique(r["key"], return_index=True)[1]]))
+        want = np.unique(rows["key"][rows["key"].view(np.uint64) % 4 == part])
+        assert (held[-1]["key"] == want).all() and all(len(h) <= len(want) for h in held) and len(held) > 1
