@@ -258,6 +258,28 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got.sort_values("node").reset_index(drop=True).equals(want)
 
 
+def test_components_that_settle_at_different_times(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    edges, names = [], rng.sample(range(-(10**6), 10**6), 1200)
+    at = 0
+    for size in [2] * 60 + [3] * 20 + [10] * 10 + [400, 120]:  # chains in any order, and a ring
+        own = names[at : at + size]
+        at += size
+        edges += list(zip(own, own[1:]))
+    edges += [(own[-1], own[0]), *edges[:30]]
+    linked = {}
+    for a, b in edges:
+        one = linked.get(a, {a}) | linked.get(b, {b})
+        linked.update(dict.fromkeys(one, one))
+    want = {n: min(one) for n, one in linked.items()}
+    monkeypatch.setattr(sets, "ROUNDS", 2)
+    both = sets.components(spark.createDataFrame(edges, "a long, b long"))
+    got = [tuple(r) for r in both.select("node", "comp").collect()]
+    assert dict(got) == want and len(got) == len(want) and both.columns == ["node", "comp"]
+
+
 NAMES = "doc_id long, text string, `__id` string, `__key` string, key string, row string, set_id int, id int, `__words` int, `__spans` int"
 
 
@@ -410,7 +432,12 @@ def test_units_alone_are_not_carried_further(spark, monkeypatch):
 
 def test_paragraphs_are_dealt_out_in_blocks(spark, monkeypatch):
     """What Spark moves are blocks of paragraphs, not a row for each, however they are cut and dealt."""
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").limit(300)
+    rng = np.random.default_rng(5)
+    some = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    shared = [some(80) for _ in range(12)]
+    texts = [f"{some(200)}\n{shared[k % 12]} {some(50)}\n{some(200)}" for k in range(100)]
+    texts += [t.replace(" w1", " v1") for t in texts[:40]] + texts[:10] + [None, "", "w1 w2", "w1 w2"]
+    docs = frame(spark, [(k % 140, t) for k, t in enumerate(texts)])
     flat = paragraph_dedup.packed_paragraphs(docs, "doc_id", "text", 4, 2, 4)
     pieces = paragraph_dedup.piece_blocks(docs, "doc_id", "text", 4, 2, 4)
     assert pieces.agg(F.sum("n")).first()[0] == flat.count() > 20 * pieces.count()
